@@ -99,6 +99,11 @@ def _hash_tokens(folded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def tokenize(texts: list[str]) -> Tokens:
     """Words of each text: runs of letters, digits and combining marks, lower-cased."""
+    return tokenize_points(texts)[0]
+
+
+def tokenize_points(texts: list[str]) -> tuple[Tokens, np.ndarray, np.ndarray, np.ndarray]:
+    """tokenize; the code points of the texts, one between two; these folded; each text's first."""
     cps = codepoints("\n".join(texts))
     bounds = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=bounds[1:])
@@ -120,7 +125,21 @@ def tokenize(texts: list[str]) -> Tokens:
         starts, ends, hashes = (np.concatenate([p[i] for p in parts]) for i in range(3))
     offsets = np.searchsorted(starts, bounds)
     base = np.repeat(bounds[:-1], np.diff(offsets))
-    return Tokens(hashes, starts - base, ends - base, offsets)
+    return Tokens(hashes, starts - base, ends - base, offsets), cps, folded, bounds
+
+
+def stems(hashes: np.ndarray, folded: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: tuple[int, ...], buckets: int) -> np.ndarray:
+    """(words, 1 + sizes) buckets: of the word, and of its first letters for each size; a shorter word repeats its own."""
+    out = np.empty((len(hashes), 1 + len(sizes)), np.int64)
+    out[:, 0] = hashes % U64(buckets)
+    rolled = np.zeros(len(hashes), U64)
+    n, x = ends - starts, 1
+    for j in range(max(sizes)):
+        rolled = rolled * U64(0xD6E8FEB86659FD93) + folded[np.minimum(starts + j, len(folded) - 1)] if len(hashes) else rolled
+        if j + 1 in sizes:
+            out[:, x] = np.where(n >= j + 1, mix(rolled + U64(j)) % U64(buckets), out[:, 0])
+            x += 1
+    return out
 
 
 def chunks(texts: list, size: int = SEGMENT) -> Iterator[tuple[int, int, list[str]]]:
