@@ -231,7 +231,7 @@ def scored(documents: DataFrame, classifier: Classifier, name: str) -> DataFrame
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             parts = [score(shared.value, part) for _, _, part in K.chunks([t if isinstance(t, str) else "" for t in texts])]
-            yield pd.Series(np.round(np.concatenate(parts), 6) if parts else np.zeros(0))
+            yield pd.Series(np.round(np.concatenate(parts).astype(np.float64), 6) if parts else np.zeros(0))
 
     return documents.withColumn(name, F.when(F.col("text").isNull(), F.lit(0.0)).otherwise(run("text")))
 
