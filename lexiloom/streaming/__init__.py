@@ -1,0 +1 @@
+"""No streaming operators: the index is built in batch and read-only afterwards, so there is no state to keep."""
