@@ -68,18 +68,27 @@ def weighted_grams(tokens: K.Tokens, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def simhash(hashes: np.ndarray, weights: np.ndarray, firsts: np.ndarray, lasts: np.ndarray) -> np.ndarray:
-    """Fingerprints of the windows [first, last) of shingles; ties count as 1."""
-    out = np.zeros(len(firsts), np.uint64)
-    step = max(1, (1 << 21) // max(1, int((lasts - firsts).max(initial=1))) // 8)
-    for lo in range(0, len(firsts), step):
-        a, n = firsts[lo : lo + step], (lasts - firsts)[lo : lo + step]
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1]) + np.repeat(a - (ends - n), n)
-        bits = np.unpackbits(hashes[at].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
-        signed = (2 * bits - 1) * weights[at][:, None]
-        sums = np.add.reduceat(signed, ends - n, axis=0)
-        out[lo : lo + step] = np.packbits(sums >= 0, axis=1, bitorder="little").reshape(-1, 8).copy().view(np.uint64).ravel()
-    return out
+    """Fingerprints of the windows [first, last) of shingles; ties count as 1.
+
+    A window's sum for each bit is a difference of two prefix sums over the shingles
+    that any window covers, so it costs the same for windows of any length.
+    """
+    cover = np.zeros(len(hashes) + 1, np.int64)
+    np.add.at(cover, firsts, 1)
+    np.add.at(cover, lasts, -1)
+    inside = np.cumsum(cover[:-1]) > 0
+    place = np.zeros(len(hashes) + 1, np.int64)
+    np.cumsum(inside, out=place[1:])
+    a, b = place[firsts], place[lasts]
+    octets = hashes[inside].view(np.uint8).reshape(-1, 8)
+    own = weights[inside].astype(np.int64)[:, None]
+    out = np.empty((len(firsts), 8), np.uint8)
+    for j in range(8):
+        sums = np.zeros((len(own) + 1, 8), np.int64)
+        bits = np.unpackbits(octets[:, j : j + 1], axis=1, bitorder="little").astype(np.int64)
+        np.cumsum((2 * bits - 1) * own, axis=0, out=sums[1:])
+        out[:, j] = np.packbits(sums[b] >= sums[a], axis=1, bitorder="little")[:, 0]
+    return out.view(np.uint64).ravel()
 
 
 def bag(hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,17 +257,38 @@ def _bagger(k: int):
     return run
 
 
+def similarities(item: tuple[np.ndarray, np.ndarray], hashes: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """similarity() of an item's bag with each of several windows, whose shingles follow one another."""
+    known, mass = item
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    total = np.bincount(row, weights, len(sizes))
+    if not len(known):
+        return np.zeros(len(sizes))
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    hit = (known[at] == hashes) & (weights > 0)
+    key, inverse = np.unique(row[hit] * len(known) + at[hit], return_inverse=True)
+    both = np.minimum(np.bincount(inverse, weights[hit], len(key)), mass[key % len(known)])
+    shared = np.bincount(key // len(known), both, len(sizes))
+    return shared / np.maximum(total + mass.sum() - shared, 1)
+
+
 def _judge(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for wh, ww, ih, iw in zip(*(batch.column(c).to_pylist() for c in ("wh", "ww", "ih", "iw"))):
-                a = bag(np.frombuffer(wh, np.uint64), np.frombuffer(ww, np.int32))
-                b = bag(np.frombuffer(ih, np.uint64), np.frombuffer(iw, np.int32))
-                out.append(similarity(a, b))
-            scores = pa.array(out, pa.float64())
-            kept = batch.select(["doc_id", "item_id", "start"]).append_column("similarity", scores)
-            yield kept.filter(pa.array(np.array(out) >= threshold - 1e-12, pa.bool_()))
+            items = batch.column("item_id").to_numpy()
+            order = np.argsort(items, kind="stable")
+            wh, ww, ih, iw = (batch.column(c) for c in ("wh", "ww", "ih", "iw"))
+            out = np.zeros(len(items))
+            cuts = np.flatnonzero(np.diff(items[order])) + 1
+            for rows in np.split(order, cuts) if len(order) else ():
+                first = int(rows[0])
+                item = bag(np.frombuffer(ih[first].as_py(), np.uint64), np.frombuffer(iw[first].as_py(), np.int32))
+                texts = wh.take(pa.array(rows)).to_pylist()
+                hashes = np.frombuffer(b"".join(texts), np.uint64)
+                weights = np.frombuffer(b"".join(ww.take(pa.array(rows)).to_pylist()), np.int32)
+                out[rows] = similarities(item, hashes, weights, np.array([len(t) // 8 for t in texts]))
+            kept = batch.select(["doc_id", "item_id", "start"]).append_column("similarity", pa.array(out))
+            yield kept.filter(pa.array(out >= threshold - 1e-12, pa.bool_()))
 
     return run
 
