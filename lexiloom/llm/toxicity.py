@@ -2,8 +2,10 @@
 
 A word's vector sums hashed embeddings of the word and of its first letters (several
 lengths, as stems), so unseen inflections of a known word are understood. Filters of
-several widths slide over the words, each keeps its maximum over the document, and
-a logistic layer reads the maxima. Training is minibatch Adagrad on the driver,
+several widths slide over the words, each keeps its maximum over the document, and a
+logistic layer reads the maxima. Training is minibatch Adagrad on the driver, with a
+random part of the words left out of the maxima each time (else a document teaches its
+strongest word alone),
 over at most TRAIN_TOXIC toxic and TRAIN_CLEAN clean labelled rows (those with the
 least hash of doc_id). A quarter of them is held out of training and, weighted back
 to the shares of all labels, sets one decision threshold for each language: the one
@@ -41,7 +43,8 @@ TRAIN_TOXIC, TRAIN_CLEAN = 3000, 6000
 BUCKETS, DIM = 1 << 16, 16
 WIDTHS, FILTERS = (1, 2, 3), 8
 STEMS = (4, 5, 6, 7)
-EPOCHS, BATCH, RATE = 4, 32, 0.1
+EPOCHS, BATCH, RATE = 8, 32, 0.1
+DROPOUT = 0.3
 LEAST_HELD = 10
 SMALL = 0.001
 SEED = 7
@@ -80,12 +83,14 @@ class _Batch:
         return out
 
 
-def _pooled(batch: _Batch, vectors: np.ndarray, filters: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maxima by document, and the convolution at every word."""
+def _pooled(batch: _Batch, vectors: np.ndarray, filters: np.ndarray, bias: np.ndarray, dropped: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Maxima by document, and the convolution at every word; dropped words can't be the maximum."""
     width = len(filters)
     conv = (vectors @ filters[0])[batch.row[batch.at]]
     for j in range(1, width):
         conv += (vectors @ filters[j])[batch.row[batch.at + j]]
+    if dropped is not None:
+        conv[dropped] = -1e9
     some = batch.counts > 0
     top = np.zeros((len(batch.counts), filters.shape[2]), np.float32)
     firsts = np.cumsum(batch.counts) - batch.counts
@@ -122,7 +127,8 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
         for at in rng.permutation(len(parts)):
             own, batch = parts[at], batches[at]
             vectors = batch.vectors(words)
-            pools = [_pooled(batch, vectors, f, b) for f, b in zip(filters, bias)]
+            dropped = rng.random(len(batch.at)) < DROPOUT
+            pools = [_pooled(batch, vectors, f, b, dropped) for f, b in zip(filters, bias)]
             top = np.concatenate([p[0] for p in pools], axis=1)
             logit = np.clip(top @ out + offset[0], -30, 30)
             error = (1 / (1 + np.exp(-logit)) - toxic[own]) * balance[own] / len(own)
