@@ -72,11 +72,14 @@ def features(texts: list[str]) -> tuple[K.Tokens, np.ndarray, np.ndarray]:
     tokens, cps, _, bounds = K.tokenize_points(texts)
     kinds = _kind_table()[cps]
     n = np.maximum(np.diff(bounds) - 1, 0)
-    per = [np.add.reduceat(kinds == k, bounds[:-1], dtype=np.int64) if len(cps) else np.zeros(len(texts), np.int64) for k in range(6)]
-    per[5] = per[5] - (np.arange(len(texts)) < len(texts) - 1)
-    if len(texts) and bounds[-1] - 1 == bounds[-2]:
-        for k in range(5):
-            per[k][-1] = 0
+    ends = bounds[1:] - 1
+
+    def count(kind: int) -> np.ndarray:
+        sums = np.zeros(len(kinds) + 1, np.int64)
+        np.cumsum(kinds == kind, out=sums[1:])
+        return sums[ends] - sums[bounds[:-1]]
+
+    per = [count(k) for k in range(6)]
     size = np.maximum(n, 1)
     words = tokens.counts()
     letters = per[1] + per[2]
