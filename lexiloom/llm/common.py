@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.llm.textkernel import release
 from lexiloom.shipping import ship
 
 #: Bits of the fixed-size id filter (1 MB as broadcast rows, whatever the data's size).
@@ -38,9 +41,14 @@ def fresh(*frames: DataFrame | list[str]) -> str:
 
 
 def arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """df.mapInArrow, with this package sent to the workers."""
+    """df.mapInArrow, with this package sent to the workers, which release memory after each task."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -182,7 +182,7 @@ def _finder(items: _Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for lo, _, texts in K.chunks(batch.column(1).to_pylist()):
+            for lo, _, texts in K.chunks(batch.column(1)):
                 tokens = K.tokenize(texts)
                 hashes, weights = weighted_grams(tokens, k)
                 doc, first, last, x = items.windows(tokens, hashes, weights)

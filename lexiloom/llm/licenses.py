@@ -87,7 +87,7 @@ def _roller(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for lo, hi, texts in K.chunks(batch.column(1).to_pylist()):
+            for lo, hi, texts in K.chunks(batch.column(1)):
                 hashes, offsets = K.grams(K.tokenize(texts), k, short=False)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), lists], names=["doc_id", "h"])

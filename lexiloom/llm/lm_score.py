@@ -40,6 +40,8 @@ from lexiloom.llm.common import arrow, cut
 VOCABULARY, DIM, CONTEXT = 1024, 16, 2
 NOISE, BATCH, RATE = 64, 4096, 0.1
 HELD_WORDS = 2_000_000
+#: Code points scored at a time: the more, the more words share a context.
+CHUNK = 1 << 21
 SEED = 5
 
 
@@ -74,7 +76,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     size = 0
     for batch in batches:
-        for _, _, texts in K.chunks(batch.column(0).to_pylist()):
+        for _, _, texts in K.chunks(batch.column(0)):
             values, n = np.unique(K.tokenize(texts).hashes, return_counts=True)
             held.append((values, n))
             size += len(values)
@@ -187,7 +189,7 @@ def _trainer(words: Words, model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = Trainer(model, words.share)
         for batch in batches:
-            for _, _, texts in K.chunks(batch.column(0).to_pylist()):
+            for _, _, texts in K.chunks(batch.column(0)):
                 tokens = K.tokenize(texts)
                 ids = words.of(tokens.hashes)
                 trainer.feed(ids, contexts(ids, tokens.offsets, len(words.share)))
@@ -249,7 +251,7 @@ def _scorer(shared):
         words, model = shared.value
         for batch in batches:
             ids = batch.column(0)
-            for lo, hi, texts in K.chunks(batch.column(1).to_pylist(), 2 * K.SEGMENT):
+            for lo, hi, texts in K.chunks(batch.column(1), CHUNK):
                 tokens = K.tokenize(texts)
                 own = words.of(tokens.hashes)
                 each = log_probs(model, own, contexts(own, tokens.offsets, len(words.share)))

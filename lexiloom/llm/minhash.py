@@ -104,7 +104,7 @@ def _signer(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for lo, hi, texts in K.chunks(batch.column(1).to_pylist()):
+            for lo, hi, texts in K.chunks(batch.column(1)):
                 tokens = K.tokenize(texts)
                 some = tokens.counts() > 0
                 values, offsets = K.distinct(*K.grams(tokens, shingle))
@@ -128,7 +128,7 @@ def _set_maker(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for lo, hi, texts in K.chunks(batch.column(1).to_pylist()):
+            for lo, hi, texts in K.chunks(batch.column(1)):
                 values, offsets = K.distinct(*K.grams(K.tokenize(texts), shingle))
                 data = values.tobytes()
                 sets = [data[8 * x : 8 * y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]

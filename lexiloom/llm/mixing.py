@@ -24,8 +24,8 @@ Result: (doc_id, source, tokens, p_<domain>..., rate) for every row of documents
 Defined cases: null or empty text: 0 tokens, so it weighs nothing; its rate follows
 from its posteriors as any other. Null doc_id or source: kept as any row. Labels with
 null id or null classes are ignored; of several labels for one doc_id the greatest
-toxic and then the least quality counts. Domains without labelled rows are left out,
-and the targets are scaled to sum to 1 over the others. Fewer than two domains: all
+toxic and then the least quality counts. Domains without a target or without labelled
+rows are left out, and the targets are scaled to sum to 1 over the others. Fewer than two domains: all
 rates are 1. Repeated rows get equal rates and count as often as they occur. An empty
 table gives no rows. Other columns are not read by mixture_rates.
 """
@@ -33,15 +33,15 @@ table gives no rows. Other columns are not read by mixture_rates.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm import textkernel as K
-from lexiloom.llm.common import arrow, cut, fresh
+from lexiloom.llm.common import arrow, cut
 from lexiloom.shipping import ship
 
 DOMAINS = ("high", "low", "toxic")
@@ -155,15 +155,15 @@ def train(texts: list[str], domain: np.ndarray, prior: np.ndarray, epochs: int =
     return words, dense, bias + np.log(prior / seen).astype(np.float32)
 
 
-def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[tuple[str, ...], tuple | None]:
-    """The domains that have labelled rows, and the classifier (None for fewer than two)."""
+def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, domains: tuple[str, ...] = DOMAINS) -> tuple[tuple[str, ...], tuple | None]:
+    """Those of domains that have labelled rows, and the classifier between them (None for fewer than two)."""
     rows = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("toxic").cast("int").alias("t"), F.col("quality").cast("int").alias("q"))
     rows = rows.where("id is not null and t in (0, 1) and q in (0, 1)").groupBy("id").agg(F.max("t").alias("t"), F.min("q").alias("q"))
     rows = rows.select("id", F.expr("case when t = 1 then 'toxic' when q = 1 then 'high' else 'low' end").alias("d"))
     ids = documents.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text")).where("text is not null")
     there = cut(ids.select("id").join(rows, "id").distinct())
     totals = {r["d"]: r["count"] for r in there.groupBy("d").count().collect()}
-    names = tuple(d for d in DOMAINS if d in totals)
+    names = tuple(d for d in domains if d in totals)
     if len(names) < 2:
         return names, None
     sample = None
@@ -225,66 +225,88 @@ def solve(shares: DataFrame, targets: np.ndarray, steps: int = STEPS) -> list[np
     return history
 
 
-def _with_posteriors(documents: DataFrame, names: tuple[str, ...], model: tuple, tokens: str, post: str) -> DataFrame:
+def _posterior_udf(documents: DataFrame, model: tuple):
     ship(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)  # a fixed size
 
-    @F.pandas_udf("n bigint, p array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n bigint, p array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            n, p = [], []
-            for _, _, part in K.chunks([t if isinstance(t, str) else "" for t in texts]):
-                a, b = posteriors(shared.value, part)
-                n.append(a)
-                p.extend(np.round(b, 6))
-            yield pd.DataFrame({"n": np.concatenate(n) if n else [], "p": p})
-
-    x = fresh(documents, [tokens, post])
-    out = documents.withColumn(f"{x}u", run("text"))
-    return out.withColumn(tokens, F.col(f"{x}u.n")).withColumn(post, F.col(f"{x}u.p")).drop(f"{x}u")
-
-
-def _rated(documents: DataFrame, labels: DataFrame, keep: list[str], x: str, targets: dict[str, float], train_rows: int, steps: int) -> tuple[DataFrame, tuple[str, ...]]:
-    """The columns keep, then {x}n tokens, {x}p posteriors and {x}r rate."""
-    names, model = fit(documents, labels, train_rows)
-    source = documents.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])])
-    if model is None:
-        one = F.array(*[F.lit(1.0) for _ in names]).cast("array<double>")
-        words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}\p{M}]+"), lambda w: w != ""))
-        return source.select(*[F.col(f"`{c}`") for c in keep], words.cast("bigint").alias(f"{x}n"), one.alias(f"{x}p"), F.lit(1.0).alias(f"{x}r")), names
-    wanted = np.array([max(0.0, targets.get(d, 0.0)) for d in names])
-    if not wanted.sum():
-        raise ValueError("no target is above 0 for a domain that has labelled documents")
-    known = _with_posteriors(source, names, model, f"{x}n", f"{x}p").select(*[F.col(f"`{c}`") for c in keep], f"{x}n", f"{x}p")
-    if "text" not in keep:
-        known = cut(known)
-        shares = known.select(F.col(f"{x}n").cast("double").alias("n"), F.col(f"{x}p").alias("p"))
-    else:
-        shares = cut(known.select(F.col(f"{x}n").cast("double").alias("n"), F.col(f"{x}p").alias("p")))
-    history = solve(shares, wanted / wanted.sum(), steps)
+            counts, post = _of_column(shared.value, texts)
+            k = post.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(post) + 1, dtype=np.int32) * k), pa.array(post.ravel()))
+            yield pa.StructArray.from_arrays([pa.array(counts), lists], names=["n", "p"])
+        K.release()
 
-    ship(documents.sparkSession)
+    return run
+
+
+def _rate_udf(documents: DataFrame, model: tuple, history: list[np.ndarray]):
+    """The rate straight from the text, in one pass through Python."""
+    shared = documents.sparkSession.sparkContext.broadcast((model, history))  # a fixed size
+
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            own, past = shared.value
+            yield pa.array(np.round(rates(_of_column(own, texts)[1], past), 6))
+        K.release()
+
+    return run
 
-    @F.pandas_udf("double")
-    def rate(p: pd.Series) -> pd.Series:
-        return pd.Series(np.round(rates(np.stack(p.to_numpy()), history), 6) if len(p) else np.zeros(0))
 
-    return known.withColumn(f"{x}r", rate(f"{x}p")), names
+def _of_column(model: tuple, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    parts = [posteriors(model, part) for _, _, part in K.chunks(texts)]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros((0, len(model[2])))
+    return np.concatenate([a for a, _ in parts]).astype(np.int64), np.round(np.concatenate([b for _, b in parts]), 6)
+
+
+class _Fitted(NamedTuple):
+    names: tuple[str, ...]
+    model: tuple | None
+    history: list[np.ndarray]
+    known: DataFrame | None
+
+
+def _fitted(documents: DataFrame, labels: DataFrame, keep: list[str], x: str, targets: dict[str, float], train_rows: int, steps: int) -> _Fitted:
+    """known is stored and has the columns keep, {x}n tokens and {x}p posteriors."""
+    names, model = fit(documents, labels, train_rows, tuple(d for d in DOMAINS if d in targets))
+    if model is None:
+        return _Fitted(names, None, [], None)
+    wanted = np.array([max(0.0, targets[d]) for d in names])
+    if not wanted.sum():
+        raise ValueError("no target is above 0 for a domain that has labelled documents")
+    found = documents.select(*keep, _posterior_udf(documents, model)(F.col("text")).alias(f"{x}u"))
+    known = cut(found.select(*keep, F.col(f"{x}u.n").alias(f"{x}n"), F.col(f"{x}u.p").alias(f"{x}p")))
+    history = solve(known.select(F.col(f"{x}n").cast("double").alias("n"), F.col(f"{x}p").alias("p")), wanted / wanted.sum(), steps)
+    return _Fitted(names, model, history, known)
 
 
 def mixture_rates(
     documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, train_rows: int = TRAIN_ROWS, steps: int = STEPS
 ) -> DataFrame:
-    out, names = _rated(documents, labels, ["doc_id", "source"], "lx_", targets, train_rows, steps)
+    fitted = _fitted(documents, labels, ["doc_id", "source"], "lx_", targets, train_rows, steps)
+    names, history = fitted.names, fitted.history
+    if fitted.model is None:
+        words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}\p{M}]+"), lambda w: w != ""))
+        return documents.select(
+            "doc_id", "source", words.cast("bigint").alias("tokens"), *[F.lit(1.0).alias(f"p_{d}") for d in names], F.lit(1.0).alias("rate")
+        )
+
+    @F.arrow_udf("double")
+    def rate(p: pa.Array) -> pa.Array:
+        return pa.array(np.round(rates(p.flatten().to_numpy().reshape(-1, len(names)), history), 6))
+
     each = [F.col("lx_p")[i].alias(f"p_{d}") for i, d in enumerate(names)]
-    return out.select("doc_id", "source", F.col("lx_n").alias("tokens"), *each, F.col("lx_r").alias("rate"))
+    return fitted.known.select("doc_id", "source", F.col("lx_n").alias("tokens"), *each, rate("lx_p").alias("rate"))
 
 
 def mixed(
     documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, train_rows: int = TRAIN_ROWS, steps: int = STEPS
 ) -> DataFrame:
     """The documents with their rate as a last column ("rate", or "mixing_rate" where that exists); rates of 0 go."""
-    x = fresh(documents)
     name = "mixing_rate" if "rate" in {c.lower() for c in documents.columns} else "rate"
-    out, _ = _rated(documents, labels, documents.columns, x, targets, train_rows, steps)
-    return out.where(F.col(f"{x}r") > 0).withColumnRenamed(f"{x}r", name).drop(f"{x}n", f"{x}p")
+    fitted = _fitted(documents, labels, [], "lx_", targets, train_rows, steps)
+    rate = F.lit(1.0) if fitted.model is None else _rate_udf(documents, fitted.model, fitted.history)(F.col("text"))
+    return documents.withColumn(name, rate).where(F.col(name) > 0)

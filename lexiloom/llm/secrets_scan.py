@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import arrow
+from lexiloom.llm.textkernel import chunks
 
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -149,7 +150,8 @@ def scan(text: str) -> list[tuple[str, int, int, int, bool]]:
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(i, *found) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for found in scan(t)]
+        ids = batch.column(0)
+        rows = [(ids[lo + j].as_py(), *found) for lo, _, texts in chunks(batch.column(1)) for j, t in enumerate(texts) for found in scan(t)]
         types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
         names = ["doc_id", "kind", "start", "stop", "value_hash", "checked"]
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names=names)

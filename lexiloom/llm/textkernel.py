@@ -11,18 +11,22 @@ is cut only between tokens, inside this module, and its tokens are numbered on.
 
 from __future__ import annotations
 
+import ctypes
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Code points hashed at a time; texts are gathered into chunks of about this size.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
+#: Rows of an Arrow column that are Python strings at a time.
+ROWS = 256
 
 
 @lru_cache(maxsize=1)
@@ -142,19 +146,35 @@ def stems(hashes: np.ndarray, folded: np.ndarray, starts: np.ndarray, ends: np.n
     return out
 
 
-def chunks(texts: list, size: int = SEGMENT) -> Iterator[tuple[int, int, list[str]]]:
-    """Cut a batch of texts (None is empty) into (from, to, texts) of about size code points."""
+def _strings(texts: list | pa.Array) -> Iterator[str]:
+    if isinstance(texts, list):
+        yield from (t or "" for t in texts)
+    else:
+        for lo in range(0, len(texts), ROWS):
+            yield from (t or "" for t in texts.slice(lo, ROWS).to_pylist())
+
+
+def chunks(texts: list | pa.Array, size: int = SEGMENT) -> Iterator[tuple[int, int, list[str]]]:
+    """Cut texts (None is empty) into (from, to, texts) of about size code points; an Arrow column is converted piece by piece."""
     at, held = 0, 0
     part: list[str] = []
-    for i, text in enumerate(texts):
-        text = text or ""
+    for i, text in enumerate(_strings(texts)):
         if part and held + len(text) > size:
             yield at, i, part
             at, held, part = i, 0, []
         part.append(text)
         held += len(text) + 1
     if part:
-        yield at, len(texts), part
+        yield at, at + len(part), part
+
+
+def release() -> None:
+    """Give memory that is free but kept by the allocators back to the system; idle workers hold it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
 
 
 def grams(tokens: Tokens, k: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:

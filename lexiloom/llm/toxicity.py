@@ -31,7 +31,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -233,11 +233,12 @@ def scored(documents: DataFrame, classifier: Classifier, name: str) -> DataFrame
     ship(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(classifier.model)  # a fixed size
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            parts = [score(shared.value, part) for _, _, part in K.chunks([t if isinstance(t, str) else "" for t in texts])]
-            yield pd.Series(np.round(np.concatenate(parts).astype(np.float64), 6) if parts else np.zeros(0))
+            parts = [score(shared.value, part) for _, _, part in K.chunks(texts)]
+            yield pa.array(np.round(np.concatenate(parts).astype(np.float64), 6) if parts else np.zeros(0))
+        K.release()
 
     return documents.withColumn(name, F.when(F.col("text").isNull(), F.lit(0.0)).otherwise(run("text")))
 
