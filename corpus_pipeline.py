@@ -26,6 +26,9 @@ from lexiloom.llm.minhash import near_dedup
 from lexiloom.llm.mixing import mixed
 from lexiloom.llm.toxicity import drop_toxic
 
+#: Toxic documents have gone before, so the mixture is one of the two other domains.
+TARGETS = {"high": 0.9, "low": 0.1}
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier rejects go."""
@@ -49,7 +52,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the rate at which they meet the target weights; a rate of 0 goes."""
-    return mixed(docs, table(spark, sf_dir, "labels"))
+    return mixed(docs, table(spark, sf_dir, "labels"), TARGETS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
