@@ -50,7 +50,7 @@ def postings(corpus: DataFrame, only: list[str] | None = None) -> DataFrame:
     if only is not None:
         wanted = F.array(*[F.lit(t) for t in only]).cast("array<string>")
         listed = F.filter(listed, lambda x: F.array_contains(wanted, x["t"]))
-    runs = tokenized(corpus).select("doc_id", F.size("tokens").alias("doc_len"), F.array_sort(listed).alias("s")).where("size(s) > 0")
+    runs = tokenized(corpus).select("doc_id", F.size("tokens").alias("doc_len"), F.sort_array(listed).alias("s")).where("size(s) > 0")
     last = F.size("s") - 1
     edge = lambda i: (i == 0) | (F.get("s", i)["t"] != F.get("s", i - 1)["t"])
     runs = runs.select("doc_id", "doc_len", "s", F.filter(F.sequence(F.lit(0), last), edge).alias("e"))

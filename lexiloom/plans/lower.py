@@ -58,4 +58,4 @@ def folded_score(cs: Column, terms: list[str] | None = None) -> Column:
     if terms is not None:
         wanted = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
         cs = F.filter(cs, lambda x: F.array_contains(wanted, x["term"]))
-    return F.coalesce(F.aggregate(F.array_sort(cs), F.lit(0.0), lambda s, x: s + x["c"]), F.lit(0.0))
+    return F.coalesce(F.aggregate(F.sort_array(cs), F.lit(0.0), lambda s, x: s + x["c"]), F.lit(0.0))
