@@ -92,6 +92,12 @@ def find_term(index: Index, term: str) -> int | None:
     return row["doc_freq"] if row else None
 
 
+def _spread(corpus: DataFrame) -> DataFrame:
+    """A corpus of fewer partitions than there are cores (one small file, say) is dealt out to all of them."""
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    return corpus.repartition(cores) if corpus._jdf.queryExecution().toRdd().getNumPartitions() < cores else corpus
+
+
 def build_index(corpus: DataFrame, folder: str, buckets: int | None = None) -> dict:
     """Write postings, terms, docs and stats; returns the build report.
 
@@ -101,6 +107,7 @@ def build_index(corpus: DataFrame, folder: str, buckets: int | None = None) -> d
     began = time.perf_counter()
     spark = corpus.sparkSession
     folder = folder.rstrip("/")
+    corpus = _spread(corpus)
     I.docs(corpus).sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{folder}/docs")
     docs = spark.read.schema(M.DOCS).parquet(f"{folder}/docs")
     totals = docs.agg(F.count("*").alias("n"), F.sum(F.col("length").cast("bigint")).alias("t")).first()
