@@ -4,28 +4,34 @@ The context vector of a word is a sum, over the CONTEXT words before it, of thei
 vectors weighted by one diagonal matrix per distance; the score of a word is the
 inner product of its output vector with the context vector, plus a bias.
 
-1. Word counts over all documents give the vocabulary (the VOCABULARY - 1 most
-   frequent words; all others are one unknown word) and the noise distribution.
+1. Word counts over all documents give the vocabulary: every word that occurs at
+   least LEAST times. The most frequent ones (as many as the square root of the
+   distinct words, VOCABULARY - 1 at least) are symbols of the network; the others
+   share one symbol for each power of two of their count, and have within it the
+   probability of their count. The symbols' counts are the noise distribution.
+   Words under LEAST are the unknown symbol, and a back-off spells them: the
+   probability of each letter after the one before, and of the word's end.
 2. Training, in numpy by noise-contrastive estimation: each partition of the corpus
    trains on all its own words from one common start; the models are averaged,
    weighted by their words, by a Spark aggregation over parameter slots. Every word
-   of the corpus is a training target.
+   of the corpus is a training target. The letters of unknown words are counted.
 3. Scoring: the distinct contexts of a batch are multiplied with all output vectors
    at once; their log-sums-of-exponentials normalise the log-probability of every
-   word. No approximation is left in the scores.
+   symbol; the word within its symbol is added. No approximation is left in the scores.
 
 Result: (doc_id, tokens, unknown, log_prob, perplexity) for every row of documents;
-log_prob is the natural log-probability of all its words.
+log_prob is the natural log-probability of all its words, unknown counts those spelled.
 
 Defined cases: null text or no words: 0 tokens, log_prob 0, perplexity null. Null
 doc_id: scored like any row. Ties in word counts: the lesser hash comes first.
 Repeated rows count as often as they occur and get equal scores. A corpus without
 words gives 0 tokens everywhere; an empty table gives no rows. Other columns are not
-read. The averaged model depends on how the input is split into partitions.
+read. The vocabulary, 16 bytes a word, is held by the driver and each worker. The averaged model depends on how the input is split into partitions.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -38,6 +44,10 @@ from lexiloom.llm import textkernel as K
 from lexiloom.llm.common import arrow, cut
 
 VOCABULARY, DIM, CONTEXT = 1024, 16, 2
+#: Words that occur less often are spelled.
+LEAST = 2
+#: Letter pairs are counted as left << SHIFT | right; EDGE stands before and after a word.
+SHIFT, EDGE = 21, 0
 NOISE, BATCH, RATE = 64, 4096, 0.1
 HELD_WORDS = 2_000_000
 #: Code points scored at a time: the more, the more words share a context.
@@ -54,14 +64,75 @@ class Model(NamedTuple):
 
 class Words(NamedTuple):
     hashes: np.ndarray  # sorted
-    ids: np.ndarray  # 1, 2, ... by falling frequency; 0 is the unknown word
+    ids: np.ndarray  # 1, 2, ... by falling frequency, then one for each power of two of the count; 0 is the unknown word
     share: np.ndarray  # unigram share by id
+    within: np.ndarray | None = None  # log-probability of the word given its id, 0 where it has its own
 
-    def of(self, hashes: np.ndarray) -> np.ndarray:
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and log-probabilities within them (0 for unknown words: spelled() has theirs)."""
         if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64)
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes))
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.ids[at], 0)
+        known = self.hashes[at] == hashes
+        return np.where(known, self.ids[at], 0).astype(np.int64), np.zeros(len(hashes)) if self.within is None else np.where(known, self.within[at], 0.0)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        return self.find(hashes)[0]
+
+
+class Letters(NamedTuple):
+    pairs: np.ndarray  # sorted
+    counts: np.ndarray
+    lefts: np.ndarray  # letters with followers, sorted
+    left_counts: np.ndarray
+    rights: np.ndarray  # letters that follow, sorted
+    right_counts: np.ndarray
+
+
+def _counted(keys: np.ndarray, counts: np.ndarray, of: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.zeros(len(of))
+    at = np.minimum(np.searchsorted(keys, of), len(keys) - 1)
+    return np.where(keys[at] == of, counts[at], 0.0)
+
+
+def letters(pairs: np.ndarray, counts: np.ndarray) -> Letters:
+    order = np.argsort(pairs)
+    pairs, counts = pairs[order], counts[order].astype(float)
+    sides = []
+    for side in (pairs >> SHIFT, pairs & ((1 << SHIFT) - 1)):
+        keys, inverse = np.unique(side, return_inverse=True)
+        sides += [keys, np.bincount(inverse, counts, len(keys))]
+    return Letters(pairs, counts, *sides)
+
+
+def letter_pairs(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The letter pairs of words, edges included, word by word, and each word's first pair."""
+    n = ends - starts
+    firsts = np.cumsum(n + 1) - (n + 1)
+    word = np.repeat(np.arange(len(n)), n + 1)
+    at = np.arange(len(word)) - firsts[word] + starts[word]
+    left = np.where(at > starts[word], folded[np.maximum(at - 1, 0)], EDGE).astype(np.int64)
+    right = np.where(at < ends[word], folded[np.minimum(at, len(folded) - 1)], EDGE).astype(np.int64)
+    return left << SHIFT | right, firsts
+
+
+def spelled(model: Letters, pairs: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """The log-probability of each word's letters; letters never seen share one count with all code points."""
+    if not len(firsts):
+        return np.zeros(0)
+    one = (_counted(model.rights, model.right_counts, pairs & ((1 << SHIFT) - 1)) + 1 / (1 << SHIFT)) / (model.counts.sum() + 1)
+    both = (_counted(model.pairs, model.counts, pairs) + one) / (_counted(model.lefts, model.left_counts, pairs >> SHIFT) + 1)
+    return np.add.reduceat(np.log(both), firsts)
+
+
+def _unknown(texts: list[str], words: Words) -> tuple[K.Tokens, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Tokens, their ids, log-probabilities within these, the unknown ones' places and letter pairs."""
+    tokens, _, folded, bounds = K.tokenize_points(texts)
+    ids, within = words.find(tokens.hashes)
+    odd = np.flatnonzero(ids == 0)
+    base = bounds[np.searchsorted(tokens.offsets, odd, "right") - 1]
+    return tokens, ids, within, odd, letter_pairs(folded, tokens.starts[odd] + base, tokens.ends[odd] + base)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,17 +161,27 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pack(*merged())
 
 
-def vocabulary(documents: DataFrame, size: int = VOCABULARY) -> Words:
-    """The most frequent words of all documents."""
+def vocabulary(documents: DataFrame, size: int | None = None) -> Words:
+    """All words that occur LEAST times; size - 1 at most have ids of their own."""
     counts = arrow(documents.select("text").where("text is not null"), _count, "h bigint, n bigint")
     counts = cut(counts.groupBy("h").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    top = counts.orderBy(F.desc("n"), "h").limit(size - 1).collect()  # a fixed number
-    hashes = np.array([r["h"] for r in top], np.int64).view(np.uint64)
-    n = np.array([0, *(r["n"] for r in top)], float)
-    n[0] = max(total - n.sum(), 0)
+    distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    size = size or max(VOCABULARY, math.isqrt(distinct))
+    top = counts.orderBy(F.desc("n"), "h").limit(size - 1).toArrow()
+    rest = counts.where(F.col("n") >= LEAST).toArrow()
+    head, n = (top.column(c).to_numpy() for c in ("h", "n"))
+    hashes, m = (rest.column(c).to_numpy() for c in ("h", "n"))
+    tail = ~np.isin(hashes, head)
+    hashes, m = hashes[tail], m[tail]
+    powers, band = np.unique(np.frexp(m)[1], return_inverse=True)
+    mass = np.bincount(band, m, len(powers))
+    share = np.array([0, *n, *mass], float)
+    share[0] = max(total - share.sum(), 0)
+    ids = np.concatenate([np.arange(1, len(n) + 1), len(n) + 1 + band]).astype(np.int32)
+    within = np.concatenate([np.zeros(len(n)), np.log(m / mass[band])]).astype(np.float32)
+    hashes = np.concatenate([head, hashes]).view(np.uint64)
     order = np.argsort(hashes)
-    return Words(hashes[order], order + 1, (n + 1) / (n + 1).sum())
+    return Words(hashes[order], ids[order], (share + 1) / (share + 1).sum(), within[order])
 
 
 def start(words: Words, dim: int = DIM, seed: int = SEED) -> Model:
@@ -185,32 +266,45 @@ def _shaped(flat: np.ndarray, like: Model) -> Model:
     return Model(*parts)
 
 
-def _trainer(words: Words, model: Model):
+def _trainer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, model = shared.value
         trainer = Trainer(model, words.share)
+        pairs, counts = np.zeros(0, np.int64), np.zeros(0)
         for batch in batches:
             for _, _, texts in K.chunks(batch.column(0)):
-                tokens = K.tokenize(texts)
-                ids = words.of(tokens.hashes)
+                tokens, ids, _, _, (own, _) = _unknown(texts, words)
                 trainer.feed(ids, contexts(ids, tokens.offsets, len(words.share)))
+                own, n = np.unique(own, return_counts=True)
+                pairs, inverse = np.unique(np.concatenate([pairs, own]), return_inverse=True)
+                counts = np.bincount(inverse, np.concatenate([counts, n]), len(pairs))
         if trainer.words:
             flat = _flat(trainer.model()) * trainer.words
-            slots = np.arange(len(flat) + 1, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(np.append(flat, trainer.words))], names=["slot", "x"])
+            slots = np.concatenate([np.arange(len(flat) + 1, dtype=np.int64), -1 - pairs])
+            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(np.concatenate([flat, [trainer.words], counts]))], names=["slot", "x"])
 
     return run
 
 
-def fit(documents: DataFrame, words: Words) -> Model:
-    """One model from all documents: the average of what their partitions learn."""
+def fitted(documents: DataFrame, words: Words) -> tuple[Model, Letters]:
+    """One model from all documents, the average of what their partitions learn; and the letters of unknown words."""
     model = start(words)
-    sums = arrow(documents.select("text").where("text is not null"), _trainer(words, model), "slot bigint, x double")
-    rows = sums.groupBy("slot").agg(F.sum("x").alias("x")).collect()  # as many as the model has parameters
-    if not rows:
-        return model
-    flat = np.zeros(len(rows))
-    flat[[r["slot"] for r in rows]] = [r["x"] for r in rows]
-    return _shaped(flat[:-1] / flat[-1], model)
+    shared = documents.sparkSession.sparkContext.broadcast((words, model))
+    sums = arrow(documents.select("text").where("text is not null"), _trainer(shared), "slot bigint, x double")
+    # As many rows as the model has parameters and the corpus pairs of letters; slots of pairs are negative.
+    rows = sums.groupBy("slot").agg(F.sum("x").alias("x")).toArrow()
+    slot, x = (rows.column(c).to_numpy() for c in ("slot", "x"))
+    own = slot >= 0
+    spelling = letters(-1 - slot[~own], x[~own])
+    if not own.any():
+        return model, spelling
+    flat = np.zeros(int(own.sum()))
+    flat[slot[own]] = x[own]
+    return _shaped(flat[:-1] / flat[-1], model), spelling
+
+
+def fit(documents: DataFrame, words: Words) -> Model:
+    return fitted(documents, words)[0]
 
 
 def log_probs(model: Model, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -248,13 +342,13 @@ def log_probs(model: Model, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
 
 def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, model = shared.value
+        words, (model, spelling) = shared.value
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, texts in K.chunks(batch.column(1), CHUNK):
-                tokens = K.tokenize(texts)
-                own = words.of(tokens.hashes)
-                each = log_probs(model, own, contexts(own, tokens.offsets, len(words.share)))
+                tokens, own, within, unknown, parts = _unknown(texts, words)
+                each = log_probs(model, own, contexts(own, tokens.offsets, len(words.share))) + within
+                each[unknown] += spelled(spelling, *parts)
                 sums = np.concatenate([[0], np.cumsum(each, dtype=np.float64)])
                 odd = np.concatenate([[0], np.cumsum(own == 0)])
                 a, b = tokens.offsets[:-1], tokens.offsets[1:]
@@ -272,5 +366,5 @@ def _scorer(shared):
 def lm_scores(documents: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     words = vocabulary(docs)
-    shared = documents.sparkSession.sparkContext.broadcast((words, fit(docs, words)))  # a fixed size
+    shared = documents.sparkSession.sparkContext.broadcast((words, fitted(docs, words)))
     return arrow(docs, _scorer(shared), "doc_id bigint, tokens bigint, unknown bigint, log_prob double, perplexity double")

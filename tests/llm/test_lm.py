@@ -67,3 +67,33 @@ def test_defined_cases(spark):
     assert abs(by[1][4] - math.exp(-by[1][3] / 3)) < 0.01
     assert rows(M.lm_scores(documents(spark, []))) == []
     assert rows(M.lm_scores(documents(spark, [(1, None)]))) == [(1, 0, 0, 0.0, None)]
+
+
+def test_every_word_has_its_own_probability(spark):
+    """Words outside the network's symbols differ by count, and unknown ones by letters."""
+    data = [(0, "common " * 50), (1, "often " * 9), (2, "twice twice"), (3, "banana"), (4, "bananas"), (5, "qxzjv"), (6, "banana0000 " * 2)]
+    words = M.vocabulary(documents(spark, data).select("text"), size=2)
+    assert len(words.hashes) == 4
+    ids, within = words.find(K.tokenize(["common often twice banana0000 banana"]).hashes)
+    assert ids[0] == 1 and ids[2] == ids[3] and len({0, *ids.tolist()}) == 4 and ids[4] == 0
+    assert np.allclose(np.exp(within[1:4]), [1, 0.5, 0.5])
+    rare = [(100 + i, f"rare{i}") for i in range(4000)]
+    junk = [(9000 + i, f"junk{i}qqxzzv") for i in range(40)]
+    got = rows(M.lm_scores(documents(spark, [*rare, *junk, *((1, "alpha"),) * 200])))
+    spelt = {name: [r[3] for r in got if r[2] and r[0] in ids] for name, ids in (("rare", {i for i, _ in rare}), ("junk", {i for i, _ in junk}))}
+    assert len(spelt["junk"]) > 5 and max(spelt["junk"]) < min(spelt["rare"]) and got[0][2] == 0 and got[0][3] > max(spelt["rare"])
+
+
+def test_spelling_is_normalised():
+    """What may follow a letter has probability 1 in all."""
+    folded = np.array([1, 2, 2, 1], np.uint32)
+    pairs, firsts = M.letter_pairs(folded, np.array([0, 2]), np.array([2, 4]))
+    assert firsts.tolist() == [0, 3] and [(p >> M.SHIFT, p & ((1 << M.SHIFT) - 1)) for p in pairs.tolist()] == [(0, 1), (1, 2), (2, 0), (0, 2), (2, 1), (1, 0)]
+    model = M.letters(*np.unique(pairs, return_counts=True))
+    after = np.array([(1 << M.SHIFT) | b for b in range(1 << M.SHIFT)])
+    assert abs(np.exp(M.spelled(model, after, np.arange(len(after)))).sum() - 1) < 1e-9
+
+
+def test_the_vocabulary_grows_with_the_corpus(spark):
+    small, large = ([(i, f"a{i} a{i}") for i in range(n)] for n in (2000, 6000))
+    assert [len(M.vocabulary(documents(spark, d).select("text")).hashes) for d in (small, large)] == [2000, 6000]
