@@ -39,8 +39,9 @@ from lexiloom.llm import textkernel as K
 from lexiloom.llm.common import arrow, components, cut, maybe_in, without
 
 SHINGLE = 3
-BANDS, ROWS = 25, 5
-THRESHOLD = 0.7
+#: Pairs of the threshold share a band with probability 1 - (1 - 0.5 ** 4) ** 40 = 0.92.
+BANDS, ROWS = 40, 4
+THRESHOLD = 0.5
 UNIVERSE = 1 << 20
 LOCAL_SHINGLES = 10_000_000
 SEED = 20_240_229

@@ -81,6 +81,17 @@ def test_defined_cases(spark):
     assert [r[0] for r in rows(kept.select("doc_id"))] == [1, 3, 4, 5, 6, 7, 9, 10, 12, 12, None]
 
 
+def test_copies_with_a_tenth_of_words_changed(spark):
+    rng = random.Random(4)
+    pairs = [(base := prose(rng, 200), changed(rng, base, 0.1)) for _ in range(150)]
+    like = [len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for a, b in pairs]
+    data = [(2 * i + j, t) for i, pair in enumerate(pairs) for j, t in enumerate(pair)]
+    got = {r[0] for r in rows(M.near_duplicate_groups(documents(spark, data)))}
+    wanted = [2 * i for i, s in enumerate(like) if 0.5 <= s < 0.7]
+    assert len(wanted) > 60 and np.mean([i in got for i in wanted]) > 0.9
+    assert not any(2 * i in got for i, s in enumerate(like) if s < 0.5)
+
+
 def test_empty(spark):
     df = documents(spark, [])
     assert rows(M.near_duplicate_groups(df)) == [] and rows(M.near_dedup(df)) == []
