@@ -7,10 +7,12 @@ logistic layer reads the maxima. Training is minibatch Adagrad on the driver, wi
 random part of the words left out of the maxima each time (else a document teaches its
 strongest word alone),
 over at most TRAIN_TOXIC toxic and TRAIN_CLEAN clean labelled rows (those with the
-least hash of doc_id). A quarter of them is held out of training and, weighted back
-to the shares of all labels, sets one decision threshold for each language: the one
-with the best F1. A language with fewer than LEAST_HELD held-out rows of either class takes the
-threshold of all languages.
+least hash of doc_id), less a quarter that is held out. All labelled rows that
+aren't trained on are scored in Spark and, weighted back to the shares of all labels,
+set one decision threshold for each language: the one with the best F1. Scores are
+counted in STEPS steps of the log-odds, so the driver gets as many rows as there are
+steps, whatever the labels' number. A language with fewer than LEAST_HELD such rows
+of either class takes the threshold of all languages.
 
 Scoring is one pass over whole texts. For each batch the filters are multiplied
 with the distinct words' vectors once, and a document gathers and adds rows.
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm import textkernel as K
-from lexiloom.llm.common import fresh
+from lexiloom.llm.common import cut, fresh, maybe_in
 from lexiloom.shipping import ship
 
 TRAIN_TOXIC, TRAIN_CLEAN = 3000, 6000
@@ -46,6 +48,8 @@ STEMS = (4, 5, 6, 7)
 EPOCHS, BATCH, RATE = 8, 32, 0.1
 DROPOUT = 0.3
 LEAST_HELD = 10
+#: Steps of the log-odds from -LIMIT to LIMIT.
+STEPS, LIMIT = 4096, 16
 SMALL = 0.001
 SEED = 7
 
@@ -191,39 +195,51 @@ class Classifier(NamedTuple):
 def fit(documents: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC, clean_rows: int = TRAIN_CLEAN) -> Classifier:
     rows = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("toxic").cast("int").alias("y"))
     rows = rows.where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
-    totals = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    first = lambda y, n: rows.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n)
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("id"), "text", "lang").where("text is not null and id is not null")
+    # Labels without a document have no part.
+    labelled = cut(rows.join(texts.select("id").distinct(), "id"))
+    totals = {r["y"]: r["count"] for r in labelled.groupBy("y").count().collect()}
+    first = lambda y, n: labelled.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n)
     sample = first(1, toxic_rows).union(first(0, clean_rows))
-    found = (
-        documents.select(F.col("doc_id").cast("bigint").alias("id"), "text", "lang")
-        .where("text is not null")
-        .join(F.broadcast(sample), "id")  # at most toxic_rows + clean_rows ids
-        .collect()
-    )
+    found = texts.join(F.broadcast(sample), "id").collect()  # at most toxic_rows + clean_rows ids
     found = sorted(found, key=lambda r: (r["id"], r["text"], r["lang"] or ""))
     found = [r for a, r in zip([None, *found], found) if a is None or a["id"] != r["id"]]
     y = np.array([r["y"] for r in found], np.float32)
-    texts = [r["text"] for r in found]
     if len(set(y.tolist())) < 2:
         return Classifier(None, 1.0, {})
     held = np.zeros(len(y), bool)
     for c in (0, 1):
         own = np.flatnonzero(y == c)
         held[own[3::4]] = True
-    model = train([t for t, h in zip(texts, held) if not h], y[~held])
-    if not held.any() or len(set(y[held].tolist())) < 2:
-        return Classifier(model, 0.5, {})
-    at = np.flatnonzero(held)
-    share = [totals[c] / max(1, int((y == c).sum())) for c in (0, 1)]
-    weights = np.where(y == 1, share[1], share[0])[at]
-    scores = np.concatenate([score(model, part) for _, _, part in K.chunks([texts[i] for i in at])])
-    langs = np.array([found[i]["lang"] or "" for i in at])
+    model = train([r["text"] for r, h in zip(found, held) if not h], y[~held])
+    trained = documents.sparkSession.createDataFrame([(found[i]["id"],) for i in np.flatnonzero(~held)], "id bigint")
+    # Texts stay where they are: those that may be labelled are scored, and the scores joined with labels.
+    maybe = maybe_in(texts, "id", labelled.select("id"), "maybe").where("maybe").select("id", "text", "lang")
+    marks = scored(maybe, Classifier(model, 0.5, {}), "score").select("id", F.coalesce("lang", F.lit("")).alias("lang"), "score")
+    rest = marks.join(labelled.join(F.broadcast(trained), "id", "left_anti"), "id")
+    # Rows that repeat a doc_id count once.
+    rest = rest.groupBy("id").agg(F.min(F.struct("lang", "score", "y")).alias("r")).select("r.*")
+    odds = F.least(F.greatest(F.log(F.col("score") / (1 - F.col("score"))), F.lit(-LIMIT)), F.lit(LIMIT))
+    odds = F.when(F.col("score") <= 0, -LIMIT).when(F.col("score") >= 1, LIMIT).otherwise(odds)
+    step = F.floor((odds + LIMIT) * (STEPS / (2 * LIMIT))).cast("int")
+    counts = rest.groupBy("lang", "y", step.alias("step")).agg(F.count("*").alias("n"), F.avg("score").alias("s")).collect()
+    return Classifier(model, *_thresholds(counts, totals))
+
+
+def _thresholds(counts: list, totals: dict[int, int]) -> tuple[float, dict[str, float]]:
+    """The overall threshold and those by language, from (lang, y, s, n) rows of n documents about score s."""
+    y, n = np.array([r["y"] for r in counts]), np.array([r["n"] for r in counts], float)
+    each = [n[y == c].sum() for c in (0, 1)]
+    if not all(each):
+        return 0.5, {}
+    weights = n * np.where(y == 1, totals[1] / each[1], totals[0] / each[0])
+    scores, langs = np.array([r["s"] for r in counts]), np.array([r["lang"] for r in counts])
     per = {}
     for lang in sorted(set(langs.tolist()) - {""}):
         own = langs == lang
-        if min(int(y[at][own].sum()), int((1 - y[at][own]).sum())) >= LEAST_HELD:
-            per[lang] = threshold(scores[own], y[at][own], weights[own])
-    return Classifier(model, threshold(scores, y[at], weights), per)
+        if min(n[own & (y == 1)].sum(), n[own & (y == 0)].sum()) >= LEAST_HELD:
+            per[lang] = threshold(scores[own], y[own], weights[own])
+    return threshold(scores, y, weights), per
 
 
 def scored(documents: DataFrame, classifier: Classifier, name: str) -> DataFrame:

@@ -76,3 +76,16 @@ def test_nothing_to_learn_from(spark):
         assert [r[2:] for r in rows(T.toxicity_scores(docs, table))] == [(0.0, False)] * 2
         assert T.drop_toxic(docs, table).count() == 2
     assert rows(T.toxicity_scores(documents(spark, []), spark.createDataFrame([(1, 1, 1)], LABELS))) == []
+
+
+def test_thresholds_come_from_all_labelled_rows(spark, monkeypatch):
+    """A rare language has few rows in the bounded sample, yet enough labelled ones for a threshold of its own."""
+    rng = random.Random(14)
+    docs, labels = corpus(rng, 900)
+    docs = [(i, t, "rare" if i % 9 in (0, 1) else lang) for i, t, lang in docs]
+    seen = []
+    monkeypatch.setattr(T, "_thresholds", lambda counts, totals, run=T._thresholds: seen.append((counts, totals)) or run(counts, totals))
+    c = T.fit(documents(spark, docs), spark.createDataFrame(labels, LABELS), toxic_rows=60, clean_rows=120)
+    assert "rare" in c.by_language
+    counts, totals = seen[0]
+    assert sum(r["n"] for r in counts) == 900 - 45 - 90 and totals == {1: 225, 0: 675}
