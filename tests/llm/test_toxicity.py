@@ -89,3 +89,12 @@ def test_thresholds_come_from_all_labelled_rows(spark, monkeypatch):
     assert "rare" in c.by_language
     counts, totals = seen[0]
     assert sum(r["n"] for r in counts) == 900 - 45 - 90 and totals == {1: 225, 0: 675}
+
+
+def test_labels_without_documents_leave_the_sample_whole(spark):
+    docs, labels = corpus(random.Random(15), 200)
+    strays = [(i, 1, i % 2) for i in range(10_000, 14_000)]
+    c = T.fit(documents(spark, docs), spark.createDataFrame(labels + strays, LABELS), toxic_rows=40, clean_rows=80)
+    assert c.model is not None
+    d = T.fit(documents(spark, docs), spark.createDataFrame(labels, LABELS), toxic_rows=40, clean_rows=80)
+    assert (c.model.words == d.model.words).all() and c[1:] == d[1:]
