@@ -1,13 +1,15 @@
 """Operator 8: secret scan by keyword automaton, anchored patterns and checksums.
 
-An Aho-Corasick automaton reads each text once and stops at the keywords of RULES.
+Aho-Corasick automata read each text, one as it is and one in lower case, and stop at
+the keywords of RULES.
 Only there a rule's regular expression is matched, anchored at the keyword, and a
 match counts only if its embedded check passes: the CRC-32 that GitHub and npm
 tokens end with, the JSON header of a web token, the base64 body of a private key,
 or, for assigned values, enough entropy. One narrow pass, no shuffle.
 
-Keywords are found in lower case, UPPER CASE and Capitalised; case matters where a
-rule says so.
+Keywords are found in any case and, where they have two words, joined by "_", "-" or
+nothing; case matters where a rule says so. Assigned values may lack quotes; then they
+end at white space, or at a character that values like keys and tokens don't hold.
 
 Result: (doc_id, kind, start, stop, value_hash, checked), one row for each finding;
 start and stop count code points, value_hash is the xxh64 of the secret so that the
@@ -101,11 +103,11 @@ RULES = (
     Rule("slack_token", ("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"), re.compile(r"(xox[bpars]-[0-9A-Za-z\-]{20,})"), None, False),
     Rule("stripe_key", ("sk_live_", "rk_live_"), re.compile(r"([sr]k_live_[0-9A-Za-z]{24,})"), None, False),
     Rule("json_web_token", ("eyJ",), re.compile(r"(eyJ[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]{16,})", re.ASCII), _jwt_ok, True),
-    Rule("private_key", ("-----BEGIN ",), re.compile(r"(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----\n[A-Za-z0-9+/=\s:,\-]*?\n-----END [A-Z ]{0,20}PRIVATE KEY-----)"), _key_ok, True),
+    Rule("private_key", ("-----BEGIN ",), re.compile(r"(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----\r?\n[A-Za-z0-9+/=\s:,\-]*?\n-----END [A-Z ]{0,20}PRIVATE KEY-----)"), _key_ok, True),
     Rule(
         "assigned_secret",
-        ("token", "secret", "password", "passwd", "apikey", "api_key", "api-key", "access_key", "private_key", "auth_key"),
-        re.compile(r"[a-z_\-]{3,12}[\w.\-]{0,32}[\"']?\s{0,8}(?:=>|:=|=|:)\s{0,8}[\"']([^\"'\s]{16,512})[\"']", re.ASCII | re.IGNORECASE),
+        ("token", "secret", "password", "passwd", *(f"{word}{joiner}key" for word in ("api", "access", "private", "auth") for joiner in ("", "_", "-"))),
+        re.compile(r"[a-z_\-]{3,12}[\w.\-]{0,32}[\"']?\s{0,8}(?:=>|:=|=|:)\s{0,8}(?:[\"'](?=[^\"'\s]{16,512}[\"'])([^\"'\s]+)|([A-Za-z0-9_\-+/=.~]{16,512})(?![A-Za-z0-9_\-+/=.~(\[]))", re.ASCII | re.IGNORECASE),
         _varied,
         False,
         False,
@@ -113,13 +115,12 @@ RULES = (
 )
 
 
-@lru_cache(maxsize=1)
-def automaton() -> ahocorasick.Automaton:
+@lru_cache(maxsize=2)
+def automaton(cased: bool) -> ahocorasick.Automaton:
     words: dict[str, set[int]] = {}
     for i, rule in enumerate(RULES):
-        for word in rule.keywords:
-            for form in {word} if rule.cased else {word, word.upper(), word.capitalize()}:
-                words.setdefault(form, set()).add(i)
+        for word in rule.keywords if rule.cased == cased else ():
+            words.setdefault(word, set()).add(i)
     out = ahocorasick.Automaton()
     for word, rules in words.items():
         out.add_word(word, (len(word), tuple(sorted(rules))))
@@ -127,23 +128,30 @@ def automaton() -> ahocorasick.Automaton:
     return out
 
 
+def folded(text: str) -> str:
+    """text in lower case, code point by code point: as long as text."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+
+
 def _accept(rule: Rule, text: str, at: int) -> tuple[int, int] | None:
     if rule.cased and at and (text[at - 1].isascii() and (text[at - 1].isalnum() or text[at - 1] == "_")):
         return None
     found = rule.pattern.match(text, at)
-    if not found or (rule.check and not rule.check(found[1])):
+    if not found or (rule.check and not rule.check(found[found.lastindex])):
         return None
-    return found.span(1)
+    return found.span(found.lastindex)
 
 
 def scan(text: str) -> list[tuple[str, int, int, int, bool]]:
     """(kind, start, stop, hash, checked) of every secret, in order."""
     out = {}
-    for end, (size, rules) in automaton().iter(text):
-        for i in rules:
-            span = _accept(RULES[i], text, end - size + 1)
-            if span:
-                out[(i, *span)] = None
+    for cased in (True, False):
+        for end, (size, rules) in automaton(cased).iter(text if cased else folded(text)):
+            for i in rules:
+                span = _accept(RULES[i], text, end - size + 1)
+                if span:
+                    out[(i, *span)] = None
     rows = sorted(out, key=lambda x: (x[1], x[2], x[0]))
     return [(RULES[i].kind, a, b, xxhash.xxh64_intdigest(text[a:b]) - (1 << 63), RULES[i].proves) for i, a, b in rows]
 

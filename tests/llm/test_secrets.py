@@ -58,3 +58,17 @@ def test_defined_cases(spark):
     n = len(GITHUB)
     assert got == [(1, "github_token", 2, 2 + n, True)] * 2 + [(4, "github_token", len(long) - n, len(long), True), (None, "aws_access_key", 2, 22, False)]
     assert rows(S.secrets(documents(spark, []))) == []
+
+
+def test_names_in_any_case_and_joiner_and_values_without_quotes():
+    value = "a8f5f167f44f4964e6c998dee827110c"
+    for name in ("apiKey", "accessKey", "privateKey", "authKey", "Api_Key", "ACCESS-KEY", "accesskey", "dbPassWord"):
+        for text in (f'İ {name} = "{value}"', f"{name}: '{value}'", f"{name}={value}", f"export {name}={value}\r\nX=1"):
+            assert [(f[0], text[f[1] : f[2]]) for f in S.scan(text)] == [("assigned_secret", value)], text
+    for text in ("token = os.environ.get1234567(x)", "api_key = load2keys3from4file(path)", f"token {value}", "password=short1"):
+        assert S.scan(text) == [], text
+
+
+def test_private_keys_with_crlf_line_ends():
+    text = "x\r\n" + KEY.replace("\n", "\r\n")
+    assert [(f[0], f[1], f[2]) for f in S.scan(text)] == [("private_key", 3, len(text))]
