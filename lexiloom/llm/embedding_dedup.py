@@ -18,8 +18,8 @@ Result: (vec_a, vec_b, similarity), vec_a < vec_b, for every pair found whose ex
 cosine similarity is at least THRESHOLD.
 
 Defined cases: null vec_id, null embedding, null or not finite elements, length 0:
-never paired. Vectors of another dimension than most rows have (of equally many, the
-larger dimension): never paired. Equal vectors pair with similarity 1. Rows that
+never paired. Vectors of several dimensions: each dimension is searched by itself, pairs
+exist within one only. Equal vectors pair with similarity 1. Rows that
 repeat a vec_id don't pair with each other, and a pair of ids that several rows give
 counts once, with the greatest similarity. An empty table gives no rows. Other
 columns are not read.
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -189,11 +190,15 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD,
     usable = usable.where(~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > 1e150)))
     norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))
     usable = usable.withColumn("norm", norm).where("norm > 0")
-    dims = usable.groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    spark = embeddings.sparkSession
-    if dims is None:
-        return spark.createDataFrame([], "vec_a bigint, vec_b bigint, similarity double")
-    dim, rows = dims["d"], dims["count"]
+    dims = usable.groupBy(F.size("e").alias("d")).count().where("count > 1").orderBy(F.desc("count"), F.desc("d")).collect()
+    if not dims:
+        return embeddings.sparkSession.createDataFrame([], "vec_a bigint, vec_b bigint, similarity double")
+    found = [_of_dimension(usable, r["d"], r["count"], threshold, recall, z) for r in dims]
+    return reduce(DataFrame.union, found).groupBy("vec_a", "vec_b").agg(F.max("similarity").alias("similarity"))
+
+
+def _of_dimension(usable: DataFrame, dim: int, rows: int, threshold: float, recall: float, z: float) -> DataFrame:
+    """(vec_a, vec_b, similarity) of the pairs among the rows vectors of one dimension."""
     planes, tables = plan(rows, threshold, recall)
     unit = usable.where(F.size("e") == dim).select("id", F.transform("e", lambda x: x / F.col("norm")).cast("array<float>").alias("e"))
     coded = arrow(unit, _coder(dim, planes, tables), "key bigint, id bigint, body binary, low float, step float, factor float")
@@ -202,5 +207,4 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD,
     raw = usable.where(F.size("e") == dim).select("id", "e").distinct()
     both = pairs.join(raw.select(F.col("id").alias("vec_a"), F.col("e").alias("xa")), "vec_a")
     both = both.join(raw.select(F.col("id").alias("vec_b"), F.col("e").alias("xb")), "vec_b")
-    found = arrow(both.select("vec_a", "vec_b", "xa", "xb"), _exact(threshold), "vec_a bigint, vec_b bigint, similarity double")
-    return found.groupBy("vec_a", "vec_b").agg(F.max("similarity").alias("similarity"))
+    return arrow(both.select("vec_a", "vec_b", "xa", "xb"), _exact(threshold), "vec_a bigint, vec_b bigint, similarity double")

@@ -73,3 +73,9 @@ def test_defined_cases(spark):
     ]
     assert rows(E.near_duplicate_vectors(table(spark, data)).select("vec_a", "vec_b")) == [(1, 2)]
     assert rows(E.near_duplicate_vectors(table(spark, []))) == []
+
+
+def test_every_dimension_is_searched(spark):
+    data = [(i, [float(i), 1.0, 2.0]) for i in range(0, 50, 10)] + [(100, [1.0, 2.0]), (101, [1.0, 2.0]), (102, [2.0, -1.0]), (200, [1.0] * 5), (201, [2.0] * 5), (300, [1.0] * 6)]
+    got = rows(E.near_duplicate_vectors(spark.createDataFrame(data, "vec_id bigint, embedding array<float>")))
+    assert [r for r in got if r[0] >= 100] == [(100, 101, 1.0), (200, 201, 1.0)] and any(r[0] < 100 for r in got)
