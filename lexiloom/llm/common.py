@@ -2,35 +2,49 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm.textkernel import release
 from lexiloom.shipping import ship
 
-#: Bits of the fixed-size id filter (1 MB as broadcast rows, whatever the data's size).
-FILTER_BITS = 1 << 22
+#: Slots of the id filter for each id, and the least and most slots: 0.5 MB to 16 MB of bits.
+FILTER_SHARE, FILTER_LEAST, FILTER_MOST = 16, 1 << 22, 1 << 27
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and stored in the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names no spark.checkpoint.dir (tests, notebooks) is a
-    folder of our own set.
+    Where it is unset, a session on one machine (tests, notebooks) gets a temporary folder;
+    on a cluster that is an error, as other machines couldn't read what is written there.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="lexiloom-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and stored in the cluster's shared checkpoint folder."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", "") or ""
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexiloom-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(*frames: DataFrame | list[str]) -> str:
     """A column prefix that no column of the frames has."""
     names = {c.lower() for f in frames for c in (f.columns if isinstance(f, DataFrame) else f)}
@@ -55,22 +69,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def filter_slots(ids: int) -> int:
+    """A power of two, FILTER_SHARE for each id within the bounds."""
+    return min(max(FILTER_LEAST, 1 << (ids * FILTER_SHARE - 1).bit_length() if ids else 0), FILTER_MOST)
+
+
 def maybe_in(df: DataFrame, key: str, ids: DataFrame, flag: str) -> DataFrame:
     """df with a boolean column flag: false only where df[key] is surely not in ids.
 
-    ids has one column. A bitmap of FILTER_BITS bits is built with bit_or and
-    broadcast: its size is fixed, so when ids outgrow it more rows are flagged and
-    go the exact way, but none is missed. Null keys are never flagged.
+    ids has one column and is stored, as it is read twice. A bitmap is built with bit_or
+    and broadcast; it grows with the number of ids, so that one row in FILTER_SHARE is
+    flagged for nothing, up to FILTER_MOST slots. When ids outgrow that, more rows are
+    flagged and go the exact way, but none is missed. Null keys are never flagged.
     """
     p = fresh(df, [flag])
     [name] = ids.columns
-    slot = F.pmod(F.xxhash64(F.col(name).cast("bigint")), F.lit(FILTER_BITS))
+    slots = F.lit(filter_slots(ids.count()))
+    slot = F.pmod(F.xxhash64(F.col(name).cast("bigint")), slots)
     words = (
         ids.select(slot.alias("s"))
         .groupBy(F.shiftright("s", 6).alias(f"{p}w"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias(f"{p}b"))
     )
-    at = F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(FILTER_BITS))
+    at = F.pmod(F.xxhash64(F.col(key).cast("bigint")), slots)
     hit = F.expr(f"(({p}b >> cast({p}s & 63 as int)) & 1L) = 1L")
     return (
         df.withColumn(f"{p}s", F.when(F.col(key).isNotNull(), at))
@@ -96,6 +117,13 @@ def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return clear.unionByName(unsure.select(*[F.col(f"`{c}`") for c in columns]))
 
 
+def bounded(ids: DataFrame, rows: int, letters: int) -> DataFrame:
+    """A fixed sample of (id, size, ...): at most rows rows, those with the least hash of id, as long as their sizes sum to letters at most."""
+    some = ids.orderBy(F.xxhash64("id"), "id").limit(rows)  # so many rows at most are in the window's one task
+    order = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("id"), "id")
+    return some.withColumn("upto", F.sum("size").over(order)).where(F.col("upto") <= letters).drop("upto", "size")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a, b) edges of longs: (node, root), root the least node.
 

@@ -15,9 +15,11 @@ Result: (doc_id, license, start, stop, cover), one row for each verified span; s
 and stop count words from 0, stop is exclusive.
 
 Defined cases: null doc_id or text, and texts shorter than SHINGLE words: no rows.
-Rows that repeat a doc_id are one document: equal rows count once. Overlapping
-templates each give their own row. Templates shorter than SHINGLE words are an error.
-An empty table gives no rows. Other columns are not read.
+Rows that repeat a doc_id are one document: equal rows count once, and the votes of
+different texts are counted together, so start and stop hold for one of them. Overlapping
+templates each give their own row; a span that fits several templates equally (a tie) is
+given for each. Texts of any length are read whole. Templates shorter than SHINGLE words
+are an error. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,14 +43,49 @@ _WARRANTY = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO '
     "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
 )
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights '
+    "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to "
+    "whom the Software is furnished to do so"
+)
+_MIT_END = (
+    " IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+    "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+    "granted, provided that the above copyright notice and this permission notice appear in all copies."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met"
+)
+_BSD_2 = (
+    ": Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+    "in the documentation and/or other materials provided with the distribution."
+)
+_BSD_3 = (
+    " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+    "from this software without specific prior written permission."
+)
+_BSD_END = (
+    ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+    "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+#: Lines, grants and notices, and the short licenses whole. The texts of the long ones (Apache, GPL, MPL) end with the notice to apply, which is found.
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
     "mit-line": "Released under the MIT License.",
-    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-    'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights '
-    "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to "
-    "whom the Software is furnished to do so",
+    "mit-grant": _MIT,
     "mit-warranty": _WARRANTY,
+    "mit": f"{_MIT}, subject to the following conditions: The above copyright notice and this permission notice shall be included in all "
+    f"copies or substantial portions of the Software. {_WARRANTY}{_MIT_END}",
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
     "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
@@ -57,13 +94,25 @@ TEMPLATES = {
     "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
     "License as published by the Free Software Foundation",
+    "lgpl-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+    "License as published by the Free Software Foundation",
     "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0-line": "Licensed under CC BY-SA 4.0.",
     "cc-by-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-    "following conditions are met",
-    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-    "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "bsd-grant": _BSD,
+    "bsd-2-clause": _BSD + _BSD_2 + _BSD_END,
+    "bsd-3-clause": _BSD + _BSD_2 + _BSD_3 + _BSD_END,
+    "isc-grant": _ISC,
+    "isc": f'{_ISC} THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL '
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR "
+    "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+    "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
+    "damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including "
+    "commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this "
+    "software must not be misrepresented; you must not claim that you wrote the original software. Altered source versions must be "
+    "plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered "
+    "from any source distribution.",
     "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
     "not distributed with this file, You can obtain one at",
     "unlicense": "This is free and unencumbered software released into the public domain.",

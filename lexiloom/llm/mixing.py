@@ -2,7 +2,7 @@
 
 Domains are read from the labelled table: "toxic" (toxic = 1), "high" and "low"
 (quality 1 or 0, not toxic). A multinomial logistic classifier, trained in numpy on
-at most TRAIN_ROWS labelled rows of each domain, predicts every document's domain
+at most TRAIN_ROWS labelled rows (and TRAIN_LETTERS code points of text) of each domain, predicts every document's domain
 posteriors p from hashed words and the shape of its text.
 
 With n tokens in a document and share w = n / total, rates r >= 0 are fitted so
@@ -27,11 +27,14 @@ null id or null classes are ignored; of several labels for one doc_id the greate
 toxic and then the least quality counts. Domains without a target or without labelled
 rows are left out, and the targets are scaled to sum to 1 over the others. Fewer than two domains: all
 rates are 1. Repeated rows get equal rates and count as often as they occur. An empty
-table gives no rows. Other columns are not read by mixture_rates.
+table gives no rows. Texts of any length are read whole. Ties: equal posteriors give
+equal rates; of labelled rows with equal hashes the least doc_id is trained on first.
+Other columns are not read by mixture_rates and pass through mixed whatever their names.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -41,12 +44,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm import textkernel as K
-from lexiloom.llm.common import arrow, cut
+from lexiloom.llm.common import arrow, bounded, cut
 from lexiloom.shipping import ship
 
 DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.9, "low": 0.05, "toxic": 0.05}
 TRAIN_ROWS = 2500
+#: Code points of the training texts of one domain.
+TRAIN_LETTERS = 32_000_000
 BUCKETS = 1 << 15
 EPOCHS, BATCH, RATE = 8, 64, 0.3
 RIDGE = 0.02
@@ -161,16 +166,18 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, d
     rows = rows.where("id is not null and t in (0, 1) and q in (0, 1)").groupBy("id").agg(F.max("t").alias("t"), F.min("q").alias("q"))
     rows = rows.select("id", F.expr("case when t = 1 then 'toxic' when q = 1 then 'high' else 'low' end").alias("d"))
     ids = documents.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text")).where("text is not null")
-    there = cut(ids.select("id").join(rows, "id").distinct())
+    sized = ids.groupBy("id").agg(F.max(F.length("text")).alias("size"))
+    there = cut(sized.join(rows, "id"))
     totals = {r["d"]: r["count"] for r in there.groupBy("d").count().collect()}
     names = tuple(d for d in domains if d in totals)
     if len(names) < 2:
         return names, None
     sample = None
     for d in names:
-        part = there.where(F.col("d") == d).orderBy(F.xxhash64("id"), "id").limit(train_rows)
+        part = bounded(there.where(F.col("d") == d), train_rows, TRAIN_LETTERS)
         sample = part if sample is None else sample.union(part)
-    found = ids.join(F.broadcast(sample), "id").collect()  # at most train_rows ids of each domain
+    # At most train_rows ids of each domain, and TRAIN_LETTERS code points; rows that repeat an id count once.
+    found = ids.join(F.broadcast(sample), "id").groupBy("id", "d").agg(F.min("text").alias("text")).collect()
     found = sorted(found, key=lambda r: (r["id"], r["text"]))
     prior = np.array([totals[d] for d in names], float)
     model = train([r["text"] for r in found], np.array([names.index(r["d"]) for r in found]), prior / prior.sum())
@@ -305,8 +312,13 @@ def mixture_rates(
 def mixed(
     documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, train_rows: int = TRAIN_ROWS, steps: int = STEPS
 ) -> DataFrame:
-    """The documents with their rate as a last column ("rate", or "mixing_rate" where that exists); rates of 0 go."""
-    name = "mixing_rate" if "rate" in {c.lower() for c in documents.columns} else "rate"
+    """All documents with their rate as a last column: "rate", or where that is taken (in any case) "mixing_rate", "mixing_rate_2", ...
+
+    A rate of 0 is a decision for whoever samples; the row stays.
+    """
+    taken = {c.lower() for c in documents.columns}
+    names = itertools.chain(("rate", "mixing_rate"), (f"mixing_rate_{i}" for i in itertools.count(2)))
+    name = next(n for n in names if n not in taken)
     fitted = _fitted(documents, labels, [], "lx_", targets, train_rows, steps)
     rate = F.lit(1.0) if fitted.model is None else _rate_udf(documents, fitted.model, fitted.history)(F.col("text"))
-    return documents.withColumn(name, rate).where(F.col(name) > 0)
+    return documents.withColumn(name, rate)

@@ -9,16 +9,20 @@ or, for assigned values, enough entropy. One narrow pass, no shuffle.
 
 Keywords are found in any case and, where they have two words, joined by "_", "-" or
 nothing; case matters where a rule says so. Assigned values may lack quotes; then they
-end at white space, or at a character that values like keys and tokens don't hold.
+end at white space, or at a character that values like keys and tokens don't hold. A
+value has SHORTEST to LONGEST characters (longer ones are data, as embedded files are),
+stands at most 32 characters of name and 8 of white space on either side of the sign
+behind its keyword, and isn't empty of digits.
 
 Result: (doc_id, kind, start, stop, value_hash, checked), one row for each finding;
 start and stop count code points, value_hash is the xxh64 of the secret so that the
-result doesn't leak it, checked is true where a checksum proves the secret's form.
+result doesn't leak it, checked is true where an embedded CRC-32 proves the secret's
+form; the header of a web token and the body of a key are looked at, but prove nothing.
 
 Defined cases: null or empty text: no findings. Null doc_id: findings carry null.
 Repeated rows repeat their findings. Of matches at overlapping keywords of one rule
-the same value counts once; different rules may report one place. An empty table
-gives no rows. Other columns are not read.
+the same value counts once; different rules may report one place, in the order of
+RULES. Texts of any length are scanned whole. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -90,10 +94,12 @@ class Rule(NamedTuple):
     keywords: tuple[str, ...]
     pattern: re.Pattern
     check: Callable[[str], bool] | None
-    proves: bool  # whether the check is a checksum
+    proves: bool  # whether the check is a CRC
     cased: bool = True
 
 
+#: Characters of an assigned value.
+SHORTEST, LONGEST = 16, 4096
 _EDGE = r"(?![A-Za-z0-9_])"
 RULES = (
     Rule("github_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile(r"(gh[pousr]_[A-Za-z0-9]{36})" + _EDGE), _crc_ok, True),
@@ -102,12 +108,12 @@ RULES = (
     Rule("google_api_key", ("AIza",), re.compile(r"(AIza[A-Za-z0-9_\-]{35})(?![A-Za-z0-9_\-])"), None, False),
     Rule("slack_token", ("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"), re.compile(r"(xox[bpars]-[0-9A-Za-z\-]{20,})"), None, False),
     Rule("stripe_key", ("sk_live_", "rk_live_"), re.compile(r"([sr]k_live_[0-9A-Za-z]{24,})"), None, False),
-    Rule("json_web_token", ("eyJ",), re.compile(r"(eyJ[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]{16,})", re.ASCII), _jwt_ok, True),
-    Rule("private_key", ("-----BEGIN ",), re.compile(r"(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----\r?\n[A-Za-z0-9+/=\s:,\-]*?\n-----END [A-Z ]{0,20}PRIVATE KEY-----)"), _key_ok, True),
+    Rule("json_web_token", ("eyJ",), re.compile(r"(eyJ[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]{16,})", re.ASCII), _jwt_ok, False),
+    Rule("private_key", ("-----BEGIN ",), re.compile(r"(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----\r?\n[A-Za-z0-9+/=\s:,\-]*?\n-----END [A-Z ]{0,20}PRIVATE KEY-----)"), _key_ok, False),
     Rule(
         "assigned_secret",
         ("token", "secret", "password", "passwd", *(f"{word}{joiner}key" for word in ("api", "access", "private", "auth") for joiner in ("", "_", "-"))),
-        re.compile(r"[a-z_\-]{3,12}[\w.\-]{0,32}[\"']?\s{0,8}(?:=>|:=|=|:)\s{0,8}(?:[\"'](?=[^\"'\s]{16,512}[\"'])([^\"'\s]+)|([A-Za-z0-9_\-+/=.~]{16,512})(?![A-Za-z0-9_\-+/=.~(\[]))", re.ASCII | re.IGNORECASE),
+        re.compile(r"[a-z_\-]{3,12}[\w.\-]{0,32}[\"']?\s{0,8}(?:=>|:=|=|:)\s{0,8}(?:[\"'](?=[^\"'\s]{%d,%d}[\"'])([^\"'\s]+)|([A-Za-z0-9_\-+/=.~]{%d,%d})(?![A-Za-z0-9_\-+/=.~(\[]))" % (SHORTEST, LONGEST, SHORTEST, LONGEST), re.ASCII | re.IGNORECASE),
         _varied,
         False,
         False,

@@ -7,11 +7,12 @@ logistic layer reads the maxima. Training is minibatch Adagrad on the driver, wi
 random part of the words left out of the maxima each time (else a document teaches its
 strongest word alone),
 over at most TRAIN_TOXIC toxic and TRAIN_CLEAN clean labelled rows (those with the
-least hash of doc_id), less a quarter that is held out. All labelled rows that
+least hash of doc_id, as long as the texts of a class have TRAIN_LETTERS code points at
+most), less a quarter that is held out. All labelled rows that
 aren't trained on are scored in Spark and, weighted back to the shares of all labels,
 set one decision threshold for each language: the one with the best F1. Scores are
 counted in STEPS steps of the log-odds, so the driver gets as many rows as there are
-steps, whatever the labels' number. A language with fewer than LEAST_HELD such rows
+steps, whatever the labels' number. A language with fewer than least_held such rows
 of either class takes the threshold of all languages.
 
 Scoring is one pass over whole texts. For each batch the filters are multiplied
@@ -23,7 +24,8 @@ Defined cases: null text or no words: score 0, not toxic. Null doc_id: scored li
 any row. Null or unlabelled lang: the threshold of all languages. Labels with a null
 id or class are ignored; of several labels for one doc_id toxic wins. Without
 labelled rows of both classes nothing can be learned: all scores are 0, nothing is
-toxic. Rows that repeat get equal scores. Other columns are not read by
+toxic. Rows that repeat get equal scores. Texts of any length are scored whole. Ties: a
+score that equals the threshold isn't toxic. An empty table gives no rows. Other columns are not read by
 toxicity_scores, and pass through drop_toxic whatever their names.
 """
 
@@ -38,10 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm import textkernel as K
-from lexiloom.llm.common import cut, fresh, maybe_in
+from lexiloom.llm.common import bounded, cut, fresh, maybe_in
 from lexiloom.shipping import ship
 
 TRAIN_TOXIC, TRAIN_CLEAN = 3000, 6000
+#: Code points of the training texts of either class.
+TRAIN_LETTERS = 48_000_000
 BUCKETS, DIM = 1 << 16, 16
 WIDTHS, FILTERS = (1, 2, 3), 8
 STEMS = (4, 5, 6, 7)
@@ -192,18 +196,18 @@ class Classifier(NamedTuple):
     by_language: dict[str, float]
 
 
-def fit(documents: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC, clean_rows: int = TRAIN_CLEAN) -> Classifier:
+def fit(documents: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC, clean_rows: int = TRAIN_CLEAN, least_held: int = LEAST_HELD) -> Classifier:
     rows = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("toxic").cast("int").alias("y"))
     rows = rows.where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     texts = documents.select(F.col("doc_id").cast("bigint").alias("id"), "text", "lang").where("text is not null and id is not null")
     # Labels without a document have no part.
-    labelled = cut(rows.join(texts.select("id").distinct(), "id"))
+    labelled = cut(rows.join(texts.groupBy("id").agg(F.max(F.length("text")).alias("size")), "id"))
     totals = {r["y"]: r["count"] for r in labelled.groupBy("y").count().collect()}
-    first = lambda y, n: labelled.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n)
+    first = lambda y, n: bounded(labelled.where(F.col("y") == y), n, TRAIN_LETTERS)
     sample = first(1, toxic_rows).union(first(0, clean_rows))
-    found = texts.join(F.broadcast(sample), "id").collect()  # at most toxic_rows + clean_rows ids
-    found = sorted(found, key=lambda r: (r["id"], r["text"], r["lang"] or ""))
-    found = [r for a, r in zip([None, *found], found) if a is None or a["id"] != r["id"]]
+    # At most toxic_rows + clean_rows ids, and twice TRAIN_LETTERS code points; rows that repeat an id count once.
+    found = texts.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min("text").alias("text")).collect()
+    found = sorted(found, key=lambda r: r["id"])
     y = np.array([r["y"] for r in found], np.float32)
     if len(set(y.tolist())) < 2:
         return Classifier(None, 1.0, {})
@@ -223,10 +227,10 @@ def fit(documents: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC,
     odds = F.when(F.col("score") <= 0, -LIMIT).when(F.col("score") >= 1, LIMIT).otherwise(odds)
     step = F.floor((odds + LIMIT) * (STEPS / (2 * LIMIT))).cast("int")
     counts = rest.groupBy("lang", "y", step.alias("step")).agg(F.count("*").alias("n"), F.avg("score").alias("s")).collect()
-    return Classifier(model, *_thresholds(counts, totals))
+    return Classifier(model, *_thresholds(counts, totals, least_held))
 
 
-def _thresholds(counts: list, totals: dict[int, int]) -> tuple[float, dict[str, float]]:
+def _thresholds(counts: list, totals: dict[int, int], least_held: int = LEAST_HELD) -> tuple[float, dict[str, float]]:
     """The overall threshold and those by language, from (lang, y, s, n) rows of n documents about score s."""
     y, n = np.array([r["y"] for r in counts]), np.array([r["n"] for r in counts], float)
     each = [n[y == c].sum() for c in (0, 1)]
@@ -237,7 +241,7 @@ def _thresholds(counts: list, totals: dict[int, int]) -> tuple[float, dict[str,
     per = {}
     for lang in sorted(set(langs.tolist()) - {""}):
         own = langs == lang
-        if min(n[own & (y == 1)].sum(), n[own & (y == 0)].sum()) >= LEAST_HELD:
+        if min(n[own & (y == 1)].sum(), n[own & (y == 0)].sum()) >= least_held:
             per[lang] = threshold(scores[own], y[own], weights[own])
     return threshold(scores, y, weights), per
 

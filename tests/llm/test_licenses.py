@@ -59,3 +59,10 @@ def test_many_templates_join_without_broadcast(spark, monkeypatch):
     want = rows(L.license_spans(df))
     monkeypatch.setattr(L, "BROADCAST_ROWS", 0)
     assert rows(L.license_spans(df)) == want
+
+
+def test_whole_licenses_are_covered_to_their_end(spark):
+    names = ("mit", "bsd-2-clause", "bsd-3-clause", "isc", "zlib")
+    got = {(r[0], r[1]): r for r in rows(L.license_spans(documents(spark, [(i, "start " + L.TEMPLATES[n]) for i, n in enumerate(names)])))}
+    for i, n in enumerate(names):
+        assert got[(i, n)][2:] == (1, 1 + len(L.K.tokenize([L.TEMPLATES[n]]).hashes), 1.0)

@@ -72,7 +72,7 @@ def test_defined_cases(spark):
     assert by[500][2] == by[501][2] == 0 and by[502][2] == 300_000 and by[None][1] is None and all(r[-1] >= 0 for r in got)
     kept = M.mixed(table, marks)
     assert kept.columns == [*table.columns, "mixing_rate"]
-    assert sorted(map(str, (r[0] for r in kept.select("doc_id").collect()))) == sorted(str(r[0]) for r in got if r[-1] > 0)
+    assert sorted(map(str, (r[0] for r in kept.select("doc_id").collect()))) == sorted(str(r[0]) for r in got)
 
 
 def test_too_few_domains_and_empty_tables(spark):
@@ -81,6 +81,8 @@ def test_too_few_domains_and_empty_tables(spark):
         table = spark.createDataFrame(marks, LABELS)
         assert [(r[0], r[2], r[-1]) for r in rows(M.mixture_rates(docs, table))] == [(1, 2, 1.0), (2, 0, 1.0)]
         assert M.mixed(docs, table).columns == [*docs.columns, "rate"]
+        taken = docs.selectExpr("*", "7 as Rate", "8 as mixing_rate")
+        assert [tuple(r)[-3:] for r in M.mixed(taken, table).collect()] == [(7, 8, 1.0)] * 2 and M.mixed(taken, table).columns[-1] == "mixing_rate_2"
     assert rows(M.mixture_rates(documents(spark, []), spark.createDataFrame([(1, 1, 0), (2, 0, 0)], LABELS))) == []
     both = documents(spark, [(1, "a"), (2, "b")])
     with pytest.raises(ValueError):

@@ -60,7 +60,7 @@ def brute(spark, folder, docs, items):
     n, p = np.array([float(a[0]) for a, _ in both]), np.round(np.concatenate([b for _, b in both]), 6)
     targets = np.array([corpus_pipeline.TARGETS[d] for d in names])
     rate = brute_rates(n, p, targets / targets.sum())
-    return [(i, t, r) for (i, t), r in zip(kept, rate) if r > 0]
+    return [(i, t, r) for (i, t), r in zip(kept, rate)]
 
 
 def brute_rates(n, p, targets):

@@ -84,7 +84,7 @@ def test_thresholds_come_from_all_labelled_rows(spark, monkeypatch):
     docs, labels = corpus(rng, 900)
     docs = [(i, t, "rare" if i % 9 in (0, 1) else lang) for i, t, lang in docs]
     seen = []
-    monkeypatch.setattr(T, "_thresholds", lambda counts, totals, run=T._thresholds: seen.append((counts, totals)) or run(counts, totals))
+    monkeypatch.setattr(T, "_thresholds", lambda counts, totals, least, run=T._thresholds: seen.append((counts, totals)) or run(counts, totals, least))
     c = T.fit(documents(spark, docs), spark.createDataFrame(labels, LABELS), toxic_rows=60, clean_rows=120)
     assert "rare" in c.by_language
     counts, totals = seen[0]
