@@ -61,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_license_scan": licenses.oracle(),
+        "op5_embedding_near_dedup": embedding_dedup.ORACLE,
         "op6_chat_formatting": chat.ORACLE,
         "op9_line_dedup": linededup.ORACLE.format(documents="documents"),
     }

@@ -17,7 +17,7 @@ def test_registered():
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     df = Q.queries()[name](spark, SMALL)
     found = con.execute(Q.oracle_sql()[name])
