@@ -1,73 +1,126 @@
 """Operator 9: removal of repeated passages by overlapping three-line windows.
 
-Every three consecutive lines that aren't blank are hashed to 128 bits inside the
-JVM. The least (doc_id, position) of each hash is its first occurrence; windows
-found elsewhere are later ones, and the lines that any later window covers go. A
-removed line always has an equal line that stays, earlier in the order.
-
-One shuffle holds the windows: it serves the aggregation and the join back. A
-passage that occurs any number of times is aggregated, never listed in one row.
-Only the texts that lose lines are joined with what they lose.
+A line that isn't blank is one unit of text, or several: it is cut behind marks that end
+sentences and clauses, and pieces of more than LONG characters without such marks behind
+words that end in some letters. Cuts depend on the text beside them alone, so a passage
+is cut the same way wherever it stands, and one that lies within a line has units of its
+own. Every three consecutive units are a window; it counts if they are three whole lines
+or have LEAST characters together. Windows are hashed to 128 bits inside the JVM. The
+least (doc_id, position) of each hash is its first occurrence; windows found elsewhere
+are later ones, and the units that any later window covers go. A removed unit always has
+an equal one that stays, earlier in the order.
+
+Windows are counted by one half of their hash, combined before the shuffle; only those
+that occur again are looked at further. A passage that occurs any number of times is
+aggregated, never listed in one row. Only the texts that lose units are joined with what
+they lose.
 
 Defined cases: null text: no windows, stays null. Null doc_id: left alone and not
-counted. Fewer than three lines that aren't blank: left alone. Blank lines have no
-part in windows and stay where they are. Rows that repeat a doc_id are one document
-and don't repeat each other. Equal windows at the same distance: the least doc_id,
-then the least position is the first. Lines end at "\\n" alone. An empty table gives
-no rows. Other columns pass through, whatever their names.
+counted. Fewer than three units: left alone. Blank lines have no part in windows and stay
+where they are; white space at the ends of units doesn't count. A line that loses every
+unit goes, one that loses some keeps the others. Rows that repeat a doc_id are one
+document and don't repeat each other. Ties: of equal windows the least doc_id, then the
+least position is the first. Lines end at "\\n" alone. Texts of any length are read
+whole. An empty table gives no rows. Other columns pass through, whatever their names;
+n_chars is counted anew.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import cut, fresh, maybe_in
 from lexiloom.shipping import ship
 
 LINES = 3
+#: Characters of a window that isn't made of whole lines, at least; and of a piece that is cut again, more than.
+LEAST, LONG = 60, 200
+#: One piece of a line; one piece of a long piece. Both read alike in the JVM, Python and DuckDB.
+PIECE = r"(?s).+?(?:[.!?…;:|]+ +|[。！？]+ *|$)"
+SHORTER = r"(?s).+?(?:[dghou37] +|$)"
 
 
-def windows(documents: DataFrame, lines: int = LINES) -> DataFrame:
-    """(ha, hb, id, w) of every window of lines that aren't blank; w counts those lines."""
-    parts = F.filter(F.split("text", "\n", -1), lambda x: F.length(F.trim(x)) > 0)
-    some = documents.select(F.col("doc_id").cast("bigint").alias("id"), parts.alias("l")).where(
-        F.col("id").isNotNull() & (F.size("l") >= lines)
-    )
-    at = lambda i: [F.col("l")[i + j] for j in range(lines)]
+def _pieces(line: Column) -> Column:
+    """The pieces that make up a line; blank ones too."""
+    found = F.regexp_extract_all(line, F.lit(PIECE.replace("$", r"\z")), F.lit(0))
+    shorter = lambda p: F.regexp_extract_all(p, F.lit(SHORTER.replace("$", r"\z")), F.lit(0))
+    return F.flatten(F.transform(found, lambda p: F.when(F.length(p) > LONG, shorter(p)).otherwise(F.array(p))))
+
+
+def _units(line: Column) -> Column:
+    """The units of a line."""
+    return F.filter(F.transform(_pieces(line), lambda s: F.trim(s)), lambda s: F.length(s) > 0)
+
+
+def windows(documents: DataFrame, lines: int = LINES, least: int = LEAST) -> DataFrame:
+    """(ha, hb, id, w) of every window that counts; w numbers the first unit."""
+    split = F.transform(F.split("text", "\n", -1), _units)
+    marked = F.flatten(F.transform(split, lambda u: F.transform(u, lambda s: F.struct(s.alias("s"), (F.size(u) == 1).alias("whole")))))
+    some = documents.select(F.col("doc_id").cast("bigint").alias("id"), marked.alias("u")).where("id is not null")
+    at = lambda i: [F.get("u", i + j) for j in range(lines)]
     hashed = F.transform(
-        F.sequence(F.lit(0), F.size("l") - F.lit(lines)),
-        lambda i: F.struct(i.alias("w"), F.xxhash64(F.lit(0), *at(i)).alias("ha"), F.xxhash64(F.lit(1), *at(i)).alias("hb")),
+        F.sequence(F.lit(0), F.size("u") - F.lit(lines)),
+        lambda i: F.struct(
+            i.alias("w"),
+            F.xxhash64(F.lit(0), *[x["s"] for x in at(i)]).alias("ha"),
+            F.xxhash64(F.lit(1), *[x["s"] for x in at(i)]).alias("hb"),
+            (reduce(Column.__and__, [x["whole"] for x in at(i)]) | (reduce(Column.__add__, [F.length(x["s"]) for x in at(i)]) >= least)).alias("counts"),
+        ),
     )
-    return some.select("id", F.explode(hashed).alias("x")).select("x.ha", "x.hb", "id", "x.w")
+    found = some.select("id", F.explode(F.when(F.size("u") >= lines, F.filter(hashed, lambda x: x["counts"]))).alias("x"))
+    return found.select("x.ha", "x.hb", "id", "x.w")
 
 
-def covered(documents: DataFrame, lines: int = LINES) -> DataFrame:
+def covered(documents: DataFrame, lines: int = LINES, least: int = LEAST) -> DataFrame:
     """(id, later): the windows of each document that repeat an earlier one."""
-    keyed = windows(documents, lines).repartition("ha", "hb")
-    first = keyed.groupBy("ha", "hb").agg(F.min(F.struct("id", "w")).alias("first"), F.max(F.struct("id", "w")).alias("last"))
+    keyed = windows(documents, lines, least)
+    again = cut(keyed.groupBy("ha").agg(F.count("*").alias("c")).where("c > 1").select("ha"))
+    some = cut(maybe_in(keyed, "ha", again, "again").where("again").select("ha", "hb", "id", "w"))
+    first = some.groupBy("ha", "hb").agg(F.min(F.struct("id", "w")).alias("first"), F.max(F.struct("id", "w")).alias("last"))
     first = first.where(F.col("first") < F.col("last")).select("ha", "hb", "first")
-    later = keyed.join(first, ["ha", "hb"]).where(F.struct("id", "w") > F.col("first"))
+    # A window that very many documents hold makes a partition of some that AQE splits: first has one row of it.
+    later = some.join(first, ["ha", "hb"]).where(F.struct("id", "w") > F.col("first"))
     return later.groupBy("id").agg(F.collect_set("w").alias("later"))
 
 
+_PIECE, _SHORTER = (re.compile(p.replace("$", r"\Z")) for p in (PIECE, SHORTER))
+
+
+def pieces_of(line: str) -> list[str]:
+    return [x for p in _PIECE.findall(line) for x in (_SHORTER.findall(p) if len(p) > LONG else [p])]
+
+
+def without_windows(text: str, later: set[int], lines: int = LINES) -> tuple[str, int]:
+    """The text without the units that the windows cover, and how many these are."""
+    gone = {w + j for w in later for j in range(lines)}
+    kept, seen, removed = [], 0, 0
+    for line in text.split("\n"):
+        own, stay, units = pieces_of(line), [], 0
+        for piece in own:
+            if piece.strip(" "):
+                units += 1
+                seen += 1
+                if seen - 1 in gone:
+                    continue
+            stay.append(piece)
+        lost = len(own) - len(stay)
+        removed += lost
+        if not lost:
+            kept.append(line)
+        elif lost < units:
+            kept.append("".join(stay).rstrip(" "))
+    return "\n".join(kept), removed
+
+
 def _cutter(lines: int):
     def rewrite(text: pd.Series, later: pd.Series) -> pd.DataFrame:
-        texts, counts = [], []
-        for t, ws in zip(text, later):
-            gone = {w + j for w in ws for j in range(lines)}
-            kept, seen, removed = [], 0, 0
-            for line in t.split("\n"):
-                if line.strip(" "):
-                    seen += 1
-                    if seen - 1 in gone:
-                        removed += 1
-                        continue
-                kept.append(line)
-            texts.append("\n".join(kept))
-            counts.append(removed)
-        return pd.DataFrame({"text": texts, "removed": counts})
+        done = [without_windows(t, set(ws), lines) for t, ws in zip(text, later)]
+        return pd.DataFrame({"text": [t for t, _ in done], "removed": [n for _, n in done]})
 
     return F.pandas_udf(rewrite, "text string, removed bigint")
 
@@ -94,44 +147,53 @@ def rewritten(documents: DataFrame, removed: str, lines: int = LINES) -> DataFra
 
 
 def deduplicated_lines(documents: DataFrame, lines: int = LINES) -> DataFrame:
-    """(doc_id, text, removed) of every document: its text without repeated passages."""
+    """(doc_id, text, removed) of every document: its text without repeated passages, and how many units went."""
     return rewritten(documents.select("doc_id", "text"), "removed", lines)
 
 
 def line_dedup(documents: DataFrame, lines: int = LINES) -> DataFrame:
-    """The documents with repeated passages cut; those that lose every line go."""
+    """The documents with repeated passages cut; those that lose every unit go."""
     p = fresh(documents)
     done = rewritten(documents, f"{p}removed", lines)
     gone = (F.col(f"{p}removed") > 0) & (F.length(F.trim(F.translate("text", "\n", ""))) == 0)
     return done.where(~F.coalesce(gone, F.lit(False))).drop(f"{p}removed")
 
 
-ORACLE = r"""
+ORACLE = f"""
 WITH lines AS (
-  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
-         generate_subscripts(string_split(text, chr(10)), 1) AS p
-  FROM {documents} WHERE text IS NOT NULL
-), full_lines AS (
-  SELECT doc_id, p, line, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS w
-  FROM lines WHERE length(trim(line)) > 0
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p
+  FROM {{documents}} WHERE text IS NOT NULL
+), listed AS (
+  SELECT doc_id, p, flatten(list_transform(regexp_extract_all(line, '{PIECE}'),
+    lambda x: CASE WHEN length(x) > {LONG} THEN regexp_extract_all(x, '{SHORTER}') ELSE [x] END)) AS l FROM lines
+), pieces AS (
+  SELECT doc_id, p, unnest(l) AS piece, generate_subscripts(l, 1) AS q FROM listed
+), units AS (
+  SELECT doc_id, p, q, trim(piece) AS s, row_number() OVER (PARTITION BY doc_id ORDER BY p, q) - 1 AS w,
+         count(*) OVER (PARTITION BY doc_id, p) = 1 AS whole
+  FROM pieces WHERE length(trim(piece)) > 0
 ), win AS (
-  SELECT doc_id, w, line AS a,
-         lead(line, 1) OVER (PARTITION BY doc_id ORDER BY w) AS b,
-         lead(line, 2) OVER (PARTITION BY doc_id ORDER BY w) AS c
-  FROM full_lines
+  SELECT doc_id, w, s AS a, lead(s, 1) OVER o AS b, lead(s, 2) OVER o AS c,
+         whole AND lead(whole, 1) OVER o AND lead(whole, 2) OVER o AS lines
+  FROM units WINDOW o AS (PARTITION BY doc_id ORDER BY w)
 ), seen AS (
   SELECT doc_id, w, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, w) AS nth
-  FROM win WHERE c IS NOT NULL
+  FROM win WHERE c IS NOT NULL AND (lines OR length(a) + length(b) + length(c) >= {LEAST})
 ), gone AS (
   SELECT DISTINCT doc_id, w + j AS w FROM seen, (VALUES (0), (1), (2)) t(j) WHERE nth > 1
 ), marked AS (
-  SELECT l.doc_id, l.p, l.line, g.w IS NOT NULL AS cut
-  FROM lines l LEFT JOIN full_lines f ON l.doc_id = f.doc_id AND l.p = f.p
-  LEFT JOIN gone g ON f.doc_id = g.doc_id AND f.w = g.w
+  SELECT x.doc_id, x.p, x.q, x.piece, u.w IS NOT NULL AS unit, g.w IS NOT NULL AS cut
+  FROM pieces x LEFT JOIN units u ON x.doc_id = u.doc_id AND x.p = u.p AND x.q = u.q
+  LEFT JOIN gone g ON u.doc_id = g.doc_id AND u.w = g.w
+), changed AS (
+  SELECT doc_id, p, count(*) FILTER (WHERE unit) AS units, count(*) FILTER (WHERE cut) AS lost,
+         rtrim(string_agg(piece, '' ORDER BY q) FILTER (WHERE NOT cut), ' ') AS rest
+  FROM marked GROUP BY doc_id, p HAVING bool_or(cut)
 ), done AS (
-  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT cut), '') AS text,
-         CAST(count(*) FILTER (WHERE cut) AS BIGINT) AS removed
-  FROM marked GROUP BY doc_id
+  SELECT l.doc_id, coalesce(string_agg(CASE WHEN c.p IS NULL THEN line ELSE rest END, chr(10) ORDER BY l.p)
+           FILTER (WHERE c.p IS NULL OR c.lost < c.units), '') AS text,
+         CAST(coalesce(sum(c.lost), 0) AS BIGINT) AS removed
+  FROM lines l LEFT JOIN changed c ON l.doc_id = c.doc_id AND l.p = c.p GROUP BY l.doc_id
 )
 SELECT doc_id, text, removed FROM done
 """

@@ -4,14 +4,44 @@ from lexiloom.llm import linededup as L
 from tests.llm.cases import documents, rows
 
 
+def pieces(line):
+    """The line cut behind marks and blanks, character by character."""
+    cut, now = [], ""
+    for i, c in enumerate(line):
+        now += c
+        after = line[i + 1] if i + 1 < len(line) else ""
+        if now.rstrip(" ") and after != " " and ((c == " " and now.rstrip(" ")[-1] in ".!?…;:|" and len(now.rstrip(" ")) > 1) or (now.rstrip(" ")[-1] in "。！？" and len(now.rstrip(" ")) > 1 and after not in tuple("。！？"))):
+            cut.append(now)
+            now = ""
+    cut += [now] if now else []
+    out = []
+    for piece in cut:
+        if len(piece) <= L.LONG:
+            out.append(piece)
+            continue
+        now = ""
+        for i, c in enumerate(piece):
+            now += c
+            if c == " " and piece[i + 1 : i + 2] != " " and now.rstrip(" ")[-1:] in tuple("dghou37") and len(now.rstrip(" ")) > 1:
+                out.append(now)
+                now = ""
+        out += [now] if now else []
+    return out
+
+
 def brute(data):
     """(doc_id, text, removed), window by window in (doc_id, position) order; rows of one doc_id are one document."""
     seen, gone = {}, {}
     unique = {(i, t): None for i, t in data if i is not None and t is not None}
     for i, t in sorted(unique):
-        full = [x for x in t.split("\n") if x.strip(" ")]
+        full = []
+        for line in t.split("\n"):
+            own = [x.strip(" ") for x in pieces(line) if x.strip(" ")]
+            full += [(x, len(own) == 1) for x in own]
         for w in range(len(full) - 2):
-            key = tuple(full[w : w + 3])
+            key = tuple(x for x, _ in full[w : w + 3])
+            if not all(whole for _, whole in full[w : w + 3]) and sum(map(len, key)) < L.LEAST:
+                continue
             if seen.setdefault(key, (i, w)) != (i, w):
                 gone.setdefault(i, set()).update(range(w, w + 3))
     out = []
@@ -21,12 +51,19 @@ def brute(data):
             continue
         kept, nth, removed = [], 0, 0
         for line in t.split("\n"):
-            if line.strip(" "):
-                nth += 1
-                if nth - 1 in gone.get(i, ()):
-                    removed += 1
-                    continue
-            kept.append(line)
+            stay, units, lost = [], 0, 0
+            for piece in pieces(line):
+                units += bool(piece.strip(" "))
+                nth += bool(piece.strip(" "))
+                if piece.strip(" ") and nth - 1 in gone.get(i, ()):
+                    lost += 1
+                else:
+                    stay.append(piece)
+            removed += lost
+            if not lost:
+                kept.append(line)
+            elif lost < units:
+                kept.append("".join(stay).rstrip(" "))
         out.append((i, "\n".join(kept), removed))
     return out
 
@@ -56,3 +93,38 @@ def test_passages_and_cases(spark):
 
 def test_empty(spark):
     assert rows(L.line_dedup(documents(spark, []))) == []
+
+
+def test_pieces_make_up_the_line():
+    rng = random.Random(8)
+    for _ in range(300):
+        line = "".join(rng.choice(["word ", "and ", "two", "end. ", "what!  ", "x; ", "字。", "x.y ", "three 37 ", "a?? ", "b | "]) for _ in range(rng.randrange(80)))
+        assert "".join(L.pieces_of(line)) == line
+        assert L.pieces_of(line) == pieces(line), line
+
+
+def test_passages_within_one_line_and_short_documents(spark):
+    rng = random.Random(6)
+    sentence = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)) + ". "
+    passage = "".join(sentence(9) for _ in range(6))
+    bare = " ".join("".join(rng.choice("abcdefghilmnopqrstuv") for _ in range(5)) for _ in range(70))
+    data = [
+        (1, f"{sentence(8)}{passage}{sentence(7)}"), (2, f"{sentence(5)}{sentence(6)}{passage}{sentence(8)}\nown line"), (3, passage.strip()),
+        (4, f"{sentence(30)}{bare} end"), (5, f"{sentence(12)}{bare} other end of it"), (6, "Yes. No. Why."), (7, "Yes. No. Why."),
+    ]
+    got = {r["doc_id"]: r["text"] for r in L.line_dedup(documents(spark, data)).collect()}
+    assert got[1] == data[0][1] and got[4] == data[3][1] and got[6] == got[7] == "Yes. No. Why."
+    assert passage not in got[2] and len(got[2]) < len(data[1][1]) - len(passage) + 3 and got[2].endswith("\nown line") and 3 not in got
+    assert len(got[5]) < len(data[4][1]) - 300
+    assert rows(L.deduplicated_lines(documents(spark, data))) == sorted(brute(data))
+
+
+def test_a_filter_that_is_full_loses_nothing(spark, monkeypatch):
+    from lexiloom.llm import common
+
+    rng = random.Random(5)
+    data = [(i, "\n".join(f"line {rng.randrange(9)}" for _ in range(12))) for i in range(60)]
+    want = sorted(brute(data))
+    monkeypatch.setattr(common, "FILTER_LEAST", 64)
+    monkeypatch.setattr(common, "FILTER_MOST", 64)
+    assert rows(L.deduplicated_lines(documents(spark, data))) == want
