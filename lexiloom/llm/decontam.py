@@ -8,28 +8,33 @@ of L words is compared with the windows of L words at every position of a docume
    at least t / (1 + t) times both weights. Prefix sums of the weight that items of
    L words know bound what a window can share, so windows below the bound are
    dropped without loss. Only the rest are fingerprinted.
-2. 64-bit SimHash of each remaining window; multi-index blocks: the fingerprint is
-   cut into BLOCKS blocks, and items list every block value within RADIUS // BLOCKS
-   bits of their own. By the pigeonhole principle, a Spark join on (block, value, L)
-   finds every window within RADIUS.
-3. Candidates are verified by exact weighted Jaccard similarity of the two bags of
-   shingles.
-
-The item table is shipped in slices of at most SLICE_WORDS words, one pass over the
-documents for each, so nothing that is broadcast grows with the benchmark.
+2. 64-bit SimHash of each remaining window, by prefix sums; multi-index blocks: the
+   fingerprint is cut into BLOCKS blocks, and an item is met where one block of the
+   two differs by RADIUS // BLOCKS bits at most. By the pigeonhole principle no item
+   within RADIUS bits is missed; those beyond it are dropped by their whole distance.
+3. The items within the radius are verified by exact weighted Jaccard similarity of
+   the two bags of shingles.
+
+The benchmark is broadcast in slices of at most about SLICE_WORDS words (some 100 MB),
+one pass over the documents for each, so what is broadcast doesn't grow with it. A pass
+is one narrow stage: windows live and die in the task that made them, and only
+matches leave it, the best of each document and item.
 
 Result: (doc_id, item_id, start, similarity), the best window for each pair, the
 first of equal ones; start counts words from 0.
 
-Defined cases: null doc_id, item_id or text: not compared. Items of fewer than
-MIN_WORDS words say too little to identify a passage and are not searched. Repeated
-rows give one result row. Empty tables give no rows. Other columns are not read.
+Defined cases: null doc_id, item_id or text: not compared. An item of one word has no
+shingle, so it is in no document; any other is searched (min_words is a parameter).
+decontaminate drops no document for an item of fewer than DROP_WORDS words, which any
+text may hold. Repeated rows give one result row; different texts under one id are all
+compared, and their best window counts. Texts of any length are compared whole. Empty
+tables give no rows. Other columns are not read by contaminated and pass through
+decontaminate, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +47,13 @@ from lexiloom.llm.common import arrow, cut, without
 SHINGLE = 2
 BLOCKS, RADIUS = 4, 19
 THRESHOLD = 0.5
-MIN_WORDS = 5
-SLICE_WORDS = 250_000
-_BITS = 64 // BLOCKS
+MIN_WORDS, DROP_WORDS = 1, 5
+SLICE_WORDS = 2_000_000
+#: Cells of the table of windows and items that are compared at a time.
+CELLS = 1 << 22
+
+
+_BLOCK = np.dtype(f"<u{8 // BLOCKS}")
 
 
 def weighted_grams(tokens: K.Tokens, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,33 +115,53 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 class _Items:
-    """The shingles of one slice of the benchmark, by length of item."""
+    """One slice of the benchmark: the shingles, fingerprints and bags of its items, by length of item."""
 
-    def __init__(self, texts: list[str], shingle: int, threshold: float):
+    def __init__(self, ids: list[int], texts: list[str], shingle: int, threshold: float, radius: int):
         tokens = K.tokenize(texts)
         hashes, weights = weighted_grams(tokens, shingle)
         lengths = tokens.counts()
-        self.shingle, self.threshold = shingle, threshold
-        self.lengths = np.unique(lengths)
-        known: dict[int, set[int]] = {}
-        self.least: list[int] = []
-        for x, length in enumerate(self.lengths):
-            sums = []
-            for i in np.flatnonzero(lengths == length):
-                own = slice(tokens.offsets[i], tokens.offsets[i + 1])
-                sums.append(int(weights[own].sum()))
-                for h in hashes[own][weights[own] > 0].tolist():
-                    known.setdefault(h, set()).add(x)
-            self.least.append(min(sums))
-        pairs = sorted((h, x) for h, xs in known.items() for x in xs)
-        self.hashes = np.array([h for h, _ in pairs], np.uint64)
-        self.classes = np.array([x for _, x in pairs], np.int64)
-        self.screen = np.zeros(1 << 20, bool)
-        self.screen[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        firsts, lasts = tokens.offsets[:-1], tokens.offsets[1:]
+        self.shingle, self.threshold, self.radius = shingle, threshold, radius
+        self.ids = np.array(ids, np.int64)
+        self.lengths, classes = np.unique(lengths, return_inverse=True)
+        self.of_class = [np.flatnonzero(classes == x) for x in range(len(self.lengths))]
+        whole = np.concatenate([[0], np.cumsum(weights, dtype=np.int64)])
+        sums = whole[lasts] - whole[firsts]
+        self.least = [int(sums[own].min()) for own in self.of_class]
+        self.prints = simhash(hashes, weights, firsts, np.maximum(lasts - (shingle - 1), firsts + 1))
+        self.bags = [bag(hashes[a:b], weights[a:b]) for a, b in zip(firsts.tolist(), lasts.tolist())]
+        known, of = hashes[weights > 0], np.repeat(classes, lengths)[weights > 0]
+        order = np.lexsort((of, known))
+        known, of = known[order], of[order]
+        new = np.ones(len(known), bool)
+        new[1:] = (known[1:] != known[:-1]) | (of[1:] != of[:-1])
+        self.hashes, self.classes = known[new], of[new]
+        self.mask = np.uint64((1 << min(max((8 * len(self.hashes)).bit_length(), 20), 26)) - 1)
+        self.screen = np.zeros(int(self.mask) + 1, bool)
+        self.screen[(self.hashes & self.mask).astype(np.int64)] = True
+
+    def near(self, prints: np.ndarray, x: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of the items of class x within the radius of each fingerprint, through blocks."""
+        own = self.of_class[x]
+        theirs = self.prints[own]
+        rows, items = [], []
+        for lo in range(0, len(prints), max(1, CELLS // len(own))):
+            part = prints[lo : lo + max(1, CELLS // len(own))]
+            met = np.zeros((len(part), len(own)), bool)
+            blocks, reach = np.ascontiguousarray(part).view(_BLOCK).reshape(-1, BLOCKS), self.radius // BLOCKS
+            for b in range(BLOCKS):
+                values, which = np.unique(blocks[:, b], return_inverse=True)
+                met |= (np.bitwise_count(values[:, None] ^ theirs.view(_BLOCK).reshape(-1, BLOCKS)[:, b]) <= reach)[which]
+            w, i = np.nonzero(met)
+            within = np.bitwise_count(part[w] ^ theirs[i]) <= self.radius
+            rows.append(w[within] + lo)
+            items.append(own[i[within]])
+        return (np.concatenate(rows), np.concatenate(items)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def windows(self, tokens: K.Tokens, hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, ...]:
         """(document, first token, last + 1, length class) of the windows that pass the bound."""
-        at = np.flatnonzero(self.screen[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] & (weights > 0))
+        at = np.flatnonzero(self.screen[(hashes & self.mask).astype(np.int64)] & (weights > 0))
         lo = np.searchsorted(self.hashes, hashes[at], "left")
         n = np.searchsorted(self.hashes, hashes[at], "right") - lo
         at = np.repeat(at, n)
@@ -176,87 +205,6 @@ class _Items:
         return tuple(np.concatenate([f[i] for f in found]) for i in range(4))
 
 
-def _finder(items: _Items):
-    k = items.shingle
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for lo, _, texts in K.chunks(batch.column(1)):
-                tokens = K.tokenize(texts)
-                hashes, weights = weighted_grams(tokens, k)
-                doc, first, last, x = items.windows(tokens, hashes, weights)
-                inner = np.maximum(last - (k - 1), first + 1)
-                prints = simhash(hashes, weights, first, inner)
-                cut_at = [slice(a, b) for a, b in zip(first.tolist(), inner.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[lo + doc]),
-                        pa.array(first - tokens.offsets[doc]),
-                        pa.array(items.lengths[x]),
-                        pa.array(prints.view(np.int64)),
-                        pa.array([hashes[s].tobytes() for s in cut_at], pa.binary()),
-                        pa.array([weights[s].tobytes() for s in cut_at], pa.binary()),
-                    ],
-                    names=["doc_id", "start", "length", "print", "wh", "ww"],
-                )
-
-    return run
-
-
-def _neighbours(radius: int, bits: int = _BITS) -> np.ndarray:
-    return np.array([sum(1 << b for b in c) for d in range(radius + 1) for c in combinations(range(bits), d)], np.int64)
-
-
-def _lister(k: int, reach: int):
-    """Items with each block value within reach bits of their own."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = _neighbours(reach)
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            tokens = K.tokenize([t or "" for t in batch.column(1).to_pylist()])
-            hashes, weights = weighted_grams(tokens, k)
-            for i, item in enumerate(ids):
-                a, b = int(tokens.offsets[i]), int(tokens.offsets[i + 1])
-                if a == b:
-                    continue
-                inner = max(b - (k - 1), a + 1)
-                value = int(simhash(hashes, weights, np.array([a]), np.array([inner]))[0])
-                for block in range(BLOCKS):
-                    own = (value >> (block * _BITS)) & ((1 << _BITS) - 1)
-                    n = len(near)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(n, item, np.int64)),
-                            pa.array(np.full(n, b - a, np.int64)),
-                            pa.array(np.full(n, block, np.int32)),
-                            pa.array((near ^ own).astype(np.int32)),
-                        ],
-                        names=["item_id", "length", "block", "value"],
-                    )
-
-    return run
-
-
-def _bagger(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = K.tokenize([t or "" for t in batch.column(1).to_pylist()])
-            hashes, weights = weighted_grams(tokens, k)
-            cut_at = [slice(a, b) for a, b in zip(tokens.offsets[:-1].tolist(), tokens.offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([hashes[s].tobytes() for s in cut_at], pa.binary()),
-                    pa.array([weights[s].tobytes() for s in cut_at], pa.binary()),
-                ],
-                names=["item_id", "ih", "iw"],
-            )
-
-    return run
-
-
 def similarities(item: tuple[np.ndarray, np.ndarray], hashes: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """similarity() of an item's bag with each of several windows, whose shingles follow one another."""
     known, mass = item
@@ -272,23 +220,50 @@ def similarities(item: tuple[np.ndarray, np.ndarray], hashes: np.ndarray, weight
     return shared / np.maximum(total + mass.sum() - shared, 1)
 
 
-def _judge(threshold: float):
+def matches(items: _Items, tokens: K.Tokens) -> tuple[np.ndarray, ...]:
+    """(text, item, first token, similarity): the best window of each text and item, among those that reach the threshold."""
+    k = items.shingle
+    hashes, weights = weighted_grams(tokens, k)
+    doc, first, last, x = items.windows(tokens, hashes, weights)
+    inner = np.maximum(last - (k - 1), first + 1)
+    prints = simhash(hashes, weights, first, inner)
+    found = []
+    cuts = np.searchsorted(x, np.arange(len(items.lengths) + 1))  # windows come class by class
+    for c in np.flatnonzero(np.diff(cuts)).tolist():
+        w, i = items.near(prints[cuts[c] : cuts[c + 1]], c)
+        w += cuts[c]
+        order = np.argsort(i, kind="stable")
+        w, i = w[order], i[order]
+        edges = np.flatnonzero(np.diff(i)) + 1
+        for own in np.split(np.arange(len(i)), edges) if len(i) else ():
+            rows = w[own]
+            n = inner[rows] - first[rows]
+            ends = np.cumsum(n)
+            at = np.arange(ends[-1]) + np.repeat(first[rows] - (ends - n), n)
+            s = similarities(items.bags[i[own[0]]], hashes[at], weights[at], n)
+            good = s >= items.threshold - 1e-12
+            found.append((doc[rows[good]], i[own[good]], first[rows[good]] - tokens.offsets[doc[rows[good]]], s[good]))
+    if not found:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    doc, item, start, s = (np.concatenate([f[j] for f in found]) for j in range(4))
+    order = np.lexsort((start, -s, item, doc))
+    doc, item, start, s = doc[order], item[order], start[order], s[order]
+    best = np.ones(len(doc), bool)
+    best[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
+    return doc[best], item[best], start[best], s[best]
+
+
+def _finder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = shared.value
         for batch in batches:
-            items = batch.column("item_id").to_numpy()
-            order = np.argsort(items, kind="stable")
-            wh, ww, ih, iw = (batch.column(c) for c in ("wh", "ww", "ih", "iw"))
-            out = np.zeros(len(items))
-            cuts = np.flatnonzero(np.diff(items[order])) + 1
-            for rows in np.split(order, cuts) if len(order) else ():
-                first = int(rows[0])
-                item = bag(np.frombuffer(ih[first].as_py(), np.uint64), np.frombuffer(iw[first].as_py(), np.int32))
-                texts = wh.take(pa.array(rows)).to_pylist()
-                hashes = np.frombuffer(b"".join(texts), np.uint64)
-                weights = np.frombuffer(b"".join(ww.take(pa.array(rows)).to_pylist()), np.int32)
-                out[rows] = similarities(item, hashes, weights, np.array([len(t) // 8 for t in texts]))
-            kept = batch.select(["doc_id", "item_id", "start"]).append_column("similarity", pa.array(out))
-            yield kept.filter(pa.array(out >= threshold - 1e-12, pa.bool_()))
+            ids = batch.column(0).to_numpy()
+            for lo, _, texts in K.chunks(batch.column(1)):
+                doc, item, start, s = matches(items, K.tokenize(texts))
+                if len(doc):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[lo + doc]), pa.array(items.ids[item]), pa.array(start), pa.array(s)], names=["doc_id", "item_id", "start", "similarity"]
+                    )
 
     return run
 
@@ -314,25 +289,11 @@ def contaminated(
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == s) if slices > 1 else items
         rows = own.orderBy("item_id", "text").collect()  # at most about slice_words words
         counts = K.tokenize([r[1] for r in rows]).counts() if rows else []
-        rows = [r for r, n in zip(rows, counts) if n >= min_words]
+        rows = [r for r, n in zip(rows, counts) if n >= max(min_words, 1)]
         if not rows:
             continue
-        known = _Items([r[1] for r in rows], SHINGLE, threshold)
-        table = spark.createDataFrame([(r[0], r[1]) for r in rows], "item_id bigint, text string")
-        found = arrow(docs, _finder(known), "doc_id bigint, start bigint, length bigint, print bigint, wh binary, ww binary")
-        found = cut(found)
-        mask = (1 << _BITS) - 1
-        blocks = F.array(*[
-            F.struct(F.lit(b).alias("block"), F.shiftrightunsigned("print", b * _BITS).bitwiseAND(F.lit(mask)).cast("int").alias("value"))
-            for b in range(BLOCKS)
-        ])
-        keyed = found.select("doc_id", "start", "length", F.explode(blocks).alias("x")).select("doc_id", "start", "length", "x.*")
-        listed = arrow(table, _lister(SHINGLE, radius // BLOCKS), "item_id bigint, length bigint, block int, value int")
-        pairs = keyed.join(listed, ["length", "block", "value"]).select("doc_id", "start", "length", "item_id").distinct()
-        bags = F.broadcast(arrow(table, _bagger(SHINGLE), "item_id bigint, ih binary, iw binary"))
-        good = pairs.join(found.dropDuplicates(["doc_id", "start", "length"]), ["doc_id", "start", "length"]).join(bags, "item_id")
-        good = good.select("doc_id", "item_id", "start", "wh", "ww", "ih", "iw")
-        good = arrow(good, _judge(threshold), "doc_id bigint, item_id bigint, start bigint, similarity double")
+        known = spark.sparkContext.broadcast(_Items([r[0] for r in rows], [r[1] for r in rows], SHINGLE, threshold, radius))
+        good = arrow(docs, _finder(known), "doc_id bigint, item_id bigint, start bigint, similarity double")
         out = good if out is None else out.union(good)
     if out is None:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, start bigint, similarity double")
@@ -340,7 +301,7 @@ def contaminated(
     return best.select("doc_id", "item_id", (-F.col("b.s")).alias("start"), F.col("b.similarity").alias("similarity"))
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, *, min_words: int = DROP_WORDS, **parameters) -> DataFrame:
     """The documents that hold no benchmark item; all columns, rows with null doc_id included."""
-    held = cut(contaminated(documents, benchmark, **parameters).select("doc_id").distinct())
+    held = cut(contaminated(documents, benchmark, min_words=min_words, **parameters).select("doc_id").distinct())
     return without(documents, "doc_id", held)

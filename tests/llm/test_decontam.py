@@ -72,10 +72,16 @@ def test_simhash_by_prefix_sums():
         assert int(got) == sum(1 << j for j, x in enumerate(bits) if x)
 
 
-def test_blocks_guarantee_the_radius():
-    assert D.BLOCKS * (D.RADIUS // D.BLOCKS + 1) > D.RADIUS
-    near = D._neighbours(D.RADIUS // D.BLOCKS)
-    assert len(set(near.tolist())) == len(near) and all(bin(x).count("1") <= D.RADIUS // D.BLOCKS for x in near.tolist())
+def test_blocks_find_all_within_the_radius_and_none_beyond():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 40, 12)) for _ in range(70)]
+    items = D._Items(list(range(70)), texts, D.SHINGLE, D.THRESHOLD, D.RADIUS)
+    prints = np.concatenate([items.prints ^ (np.uint64(1) << rng.integers(0, 64, 70).astype(np.uint64)), rng.integers(0, 2**63, 4000).astype(np.uint64)])
+    for r in range(30):
+        prints[r + 70] = items.prints[r] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, 15 + r % 10, replace=False)))
+    got = set(zip(*(x.tolist() for x in items.near(prints, 0))))
+    want = {(w, i) for w in range(len(prints)) for i in range(70) if bin(int(prints[w]) ^ int(items.prints[i])).count("1") <= D.RADIUS}
+    assert got == want and len(want) > 90
 
 
 def test_defined_cases(spark):
@@ -83,8 +89,8 @@ def test_defined_cases(spark):
     item = prose(rng, 20)
     data = [(1, f"x {item} y"), (1, f"x {item} y"), (2, None), (3, ""), (None, item), (4, prose(rng, 150_000) + " " + item), (5, "clean words only"), (6, item[: len(item) // 2])]
     df = documents(spark, data, clash=True)
-    bench = spark.createDataFrame([(7, item), (7, item), (8, None), (None, item), (9, "too short"), (10, "")], ITEMS).withColumn("doc_id", F.lit(1))
-    assert [r[:2] for r in rows(D.contaminated(df, bench).select("doc_id", "item_id"))] == [(1, 7), (4, 7)]
+    bench = spark.createDataFrame([(7, item), (7, item), (8, None), (None, item), (9, "too short"), (10, ""), (11, "one"), (12, "words only")], ITEMS).withColumn("doc_id", F.lit(1))
+    assert [r[:2] for r in rows(D.contaminated(df, bench).select("doc_id", "item_id"))] == [(1, 7), (4, 7), (5, 12)]
     kept = D.decontaminate(df, bench)
     assert kept.columns == df.columns and [r[0] for r in rows(kept.select("doc_id"))] == [2, 3, 5, 6, None]
 
