@@ -44,6 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.llm import textkernel as K
 from lexiloom.llm.common import arrow, components, cut, maybe_in
 
 THRESHOLD = 0.9
@@ -120,13 +121,14 @@ def _bucket(keys: np.ndarray, dim: int) -> np.ndarray:
 
 
 def _by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """(dimension, ids, unit vectors) of parts of a batch of (id, u)."""
+    """(dimension, ids, vectors) of parts of a batch whose second column has the vectors."""
     sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
     for dim in np.unique(sizes).tolist():
         at = np.flatnonzero(sizes == dim)
         for lo in range(0, len(at), 4096):
             part = batch.take(pa.array(at[lo : lo + 4096]))
-            yield dim, part.column(0), part.column(1).flatten().to_numpy().reshape(part.num_rows, dim).astype(np.float32)
+            own = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, dim)
+            yield dim, part.column(0), own
 
 
 def _keyer(shared):
@@ -295,18 +297,28 @@ def _exact(threshold: float):
     return run
 
 
+def _hash(values: np.ndarray, salt: int) -> np.ndarray:
+    """One long for each row of doubles."""
+    bits = np.ascontiguousarray(values).view(np.uint64) ^ K.mix(np.arange(values.shape[1], dtype=np.uint64) + np.uint64(salt))
+    return K.mix(K.mix(bits).sum(1, dtype=np.uint64)).view(np.int64)
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, u, ha, hb) of the usable rows of (id, e): unit vectors, and the hash of the vector as it is."""
+    for batch in batches:
+        for dim, ids, e in _by_dim(batch):
+            good = np.isfinite(e).all(1) & (e != 0).any(1)  # a null reads as nan
+            ids, e = ids.filter(pa.array(good)), e[good] + 0.0  # -0.0 equals 0.0
+            # First to a largest element of 1, so that no square overflows or vanishes.
+            u = e / np.abs(e).max(1, keepdims=True)
+            u /= np.sqrt((u * u).sum(1, keepdims=True))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1, dtype=np.int32) * dim), pa.array(u.astype(np.float32).ravel()))
+            yield pa.RecordBatch.from_arrays([ids, lists, pa.array(_hash(e, 0)), pa.array(_hash(e, 1))], names=["id", "u", "ha", "hb"])
+
+
 def _usable(embeddings: DataFrame) -> DataFrame:
-    """(id, u, ha, hb): unit vectors, and the hash of the vector as it is."""
     rows = embeddings.select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
-    rows = rows.where("id is not null and e is not null and size(e) > 0")
-    rows = rows.where(~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    # First to a largest element of 1, so that no square overflows or vanishes; + 0.0 makes -0.0 equal to 0.0.
-    rows = rows.withColumn("top", F.array_max(F.transform("e", F.abs))).where("top > 0")
-    rows = rows.withColumn("s", F.transform("e", lambda x: x / F.col("top")))
-    rows = rows.withColumn("norm", F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x)))
-    same = F.transform("e", lambda x: x + F.lit(0.0))
-    unit = F.transform("s", lambda x: x / F.col("norm")).cast("array<float>")
-    return rows.select("id", unit.alias("u"), F.xxhash64(F.lit(0), same).alias("ha"), F.xxhash64(F.lit(1), same).alias("hb"))
+    return cut(arrow(rows.where("id is not null and e is not null and size(e) > 0"), _units, "id bigint, u array<float>, ha bigint, hb bigint"))
 
 
 def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, z: float = Z, hot: int = HOT) -> DataFrame:
