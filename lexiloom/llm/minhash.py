@@ -1,9 +1,9 @@
 """Operator 1: near-duplicate groups by circulant MinHash.
 
-Two fixed permutations of [0, D): sigma scatters a document's word shingles, and
-coordinate k of the signature is min over shingles of pi[(sigma[s] + k) mod D], so
-one circularly shifted pi gives all coordinates: a shingle's contribution is one
-contiguous slice of pi.
+Two fixed permutations of the 2^32 numbers: sigma scatters a document's word shingles,
+and coordinate k of the signature is min over shingles of pi(sigma(s) + k), so one
+circularly shifted pi gives all coordinates. Both are bijective mixers, so they take no
+tables, and no text can have so many shingles that it fills their range.
 
 1. One pass over the texts gives a 128-bit identity of the word sequence and
    BANDS band hashes. Copies with equal words collapse to their least doc_id here,
@@ -14,16 +14,22 @@ contiguous slice of pi.
 3. Only documents of such components send their shingle sets. Within a component
    a breadth-first search verifies exact Jaccard similarity of pairs that share a
    band; documents already reached need no further pairs, so tight groups take
-   one round. Components of more than LOCAL_SHINGLES shingles in all are verified
-   pair by pair through joins instead: the same pairs, the same rule.
+   one round. Components of more than LOCAL_SHINGLES shingles or LOCAL_DOCUMENTS
+   documents are verified by joins instead, with the same result: each band's members
+   against its least one, then those that aren't similar to it against the others. A pair
+   whose similarities to that one differ by more than the threshold allows can't be
+   similar (one less Jaccard is a metric), and pairs that it links both are connected, so
+   the members of a tight group are never paired with each other.
 
 Result: (doc_id, group_id, keep) for every document of a group of two or more;
 group_id is the least doc_id, which is the one kept.
 
 Defined cases: null doc_id: never grouped. Null or word-less text: never grouped.
-Texts shorter than a shingle: one shingle of all their words. Rows that repeat a
-doc_id are one document: they share its decision. Ties cannot arise: groups are
-connected components. An empty table gives no rows. Other columns are not read.
+Texts shorter than a shingle: one shingle of all their words. Texts of any length are
+hashed whole. Rows that repeat a doc_id are one document: they share its decision. Ties
+cannot arise: groups are connected components. An empty table gives no rows. Other
+columns are not read by near_duplicate_groups and pass through near_dedup, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -42,39 +48,44 @@ SHINGLE = 3
 #: Pairs of the threshold share a band with probability 1 - (1 - 0.5 ** 4) ** 40 = 0.92.
 BANDS, ROWS = 40, 4
 THRESHOLD = 0.5
-UNIVERSE = 1 << 20
-LOCAL_SHINGLES = 10_000_000
+#: Shingles and documents of a component that one task verifies, at most.
+LOCAL_SHINGLES, LOCAL_DOCUMENTS = 10_000_000, 50_000
+#: Shingles whose coordinates are made at a time, so that they stay in the cache.
+STEP = 1024
 SEED = 20_240_229
 
-_perms: dict = {}
 
+def sigma(values: np.ndarray) -> np.ndarray:
+    """The first permutation, on the upper half of mixed shingle hashes."""
+    return (K.mix(values ^ np.uint64(SEED)) >> np.uint64(32)).astype(np.uint32)
 
-def permutations(width: int) -> tuple[np.ndarray, np.ndarray]:
-    """sigma, and pi as a (D, width) view whose row r is pi[r], pi[r + 1], ..."""
-    if width not in _perms:
-        rng = np.random.default_rng(SEED)
-        sigma = rng.permutation(UNIVERSE).astype(np.int32)
-        pi = rng.permutation(UNIVERSE).astype(np.uint32)
-        ring = np.concatenate([pi, pi[:width]])
-        _perms[width] = sigma, np.lib.stride_tricks.sliding_window_view(ring, width)[:UNIVERSE]
-    return _perms[width]
+
+def pi(x: np.ndarray, spare: np.ndarray | None = None) -> np.ndarray:
+    """The second permutation, a bijective mixer of 32 bits; changes x in place and returns it."""
+    spare = np.empty_like(x) if spare is None else spare
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B), (16, 1)):
+        np.right_shift(x, np.uint32(shift), out=spare)
+        x ^= spare
+        if factor > 1:
+            x *= np.uint32(factor)
+    return x
 
 
 def signatures(values: np.ndarray, offsets: np.ndarray, width: int = BANDS * ROWS) -> np.ndarray:
     """(documents, width) minima; documents without shingles get the largest value."""
-    sigma, pi = permutations(width)
     n = np.diff(offsets)
     out = np.full((len(n), width), np.uint32(0xFFFFFFFF))
-    at = sigma[(values & np.uint64(UNIVERSE - 1)).astype(np.int64)]
-    step = 4096
-    for lo in range(0, len(at), step):
-        hi = min(lo + step, len(at))
+    at, shifts = sigma(values), np.arange(width, dtype=np.uint32)
+    room, spare = np.empty((STEP, width), np.uint32), np.empty((STEP, width), np.uint32)
+    for lo in range(0, len(at), STEP):
+        hi = min(lo + STEP, len(at))
+        x = np.add(at[lo:hi, None], shifts, out=room[: hi - lo])
         first = np.searchsorted(offsets, lo, "right") - 1
         last = np.searchsorted(offsets, hi, "left") - 1
         docs = np.arange(first, last + 1)
         docs = docs[n[docs] > 0]
         cuts = np.maximum(offsets[docs], lo) - lo
-        low = np.minimum.reduceat(pi[at[lo:hi]], cuts, axis=0)
+        low = np.minimum.reduceat(pi(x, spare[: hi - lo]), cuts, axis=0)
         out[docs] = np.minimum(out[docs], low)
     return out
 
@@ -146,6 +157,10 @@ def verified(ids: np.ndarray, sets: list[np.ndarray], bands: np.ndarray, thresho
     local, flat = np.unique(np.concatenate(sets), return_inverse=True)
     mark = np.zeros(len(local), bool)
     left = np.ones(len(ids), bool)
+    _, bucket = np.unique(bands.ravel(), return_inverse=True)
+    bucket = bucket.reshape(bands.shape)
+    listed = np.argsort(bucket.ravel(), kind="stable")
+    members = np.split(listed // bands.shape[1], np.cumsum(np.bincount(bucket.ravel()))[:-1])
     out = []
     for start in order.tolist():
         if not left[start]:
@@ -154,8 +169,9 @@ def verified(ids: np.ndarray, sets: list[np.ndarray], bands: np.ndarray, thresho
         group, queue = [start], [start]
         while queue:
             p = queue.pop()
-            near = np.flatnonzero(left)
-            near = near[(bands[near] == bands[p]).any(axis=1)]
+            for b in bucket[p].tolist():  # members that are reached are dropped for good
+                members[b] = members[b][left[members[b]]]
+            near = np.unique(np.concatenate([members[b] for b in bucket[p].tolist()]))
             near = near[np.minimum(sizes[near], sizes[p]) >= threshold * np.maximum(sizes[near], sizes[p])]
             if not len(near):
                 continue
@@ -224,6 +240,7 @@ def near_duplicate_groups(
     rows: int = ROWS,
     threshold: float = THRESHOLD,
     local_shingles: int = LOCAL_SHINGLES,
+    local_documents: int = LOCAL_DOCUMENTS,
 ) -> DataFrame:
     """(doc_id, group_id, keep) of every document in a near-duplicate group."""
     docs = documents.select(F.col("doc_id").cast("bigint").alias("id"), "text").where("id is not null and text is not null")
@@ -241,7 +258,8 @@ def near_duplicate_groups(
     flagged = maybe_in(docs, "id", found.select("id"), "maybe").where("maybe").select("id", "text")
     sets = arrow(flagged, _set_maker(shingle), "id bigint, words binary")
     info = same.select(F.col("rep").alias("id"), "n", "bands").join(found, "id")
-    big = info.groupBy("root").agg(F.sum("n").alias("s")).where(F.col("s") > local_shingles).select("root")
+    sums = info.groupBy("root").agg(F.sum("n").alias("s"), F.count("*").alias("c"))
+    big = cut(sums.where((F.col("s") > local_shingles) | (F.col("c") > local_documents)).select("root"))
     is_big = big.limit(1).count() > 0
     small_info = info.join(big, "root", "left_anti") if is_big else info
     gathered = sets.join(small_info, "id").select("root", "id", "words", "bands").repartition("root").sortWithinPartitions("root", "id")
@@ -261,25 +279,38 @@ def near_duplicate_groups(
     )
 
 
-def _by_pairs(sets: DataFrame, info: DataFrame, threshold: float) -> DataFrame:
-    """The same verification for components too large for one task: pairs through joins."""
-    keyed = info.select("id", F.explode("bands").alias("h"))
-    pairs = keyed.alias("x").join(keyed.alias("y"), F.expr("x.h = y.h and x.id < y.id"))
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, s): the pairs with their exact Jaccard similarity."""
     one = sets.select(F.col("id").alias("a"), F.col("words").alias("wa"))
     two = sets.select(F.col("id").alias("b"), F.col("words").alias("wb"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for wa, wb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(wa, np.uint64), np.frombuffer(wb, np.uint64)
+            out = np.zeros(batch.num_rows)
+            for i, (wa, wb) in enumerate(zip(batch.column(2), batch.column(3))):
+                x, y = np.frombuffer(wa.as_buffer(), np.uint64), np.frombuffer(wb.as_buffer(), np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= threshold * (len(x) + len(y) - common) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                out[i] = common / (len(x) + len(y) - common)
+            yield batch.select(["a", "b"]).append_column("s", pa.array(out))
+
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "wa", "wb")
+    return cut(arrow(both, judge, "a bigint, b bigint, s double"))
 
-    good = pairs.join(one, "a").join(two, "b").select("a", "b", "wa", "wb")
-    return components(arrow(good, judge, "a bigint, b bigint")).select(F.col("node").alias("id"), "root")
+
+def _by_pairs(sets: DataFrame, info: DataFrame, threshold: float) -> DataFrame:
+    """The same verification for components too large for one task: pairs through joins."""
+    keyed = info.select("id", F.explode("bands").alias("h"))
+    heads = keyed.groupBy("h").agg(F.min("id").alias("head"), F.count("*").alias("c")).where("c > 1").select("h", "head")
+    star = keyed.join(heads, "h")
+    judged = _similar(star.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), sets)
+    known = star.join(judged.select(F.col("a").alias("head"), F.col("b").alias("id"), "s"), ["head", "id"], "left")
+    known = cut(known.select("h", "id", "s", (F.col("id") == F.col("head")).alias("is_head")))
+    near = f"s >= {threshold} - 1e-9"
+    # Those that their band's head doesn't link, with all others of the band but the head that may be similar.
+    far = known.where(f"not is_head and not {near}").select("h", F.col("id").alias("x"), F.col("s").alias("t"))
+    rest = far.join(known.where("not is_head"), "h").where(f"abs(s - t) <= 1 - {threshold} + 1e-9 and (x < id or (x > id and {near}))")
+    more = _similar(rest.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct(), sets)
+    return components(judged.union(more).where(near).select("a", "b")).select(F.col("node").alias("id"), "root")
 
 
 def near_dedup(documents: DataFrame, **parameters) -> DataFrame:

@@ -45,16 +45,30 @@ def family():
 
 
 def test_signatures_are_shifts_of_one_permutation():
-    values = np.array([5, 77, 12345, 9, 1 << 21], np.uint64)
-    sigma, view = M.permutations(10)
-    pi = view[:, 0]
+    values = np.array([5, 77, 12345, 9, 1 << 41], np.uint64)
     got = M.signatures(values, np.array([0, 3, 3, 5]), 10)
     for d, part in ((0, values[:3]), (2, values[3:])):
-        at = sigma[(part % np.uint64(M.UNIVERSE)).astype(int)]
-        assert got[d].tolist() == [min(int(pi[(a + k) % M.UNIVERSE]) for a in at) for k in range(10)]
+        at = M.sigma(part).tolist()
+        assert got[d].tolist() == [min(int(M.pi(np.array([(a + k) % 2**32], np.uint32))[0]) for a in at) for k in range(10)]
     assert (got[1] == 0xFFFFFFFF).all()
 
 
+def test_permutations_are_bijective_and_estimate_jaccard():
+    x = np.concatenate([np.arange(1 << 20), np.arange(1 << 20) * 4093]).astype(np.uint32)
+    assert len(np.unique(M.pi(x.copy()))) == len(np.unique(x))
+    rng = np.random.default_rng(4)
+    errors = []
+    for share in (0.2, 0.5, 0.9):
+        for n in (20, 2000):
+            for _ in range(20):
+                pool = rng.integers(0, 2**63, 3 * n).astype(np.uint64)
+                both, a, b = pool[: int(n * share)], pool[n : 2 * n], pool[2 * n :]
+                one, two = (np.concatenate([both, p[: n - len(both)]]) for p in (a, b))
+                s = M.signatures(np.concatenate([one, two]), np.array([0, n, 2 * n]), 400)
+                errors.append((s[0] == s[1]).mean() - len(both) / (2 * n - len(both)))
+    assert abs(np.mean(errors)) < 0.01 and np.abs(errors).max() < 0.15
+
+
 def test_against_all_pairs(spark, family):
     got = rows(M.near_duplicate_groups(documents(spark, family)))
     want = brute(family)
@@ -65,7 +79,19 @@ def test_against_all_pairs(spark, family):
 
 def test_large_components_go_by_joins_with_the_same_result(spark, family):
     df = documents(spark, family)
-    assert rows(M.near_duplicate_groups(df, local_shingles=1)) == rows(M.near_duplicate_groups(df))
+    want = rows(M.near_duplicate_groups(df))
+    assert rows(M.near_duplicate_groups(df, local_shingles=1)) == rows(M.near_duplicate_groups(df, local_documents=2)) == want
+
+
+def test_a_hot_band_of_two_tight_groups_and_strangers(spark):
+    """With one band of one row many documents share it; joins and search give the same groups as all pairs."""
+    rng = random.Random(9)
+    bases = [prose(rng, 80), prose(rng, 80)]
+    data = [(i, changed(rng, bases[i % 2], 0.03) if i % 5 else prose(rng, 5) + " " + bases[0][:60]) for i in range(120)]
+    df = documents(spark, data)
+    want = brute(data)
+    for local in (1, M.LOCAL_SHINGLES):
+        assert rows(M.near_duplicate_groups(df, bands=60, rows=1, local_shingles=local)) == want
 
 
 def test_defined_cases(spark):
