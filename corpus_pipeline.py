@@ -7,19 +7,24 @@ adds the sampling rate. No stage needs more than what its predecessor kept, and
 tables labels and benchmark beside it.
 
 Null doc_id, null or empty text: such documents pass all stages, as no stage can tell
-anything against them. Rows that repeat a doc_id share its decisions. An empty table
-passes as an empty table.
+anything against them. Rows that repeat a doc_id share its decisions. Texts of any length
+are read whole by every stage. Ties go to the least doc_id: it is the first occurrence of
+a line and the copy that stays. Other columns pass through, whatever their names. An empty
+table passes as an empty table.
+
+The stages' results lie in a folder of the run's own below spark.checkpoint.dir. A stage's
+input goes once its result is written; the last result stays, as the returned DataFrame
+reads it.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm.common import table
+from lexiloom.llm.common import remove, shared_folder, table
 from lexiloom.llm.decontam import decontaminate
 from lexiloom.llm.linededup import line_dedup
 from lexiloom.llm.minhash import near_dedup
@@ -36,7 +41,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages of three and more lines go; documents of nothing else go too."""
+    """Repeated passages go; documents of nothing else go too."""
     return line_dedup(docs)
 
 
@@ -51,7 +56,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the rate at which they meet the target weights; a rate of 0 goes."""
+    """Documents with the rate at which they meet the target weights."""
     return mixed(docs, table(spark, sf_dir, "labels"), TARGETS)
 
 
@@ -68,10 +73,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="lexiloom-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
