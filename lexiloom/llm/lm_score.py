@@ -4,29 +4,34 @@ The context vector of a word is a sum, over the CONTEXT words before it, of thei
 vectors weighted by one diagonal matrix per distance; the score of a word is the
 inner product of its output vector with the context vector, plus a bias.
 
-1. Word counts over all documents give the vocabulary: every word that occurs at
-   least LEAST times. The most frequent ones (as many as the square root of the
-   distinct words, VOCABULARY - 1 at least) are symbols of the network; the others
+1. Words are counted over all documents. The HEAD most frequent ones that occur LEAST
+   times are known to every worker, the most frequent of these (as many as the square
+   root of the distinct words, within SYMBOLS) as symbols of the network; the others
    share one symbol for each power of two of their count, and have within it the
-   probability of their count. The symbols' counts are the noise distribution.
-   Words under LEAST are the unknown symbol, and a back-off spells them: the
-   probability of each letter after the one before, and of the word's end.
+   probability of their count. All words beyond the head share a symbol for each class of
+   length, and within it have the probability of their count, which a join with the
+   table of counts tells; words under LEAST are spelled: the probability of each letter
+   after the one before, and of the word's end. The symbols' counts are the noise
+   distribution.
 2. Training, in numpy by noise-contrastive estimation: each partition of the corpus
    trains on all its own words from one common start; the models are averaged,
    weighted by their words, by a Spark aggregation over parameter slots. Every word
-   of the corpus is a training target. The letters of unknown words are counted.
+   of the corpus is a training target. The letters of words beyond the head are counted.
 3. Scoring: the distinct contexts of a batch are multiplied with all output vectors
    at once; their log-sums-of-exponentials normalise the log-probability of every
-   symbol; the word within its symbol is added. No approximation is left in the scores.
+   symbol; the word within its symbol is added, for words beyond the head by document
+   and word after a shuffle of these alone. No approximation is left in the scores.
 
 Result: (doc_id, tokens, unknown, log_prob, perplexity) for every row of documents;
 log_prob is the natural log-probability of all its words, unknown counts those spelled.
 
 Defined cases: null text or no words: 0 tokens, log_prob 0, perplexity null. Null
 doc_id: scored like any row. Ties in word counts: the lesser hash comes first.
-Repeated rows count as often as they occur and get equal scores. A corpus without
-words gives 0 tokens everywhere; an empty table gives no rows. Other columns are not
-read. The vocabulary, 16 bytes a word, is held by the driver and each worker. The averaged model depends on how the input is split into partitions.
+Repeated rows count as often as they occur and get equal scores. Texts of any length are
+scored whole, the context going on over their pieces. A corpus without words gives 0
+tokens everywhere; an empty table gives no rows. Other columns are not read. What the
+driver and each worker hold is bounded: HEAD words of 16 bytes, the model, and letter
+pairs. The averaged model depends on how the input is split into partitions.
 """
 
 from __future__ import annotations
@@ -37,18 +42,26 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm import textkernel as K
 from lexiloom.llm.common import arrow, cut
 
-VOCABULARY, DIM, CONTEXT = 1024, 16, 2
+#: Words with symbols of their own: at least, and at most.
+SYMBOLS = (1024, 4096)
+DIM, CONTEXT = 16, 2
+#: Words that every worker knows.
+HEAD = 1 << 17
 #: Words that occur less often are spelled.
 LEAST = 2
+#: Longest words of the classes of words beyond the head; the last class has no end.
+LENGTHS = np.array([4, 6, 8, 10, 12, 15])
+CLASSES = len(LENGTHS) + 1
 #: Letter pairs are counted as left << SHIFT | right; EDGE stands before and after a word.
 SHIFT, EDGE = 21, 0
-NOISE, BATCH, RATE = 64, 4096, 0.1
+NOISE, BATCH, RATE = 64, 1024, 0.1
 HELD_WORDS = 2_000_000
 #: Code points scored at a time: the more, the more words share a context.
 CHUNK = 1 << 21
@@ -63,21 +76,29 @@ class Model(NamedTuple):
 
 
 class Words(NamedTuple):
-    hashes: np.ndarray  # sorted
-    ids: np.ndarray  # 1, 2, ... by falling frequency, then one for each power of two of the count; 0 is the unknown word
+    hashes: np.ndarray  # of the head, sorted
+    ids: np.ndarray  # from CLASSES on by falling frequency, then one for each power of two of the count; lower ones are classes of length
     share: np.ndarray  # unigram share by id
     within: np.ndarray | None = None  # log-probability of the word given its id, 0 where it has its own
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids, and log-probabilities within them (0 for unknown words: spelled() has theirs)."""
+    def find(self, hashes: np.ndarray, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and log-probabilities within them (0 for words beyond the head: those come from the table of counts)."""
+        classes = length_class(sizes) if sizes is not None else np.zeros(len(hashes), np.int64)
         if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes))
+            return classes, np.zeros(len(hashes))
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         known = self.hashes[at] == hashes
-        return np.where(known, self.ids[at], 0).astype(np.int64), np.zeros(len(hashes)) if self.within is None else np.where(known, self.within[at], 0.0)
+        return np.where(known, self.ids[at], classes).astype(np.int64), np.zeros(len(hashes)) if self.within is None else np.where(known, self.within[at], 0.0)
 
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        return self.find(hashes)[0]
+
+class Tail(NamedTuple):
+    counts: DataFrame  # (h, n) of the words beyond the head that occur LEAST times
+    mass: list[int]  # words of each class of length beyond the head
+    single: list[int]  # those of them that are spelled
+
+
+def length_class(sizes: np.ndarray) -> np.ndarray:
+    return np.searchsorted(LENGTHS, sizes, "left")
 
 
 class Letters(NamedTuple):
@@ -126,30 +147,32 @@ def spelled(model: Letters, pairs: np.ndarray, firsts: np.ndarray) -> np.ndarray
     return np.add.reduceat(np.log(both), firsts)
 
 
-def _unknown(texts: list[str], words: Words) -> tuple[K.Tokens, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """Tokens, their ids, log-probabilities within these, the unknown ones' places and letter pairs."""
+def _symbols(texts: list[str], words: Words) -> tuple[K.Tokens, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Tokens, their ids, log-probabilities within these; the places and letter pairs of words beyond the head."""
     tokens, _, folded, bounds = K.tokenize_points(texts)
-    ids, within = words.find(tokens.hashes)
-    odd = np.flatnonzero(ids == 0)
+    ids, within = words.find(tokens.hashes, tokens.ends - tokens.starts)
+    odd = np.flatnonzero(ids < CLASSES)
     base = bounds[np.searchsorted(tokens.offsets, odd, "right") - 1]
     return tokens, ids, within, odd, letter_pairs(folded, tokens.starts[odd] + base, tokens.ends[odd] + base)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    """(h, c, n): words, their classes of length, and how often they occur in a part of the corpus."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        values, inverse = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
-        return values, np.bincount(inverse, np.concatenate([n for _, n in held]), len(values)).astype(np.int64)
+    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        values, first, inverse = np.unique(np.concatenate([h for h, _, _ in held]), return_index=True, return_inverse=True)
+        return values, np.concatenate([c for _, c, _ in held])[first], np.bincount(inverse, np.concatenate([n for _, _, n in held]), len(values)).astype(np.int64)
 
-    def pack(values: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["h", "n"])
+    def pack(values: np.ndarray, c: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(c.astype(np.int32)), pa.array(n)], names=["h", "c", "n"])
 
     size = 0
     for batch in batches:
         for _, _, texts in K.chunks(batch.column(0)):
-            values, n = np.unique(K.tokenize(texts).hashes, return_counts=True)
-            held.append((values, n))
+            tokens = K.tokenize(texts)
+            values, first, n = np.unique(tokens.hashes, return_index=True, return_counts=True)
+            held.append((values, length_class((tokens.ends - tokens.starts)[first]), n))
             size += len(values)
             if size > HELD_WORDS:
                 held = [merged()]
@@ -161,27 +184,26 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pack(*merged())
 
 
-def vocabulary(documents: DataFrame, size: int | None = None) -> Words:
-    """All words that occur LEAST times; size - 1 at most have ids of their own."""
-    counts = arrow(documents.select("text").where("text is not null"), _count, "h bigint, n bigint")
-    counts = cut(counts.groupBy("h").agg(F.sum("n").alias("n")))
-    distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    size = size or max(VOCABULARY, math.isqrt(distinct))
-    top = counts.orderBy(F.desc("n"), "h").limit(size - 1).toArrow()
-    rest = counts.where(F.col("n") >= LEAST).toArrow()
-    head, n = (top.column(c).to_numpy() for c in ("h", "n"))
-    hashes, m = (rest.column(c).to_numpy() for c in ("h", "n"))
-    tail = ~np.isin(hashes, head)
-    hashes, m = hashes[tail], m[tail]
+def vocabulary(documents: DataFrame, size: int | None = None, head: int = HEAD) -> tuple[Words, Tail]:
+    """The head of all words that occur LEAST times, size of them with ids of their own at most; and the table of the others."""
+    counts = arrow(documents.select("text").where("text is not null"), _count, "h bigint, c int, n bigint")
+    counts = cut(counts.groupBy("h").agg(F.max("c").alias("c"), F.sum("n").alias("n")))
+    distinct = counts.count()
+    size = size or min(max(SYMBOLS[0], math.isqrt(distinct)), SYMBOLS[1])
+    known = counts.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "h").limit(head).toArrow()
+    hashes, n = (known.column(c).to_numpy() for c in ("h", "n"))
+    beyond = f"n < {n[-1]} or (n = {n[-1]} and h > {hashes[-1]})" if len(n) else "true"
+    rest = {r["c"]: r for r in counts.where(beyond).groupBy("c").agg(F.sum("n").alias("mass"), F.sum(F.when(F.col("n") < LEAST, F.col("n")).otherwise(0)).alias("single")).collect()}
+    tail = Tail(counts.where(beyond).where(F.col("n") >= LEAST).select("h", "n"), *([rest[c][k] if c in rest else 0 for c in range(CLASSES)] for k in ("mass", "single")))
+    own, m = min(size, len(n)), n[size:]
     powers, band = np.unique(np.frexp(m)[1], return_inverse=True)
     mass = np.bincount(band, m, len(powers))
-    share = np.array([0, *n, *mass], float)
-    share[0] = max(total - share.sum(), 0)
-    ids = np.concatenate([np.arange(1, len(n) + 1), len(n) + 1 + band]).astype(np.int32)
-    within = np.concatenate([np.zeros(len(n)), np.log(m / mass[band])]).astype(np.float32)
-    hashes = np.concatenate([head, hashes]).view(np.uint64)
+    share = np.array([*tail.mass, *n[:own], *mass], float)
+    ids = CLASSES + np.concatenate([np.arange(own), own + band]).astype(np.int32)
+    within = np.concatenate([np.zeros(own), np.log(m / mass[band])]).astype(np.float32)
+    hashes = hashes.view(np.uint64)
     order = np.argsort(hashes)
-    return Words(hashes[order], ids[order], (share + 1) / (share + 1).sum(), within[order])
+    return Words(hashes[order], ids[order], (share + 1) / (share + 1).sum(), within[order]), tail
 
 
 def start(words: Words, dim: int = DIM, seed: int = SEED) -> Model:
@@ -273,7 +295,7 @@ def _trainer(shared):
         pairs, counts = np.zeros(0, np.int64), np.zeros(0)
         for batch in batches:
             for _, _, texts in K.chunks(batch.column(0)):
-                tokens, ids, _, _, (own, _) = _unknown(texts, words)
+                tokens, ids, _, _, (own, _) = _symbols(texts, words)
                 trainer.feed(ids, contexts(ids, tokens.offsets, len(words.share)))
                 own, n = np.unique(own, return_counts=True)
                 pairs, inverse = np.unique(np.concatenate([pairs, own]), return_inverse=True)
@@ -287,7 +309,7 @@ def _trainer(shared):
 
 
 def fitted(documents: DataFrame, words: Words) -> tuple[Model, Letters]:
-    """One model from all documents, the average of what their partitions learn; and the letters of unknown words."""
+    """One model from all documents, the average of what their partitions learn; and the letters of words beyond the head."""
     model = start(words)
     shared = documents.sparkSession.sparkContext.broadcast((words, model))
     sums = arrow(documents.select("text").where("text is not null"), _trainer(shared), "slot bigint, x double")
@@ -341,30 +363,53 @@ def log_probs(model: Model, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
 
 
 def _scorer(shared):
+    """(row, doc_id, tokens, base, tail): the log-probability of the symbols, and the words beyond the head, each once in a document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, (model, spelling) = shared.value
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, texts in K.chunks(batch.column(1), CHUNK):
-                tokens, own, within, unknown, parts = _unknown(texts, words)
+                tokens, own, within, odd, parts = _symbols(texts, words)
                 each = log_probs(model, own, contexts(own, tokens.offsets, len(words.share))) + within
-                each[unknown] += spelled(spelling, *parts)
                 sums = np.concatenate([[0], np.cumsum(each, dtype=np.float64)])
-                odd = np.concatenate([[0], np.cumsum(own == 0)])
-                a, b = tokens.offsets[:-1], tokens.offsets[1:]
-                total, n = np.round(sums[b] - sums[a], 4), tokens.counts()
-                with np.errstate(over="ignore"):
-                    perplexity = np.round(np.exp(-total / np.maximum(n, 1)), 4)
+                base = sums[tokens.offsets[1:]] - sums[tokens.offsets[:-1]]
+                letters = spelled(spelling, *parts)
+                doc, h = np.searchsorted(tokens.offsets, odd, "right") - 1, tokens.hashes[odd].view(np.int64)
+                order = np.lexsort((h, doc))
+                new = np.ones(len(odd), bool)
+                new[1:] = (doc[order][1:] != doc[order][:-1]) | (h[order][1:] != h[order][:-1])
+                firsts = np.flatnonzero(new)
+                at = order[firsts]
+                tail = pa.StructArray.from_arrays(
+                    [pa.array(h[at]), pa.array(own[odd][at].astype(np.int32)), pa.array(np.diff(np.append(firsts, len(odd)))), pa.array(letters[at])], names=["h", "c", "k", "spelled"]
+                )
+                offsets = np.searchsorted(doc[at], np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array((odd[b] - odd[a]).astype(np.int64)), pa.array(total + 0.0), pa.array(perplexity, mask=n == 0)],
-                    names=["doc_id", "tokens", "unknown", "log_prob", "perplexity"],
+                    [pa.array(np.arange(row, row + hi - lo)), ids.slice(lo, hi - lo), pa.array(tokens.counts().astype(np.int64)), pa.array(base), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), tail)],
+                    names=["row", "doc_id", "tokens", "base", "tail"],
                 )
+                row += hi - lo
 
     return run
 
 
-def lm_scores(documents: DataFrame) -> DataFrame:
+def _scored(docs: DataFrame, words: Words, tail: Tail, model: Model, spelling: Letters) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast((words, (model, spelling)))
+    parts = arrow(docs, _scorer(shared), "row bigint, doc_id bigint, tokens bigint, base double, tail array<struct<h:bigint,c:int,k:bigint,spelled:double>>")
+    parts = cut(parts)  # rows are numbered once
+    log = lambda values: F.array(*[F.lit(math.log(v) if v else 0.0) for v in values])
+    each = parts.select("row", F.inline("tail")).join(tail.counts, "h", "left")
+    alone = F.col("n").isNull()
+    within = F.when(alone, F.get(log(tail.single), "c") + F.col("spelled")).otherwise(F.log(F.col("n").cast("double"))) - F.get(log(tail.mass), "c")
+    sums = each.groupBy("row").agg(F.sum(F.col("k") * within).alias("more"), F.sum(F.when(alone, F.col("k")).otherwise(0)).alias("unknown"))
+    total = F.round(F.col("base") + F.coalesce("more", F.lit(0.0)), 4) + F.lit(0.0)
+    whole = parts.select("row", "doc_id", "tokens", "base").join(sums, "row", "left").select("doc_id", "tokens", F.coalesce("unknown", F.lit(0)).alias("unknown"), total.alias("log_prob"))
+    return whole.withColumn("perplexity", F.when(F.col("tokens") > 0, F.round(F.exp(-F.col("log_prob") / F.col("tokens")), 4)))
+
+
+def lm_scores(documents: DataFrame, head: int = HEAD) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    words = vocabulary(docs)
-    shared = documents.sparkSession.sparkContext.broadcast((words, fitted(docs, words)))
-    return arrow(docs, _scorer(shared), "doc_id bigint, tokens bigint, unknown bigint, log_prob double, perplexity double")
+    words, tail = vocabulary(docs, head=head)
+    return _scored(docs, words, tail, *fitted(docs, words))

@@ -1,7 +1,9 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from lexiloom.llm import lm_score as M
 from lexiloom.llm import textkernel as K
@@ -20,10 +22,10 @@ def patterned(rng, n):
 def test_held_out_perplexity_beats_the_unigram_model(spark):
     rng = random.Random(10)
     train = documents(spark, [(i, patterned(rng, 400)) for i in range(400)])
-    words = M.vocabulary(train.select("text"))
+    words, _ = M.vocabulary(train.select("text"))
     model = M.fit(train.select("text"), words)
     tokens = K.tokenize([patterned(rng, 3000)])
-    ids = words.of(tokens.hashes)
+    ids, _ = words.find(tokens.hashes, tokens.ends - tokens.starts)
     each = M.log_probs(model, ids, M.contexts(ids, tokens.offsets, len(words.share)))
     assert math.exp(-each.mean()) < 0.6 * math.exp(-np.log(words.share[ids]).mean())
 
@@ -41,10 +43,13 @@ def test_probabilities_are_normalised():
 
 
 def test_vocabulary_counts_everything(spark):
-    data = [(i, f"common rare{i} common") for i in range(30)] + [(99, None)]
-    words = M.vocabulary(documents(spark, data), size=5)
-    assert len(words.hashes) == 4 and words.ids[words.hashes == K.tokenize(["common"]).hashes[0]].tolist() == [1]
-    assert abs(words.share[1] - 61 / 95) < 1e-9 and abs(words.share.sum() - 1) < 1e-9
+    data = [(i, f"common rare{i} common") for i in range(30)] + [(98, "again again"), (99, None)]
+    words, tail = M.vocabulary(documents(spark, data), size=5)
+    assert len(words.hashes) == 2 and words.ids[words.hashes == K.tokenize(["common"]).hashes[0]].tolist() == [M.CLASSES]
+    assert sum(tail.mass) == sum(tail.single) == 30 and tail.mass[1] == 30 and tail.counts.count() == 0
+    assert abs(words.share[M.CLASSES] - 61 / (92 + len(words.share))) < 1e-9 and abs(words.share.sum() - 1) < 1e-9
+    words, tail = M.vocabulary(documents(spark, data), head=1)
+    assert len(words.hashes) == 1 and sum(tail.mass) == 32 and sum(tail.single) == 30 and [tuple(r)[1] for r in tail.counts.collect()] == [2]
 
 
 def test_gathering_grows_with_the_corpus():
@@ -69,19 +74,67 @@ def test_defined_cases(spark):
     assert rows(M.lm_scores(documents(spark, [(1, None)]))) == [(1, 0, 0, 0.0, None)]
 
 
-def test_every_word_has_its_own_probability(spark):
-    """Words outside the network's symbols differ by count, and unknown ones by letters."""
-    data = [(0, "common " * 50), (1, "often " * 9), (2, "twice twice"), (3, "banana"), (4, "bananas"), (5, "qxzjv"), (6, "banana0000 " * 2)]
-    words = M.vocabulary(documents(spark, data).select("text"), size=2)
-    assert len(words.hashes) == 4
-    ids, within = words.find(K.tokenize(["common often twice banana0000 banana"]).hashes)
-    assert ids[0] == 1 and ids[2] == ids[3] and len({0, *ids.tolist()}) == 4 and ids[4] == 0
-    assert np.allclose(np.exp(within[1:4]), [1, 0.5, 0.5])
-    rare = [(100 + i, f"rare{i}") for i in range(4000)]
-    junk = [(9000 + i, f"junk{i}qqxzzv") for i in range(40)]
+def brute(docs, words, tail, model, spelling):
+    """Scores word by word, from counts in a dict and one softmax for each word."""
+    lists = [K.tokenize([t or ""]) for _, t in docs]
+    names = [[t[a:b].lower() for a, b in zip(x.starts, x.ends)] for x, (_, t) in zip(lists, docs)]
+    counts = Counter(w for own in names for w in own)
+    number = {w: K.tokenize([w]).hashes[0] for w in counts}
+    known = dict(zip(words.hashes.tolist(), words.ids.tolist()))
+    ident = {w: known.get(int(h), sum(len(w) > x for x in M.LENGTHS.tolist())) for w, h in number.items()}
+    mass = Counter()
+    for w, n in counts.items():
+        mass[ident[w]] += n
+    single = Counter(ident[w] for w, n in counts.items() if n < M.LEAST)
+    out = []
+    for (i, _), own in zip(docs, names):
+        total, unknown, past = 0.0, 0, [len(words.share)] * M.CONTEXT
+        for w in own:
+            q = sum(model.inner[p].astype(float) * model.scale[d] for d, p in enumerate(past))
+            z = model.outer.astype(float) @ q + model.bias
+            total += z[ident[w]] - np.log(np.exp(z - z.max()).sum()) - z.max()
+            if counts[w] >= M.LEAST:
+                total += math.log(counts[w] / mass[ident[w]])
+            else:
+                cps = np.array([ord(c) for c in w], np.uint32)
+                total += math.log(single[ident[w]] / mass[ident[w]]) + M.spelled(spelling, *M.letter_pairs(cps, np.array([0]), np.array([len(w)])))[0]
+                unknown += 1
+            past = [ident[w], *past][: M.CONTEXT]
+        out.append((i, len(own), unknown, total))
+    return out
+
+
+@pytest.mark.parametrize("head", [M.HEAD, 30])
+def test_against_brute_force(spark, head, monkeypatch):
+    monkeypatch.setattr(M, "SYMBOLS", (12, 12))
+    rng = random.Random(12)
+    data = [(i, " ".join(rng.choice([f"w{rng.randrange(25)}", f"word{int(rng.random() ** 3 * 400)}", f"singular{i}{j}"]) for j in range(rng.randrange(60)))) for i in range(60)]
+    data += [(100, None), (101, "Été and straße")]
+    df = documents(spark, data).select("doc_id", "text").repartition(3, "doc_id")
+    words, tail = M.vocabulary(df, head=head)
+    model, spelling = M.fitted(df, words)
+    got = rows(M._scored(df, words, tail, model, spelling))
+    for g, w in zip(got, sorted(brute(data, words, tail, model, spelling))):
+        assert g[:3] == w[:3] and abs(g[3] - w[3]) < 2e-3 * max(1, g[1]), (g, w)
+        assert g[4] is None if not g[1] else abs(g[4] / math.exp(-w[3] / w[1]) - 1) < 0.01
+    assert sum(g[2] for g in got) > 100 and (tail.counts.count() > 100) == (head == 30)
+
+
+def test_words_beyond_the_symbols_differ_by_count_and_letters(spark):
+    rare = [(100 + i, f"rare{1000 + i}") for i in range(4000)]
+    junk = [(9000 + i, f"jqxz{1000 + i}") for i in range(40)]
     got = rows(M.lm_scores(documents(spark, [*rare, *junk, *((1, "alpha"),) * 200])))
     spelt = {name: [r[3] for r in got if r[2] and r[0] in ids] for name, ids in (("rare", {i for i, _ in rare}), ("junk", {i for i, _ in junk}))}
-    assert len(spelt["junk"]) > 5 and max(spelt["junk"]) < min(spelt["rare"]) and got[0][2] == 0 and got[0][3] > max(spelt["rare"])
+    assert len(spelt["junk"]) == 40 and max(spelt["junk"]) < np.median(spelt["rare"]) and got[0][2] == 0 and got[0][3] > max(spelt["rare"])
+
+
+def test_junk_scores_worse_than_text(spark):
+    """Random consonants among the documents of the smallest given table are less probable than nearly all of them."""
+    rng = random.Random(3)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    junk = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randrange(4, 9))) for _ in range(300))
+    got = M.lm_scores(docs.union(spark.createDataFrame([(-1, junk)], "doc_id bigint, text string"))).where("tokens > 20").toPandas()
+    assert got[got.doc_id == -1].perplexity.iloc[0] > got.perplexity.quantile(0.95)
 
 
 def test_spelling_is_normalised():
@@ -94,6 +147,7 @@ def test_spelling_is_normalised():
     assert abs(np.exp(M.spelled(model, after, np.arange(len(after)))).sum() - 1) < 1e-9
 
 
-def test_the_vocabulary_grows_with_the_corpus(spark):
+def test_what_is_gathered_grows_with_the_corpus_and_the_head_does_not(spark):
     small, large = ([(i, f"a{i} a{i}") for i in range(n)] for n in (2000, 6000))
-    assert [len(M.vocabulary(documents(spark, d).select("text")).hashes) for d in (small, large)] == [2000, 6000]
+    found = [M.vocabulary(documents(spark, d).select("text"), head=1500) for d in (small, large)]
+    assert [(len(w.hashes), t.counts.count()) for w, t in found] == [(1500, 500), (1500, 4500)]
