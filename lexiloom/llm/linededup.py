@@ -5,7 +5,7 @@ sentences and clauses, and pieces of more than LONG characters without such mark
 words that end in some letters. Cuts depend on the text beside them alone, so a passage
 is cut the same way wherever it stands, and one that lies within a line has units of its
 own. Every three consecutive units are a window; it counts if they are three whole lines
-or have LEAST characters together. Windows are hashed to 128 bits inside the JVM. The
+or have LEAST characters together. Windows are hashed to 128 bits in numpy, from cumulative sums over whole batches. The
 least (doc_id, position) of each hash is its first occurrence; windows found elsewhere
 are later ones, and the units that any later window covers go. A removed unit always has
 an equal one that stays, earlier in the order.
@@ -28,59 +28,134 @@ n_chars is counted anew.
 from __future__ import annotations
 
 import re
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import cut, fresh, maybe_in
+from lexiloom.llm import textkernel as K
+from lexiloom.llm.common import arrow, cut, fresh, maybe_in
 from lexiloom.shipping import ship
 
 LINES = 3
 #: Characters of a window that isn't made of whole lines, at least; and of a piece that is cut again, more than.
 LEAST, LONG = 60, 200
-#: One piece of a line; one piece of a long piece. Both read alike in the JVM, Python and DuckDB.
-PIECE = r"(?s).+?(?:[.!?…;:|]+ +|[。！？]+ *|$)"
-SHORTER = r"(?s).+?(?:[dghou37] +|$)"
-
-
-def _pieces(line: Column) -> Column:
-    """The pieces that make up a line; blank ones too."""
-    found = F.regexp_extract_all(line, F.lit(PIECE.replace("$", r"\z")), F.lit(0))
-    shorter = lambda p: F.regexp_extract_all(p, F.lit(SHORTER.replace("$", r"\z")), F.lit(0))
-    return F.flatten(F.transform(found, lambda p: F.when(F.length(p) > LONG, shorter(p)).otherwise(F.array(p))))
-
-
-def _units(line: Column) -> Column:
-    """The units of a line."""
-    return F.filter(F.transform(_pieces(line), lambda s: F.trim(s)), lambda s: F.length(s) > 0)
+#: One piece of a line; one piece of a long piece. Python and DuckDB read them alike.
+PIECE = r"(?s).*?(?:[.!?…;:|]+ +|[。！？]+ *)|.+"
+SHORTER = r"(?s).*?[dghou37] +|.+"
+_OTHER, _MARK, _FULL, _SPACE, _END, _LETTER = range(6)
+_kinds: list[np.ndarray] = []
+
+
+def _kind_table() -> np.ndarray:
+    """Code point -> what it means for cuts."""
+    if not _kinds:
+        table = np.zeros(0x110000, np.uint8)
+        for chars, kind in ((".!?…;:|", _MARK), ("。！？", _FULL), (" ", _SPACE), ("\n", _END), ("dghou37", _LETTER)):
+            table[[ord(c) for c in chars]] = kind
+        _kinds.append(table)
+    return _kinds[0]
+
+
+def _spans(cps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, line) of every unit, without spaces at its ends; lines are numbered over all texts, which "\n" separates."""
+    n = len(cps)
+    kind = np.full(n + 2, _END, np.uint8)
+    kind[1:-1] = _kind_table()[cps]
+    space = kind == _SPACE
+    gaps = np.flatnonzero(space[1:] & ~space[:-1]), np.flatnonzero(space[:-1] & ~space[1:])  # code points from, to
+    before = kind[gaps[0]]  # kind is shifted by one
+    full = kind[1:-1] == _FULL
+    cuts = np.concatenate([gaps[1][(before == _MARK) | (before == _FULL)], np.flatnonzero(full & (kind[2:] != _FULL) & (kind[2:] != _SPACE)) + 1])
+    ends = np.flatnonzero(kind[1:-1] == _END)
+    starts = np.unique(np.concatenate([[0], cuts, ends + 1]))
+    edges = np.append(starts[1:], n + 1)
+    edges = edges - np.isin(edges - 1, ends, assume_unique=True) - (edges == n + 1)  # line ends belong to no piece
+    long = edges - starts > LONG
+    if long.any():
+        more = gaps[1][before == _LETTER]
+        at = np.searchsorted(starts, more, "right") - 1
+        more = more[long[at] & (more < edges[at])]
+        edges = np.sort(np.concatenate([edges, more]))
+        starts = np.sort(np.concatenate([starts, more]))
+    lines = np.searchsorted(ends, starts, "left")
+    solid = np.flatnonzero(~space[1:-1])
+    first = np.searchsorted(solid, starts, "left")
+    last = np.searchsorted(solid, edges, "left") - 1
+    some = (first <= last) & (edges > starts)
+    return solid[first[some]], solid[last[some]] + 1, lines[some]
+
+
+def _hashed(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """A 64-bit hash of each span, from one wrapped cumulative sum for each stretch of spans."""
+    out = np.empty(len(starts), np.uint64)
+    at, inverse = 0, pow(base, -1, 1 << 64)
+    while at < len(starts):
+        lo = int(starts[at])
+        to = max(int(np.searchsorted(ends, lo + K.SEGMENT, "right")), at + 1)
+        part = cps[lo : int(ends[to - 1])].astype(np.uint64)
+        part += np.uint64(1)
+        part *= K.power(base, len(part))[: len(part)]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part, out=sums[1:])
+        a, b = starts[at:to] - lo, ends[at:to] - lo
+        out[at:to] = K.mix((sums[b] - sums[a]) * K.power(inverse, len(part))[a])
+        at = to
+    return out
+
+
+_BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93)
+
+
+def _window_maker(lines: int, least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for lo, _, texts in K.chunks(batch.column(1)):
+                cps = K.codepoints("\n".join(texts))
+                bounds = np.cumsum([len(t) + 1 for t in texts])
+                starts, ends, line = _spans(cps)
+                doc = np.searchsorted(bounds, starts, "right")
+                first = np.searchsorted(doc, doc, "left")
+                n = len(starts) - lines + 1
+                if n <= 0:
+                    continue
+                whole = np.ones(len(starts), bool)
+                whole[1:] &= line[1:] != line[:-1]
+                whole[:-1] &= line[1:] != line[:-1]
+                size = np.concatenate([[0], np.cumsum(ends - starts)])
+                full = np.concatenate([[0], np.cumsum(whole)])
+                at = np.arange(n)
+                good = doc[:n] == doc[lines - 1 :]
+                good &= (full[at + lines] - full[at] == lines) | (size[at + lines] - size[at] >= least)
+                at = at[good]
+                out = []
+                for base in _BASES:
+                    one = _hashed(cps, starts, ends, base)
+                    rolled = one[at].copy()
+                    for j in range(1, lines):
+                        rolled *= np.uint64(base)
+                        rolled += one[at + j]
+                    out.append(pa.array(K.mix(rolled).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*out, pa.array(ids[lo + doc[at]]), pa.array((at - first[at]).astype(np.int32))], names=["ha", "hb", "id", "w"])
+
+    return run
 
 
 def windows(documents: DataFrame, lines: int = LINES, least: int = LEAST) -> DataFrame:
     """(ha, hb, id, w) of every window that counts; w numbers the first unit."""
-    split = F.transform(F.split("text", "\n", -1), _units)
-    marked = F.flatten(F.transform(split, lambda u: F.transform(u, lambda s: F.struct(s.alias("s"), (F.size(u) == 1).alias("whole")))))
-    some = documents.select(F.col("doc_id").cast("bigint").alias("id"), marked.alias("u")).where("id is not null")
-    at = lambda i: [F.get("u", i + j) for j in range(lines)]
-    hashed = F.transform(
-        F.sequence(F.lit(0), F.size("u") - F.lit(lines)),
-        lambda i: F.struct(
-            i.alias("w"),
-            F.xxhash64(F.lit(0), *[x["s"] for x in at(i)]).alias("ha"),
-            F.xxhash64(F.lit(1), *[x["s"] for x in at(i)]).alias("hb"),
-            (reduce(Column.__and__, [x["whole"] for x in at(i)]) | (reduce(Column.__add__, [F.length(x["s"]) for x in at(i)]) >= least)).alias("counts"),
-        ),
-    )
-    found = some.select("id", F.explode(F.when(F.size("u") >= lines, F.filter(hashed, lambda x: x["counts"]))).alias("x"))
-    return found.select("x.ha", "x.hb", "id", "x.w")
+    some = documents.select(F.col("doc_id").cast("bigint").alias("id"), "text").where("id is not null and text is not null")
+    return arrow(some, _window_maker(lines, least), "ha bigint, hb bigint, id bigint, w int")
 
 
 def covered(documents: DataFrame, lines: int = LINES, least: int = LEAST) -> DataFrame:
     """(id, later): the windows of each document that repeat an earlier one."""
-    keyed = windows(documents, lines, least)
+    keyed = cut(windows(documents, lines, least))
     again = cut(keyed.groupBy("ha").agg(F.count("*").alias("c")).where("c > 1").select("ha"))
-    some = cut(maybe_in(keyed, "ha", again, "again").where("again").select("ha", "hb", "id", "w"))
+    some = maybe_in(keyed, "ha", again, "again").where("again").select("ha", "hb", "id", "w")
     first = some.groupBy("ha", "hb").agg(F.min(F.struct("id", "w")).alias("first"), F.max(F.struct("id", "w")).alias("last"))
     first = first.where(F.col("first") < F.col("last")).select("ha", "hb", "first")
     # A window that very many documents hold makes a partition of some that AQE splits: first has one row of it.
@@ -88,7 +163,7 @@ def covered(documents: DataFrame, lines: int = LINES, least: int = LEAST) -> Dat
     return later.groupBy("id").agg(F.collect_set("w").alias("later"))
 
 
-_PIECE, _SHORTER = (re.compile(p.replace("$", r"\Z")) for p in (PIECE, SHORTER))
+_PIECE, _SHORTER = re.compile(PIECE), re.compile(SHORTER)
 
 
 def pieces_of(line: str) -> list[str]:

@@ -48,7 +48,8 @@ def fold_table() -> np.ndarray:
 _powers: dict[int, np.ndarray] = {}
 
 
-def _power(base: int, n: int) -> np.ndarray:
+def power(base: int, n: int) -> np.ndarray:
+    """The powers of base from 0 to n - 1 at least, wrapped."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         have = np.full(max(n, SEGMENT + 4096), base, U64)
@@ -95,9 +96,9 @@ def _hash_tokens(folded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     starts, ends = edges[0::2], edges[1::2]
     sums = np.zeros(n + 1, U64)
     term = folded.astype(U64)
-    term *= _power(_BASE, n)[:n]
+    term *= power(_BASE, n)[:n]
     np.cumsum(term, out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * _power(_INVERSE, n)[starts]
+    hashes = (sums[ends] - sums[starts]) * power(_INVERSE, n)[starts]
     return starts, ends, mix(hashes)
 
 

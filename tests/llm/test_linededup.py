@@ -6,27 +6,25 @@ from tests.llm.cases import documents, rows
 
 def pieces(line):
     """The line cut behind marks and blanks, character by character."""
-    cut, now = [], ""
-    for i, c in enumerate(line):
-        now += c
-        after = line[i + 1] if i + 1 < len(line) else ""
-        if now.rstrip(" ") and after != " " and ((c == " " and now.rstrip(" ")[-1] in ".!?…;:|" and len(now.rstrip(" ")) > 1) or (now.rstrip(" ")[-1] in "。！？" and len(now.rstrip(" ")) > 1 and after not in tuple("。！？"))):
-            cut.append(now)
-            now = ""
-    cut += [now] if now else []
-    out = []
-    for piece in cut:
-        if len(piece) <= L.LONG:
-            out.append(piece)
-            continue
-        now = ""
-        for i, c in enumerate(piece):
+    def cut(text, ends):
+        out, now = [], ""
+        for i, c in enumerate(text):
             now += c
-            if c == " " and piece[i + 1 : i + 2] != " " and now.rstrip(" ")[-1:] in tuple("dghou37") and len(now.rstrip(" ")) > 1:
+            if ends(now, text[i + 1 : i + 2]):
                 out.append(now)
                 now = ""
-        out += [now] if now else []
-    return out
+        return out + ([now] if now else [])
+
+    def sentence(now, after):
+        body = now.rstrip(" ")
+        if after == " " or not body:
+            return False
+        return (body != now and body[-1] in ".!?…;:|") or (body[-1] in "。！？" and (body != now or after not in tuple("。！？")))
+
+    def word(now, after):
+        return after != " " and now[-1] == " " and now.rstrip(" ")[-1:] in tuple("dghou37")
+
+    return [x for piece in cut(line, sentence) for x in ([piece] if len(piece) <= L.LONG else cut(piece, word))]
 
 
 def brute(data):
@@ -98,9 +96,12 @@ def test_empty(spark):
 def test_pieces_make_up_the_line():
     rng = random.Random(8)
     for _ in range(300):
-        line = "".join(rng.choice(["word ", "and ", "two", "end. ", "what!  ", "x; ", "字。", "x.y ", "three 37 ", "a?? ", "b | "]) for _ in range(rng.randrange(80)))
+        line = "".join(rng.choice(["word ", "and ", "two", "end. ", "what!  ", "x; ", "字。", "！？ ", ". ", "  ", "x.y ", "three 37 ", "a?? ", "b | "]) for _ in range(rng.randrange(80)))
         assert "".join(L.pieces_of(line)) == line
         assert L.pieces_of(line) == pieces(line), line
+        cps = L.K.codepoints(line)
+        units = [x.strip(" ") for x in pieces(line) if x.strip(" ")]
+        assert [line[a:b] for a, b in zip(*L._spans(cps)[:2])] == units, line
 
 
 def test_passages_within_one_line_and_short_documents(spark):
