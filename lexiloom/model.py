@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
-FORMAT_VERSION = 1
+FORMAT_VERSION = 2
 
 CORPUS = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -23,14 +23,17 @@ DOCS = T.StructType([
 TERMS = T.StructType([
     T.StructField("term", T.StringType()),
     T.StructField("doc_freq", T.LongType()),
+    T.StructField("encoded_bytes", T.LongType()),
+    T.StructField("naive_bytes", T.LongType()),
 ])
-#: doc_len is repeated here so that scoring needs no join with DOCS; bucket is the storage partition.
+#: doc_len is repeated here so that scoring needs no join with DOCS; position_bytes is the coded size of the positions; bucket is the storage partition.
 POSTINGS = T.StructType([
     T.StructField("term", T.StringType()),
     T.StructField("doc_id", T.LongType()),
     T.StructField("tf", T.IntegerType()),
     T.StructField("positions", T.ArrayType(T.IntegerType(), False)),
     T.StructField("doc_len", T.IntegerType()),
+    T.StructField("position_bytes", T.IntegerType()),
     T.StructField("bucket", T.IntegerType()),
 ])
 STATS = T.StructType([

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.sizes import encoded_size
-from lexiloom.operators.index import block_of
+from lexiloom.operators.index import block_of, position_bytes
 
 #: Lists shorter than this have no skip entries.
 SKIP_LEAST = 16
@@ -25,18 +25,32 @@ def position_gaps(posted: DataFrame) -> DataFrame:
     return posted.withColumn("gaps", F.transform("positions", gap))
 
 
+def coded(posted: DataFrame) -> DataFrame:
+    """(term, block, doc_id, packed), shuffled by term and block; packed has the tf in its upper half and the bytes of tf and positions below.
+
+    Postings that know the bytes of their positions (as stored ones do) aren't asked for the positions.
+    """
+    known = F.col("position_bytes") if "position_bytes" in posted.columns else position_bytes(F.col("positions"))
+    size = encoded_size(F.col("tf")) + known
+    packed = F.shiftleft(F.col("tf").cast("bigint"), 32) + size
+    return posted.select("term", block_of(F.col("doc_id")).alias("block"), "doc_id", packed.alias("packed")).repartition("term", "block")
+
+
 def _blocked(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings with what lies before them in their block; and one row for each block with what lies before it."""
+    """Postings with what lies before them in their block; and one row for each block with what lies before it.
+
+    Both read the same columns of the same shuffle, so Spark makes it once.
+    """
     inner = Window.partitionBy("term", "block").orderBy("doc_id")
-    body = position_gaps(posted).withColumn("block", block_of(F.col("doc_id")))
     zero = F.lit(0).cast("bigint")
-    body = body.withColumn("rest", encoded_size(F.col("tf")) + F.aggregate("gaps", zero, lambda s, g: s + encoded_size(g)))
-    body = body.select("term", "block", "doc_id", "tf", "rest", F.lag("doc_id").over(inner).alias("before"), (F.row_number().over(inner) - 1).alias("nth"))
+    body = coded(posted).withColumns({"before": F.lag("doc_id").over(inner), "nth": F.row_number().over(inner) - 1})
+    rest = F.col("packed").bitwiseAND(F.lit((1 << 32) - 1))
     # The first posting's gap depends on the block before; until that is known, it counts without.
-    body = body.withColumn("known", F.col("rest") + F.when(F.col("before").isNotNull(), encoded_size(F.col("doc_id") - F.col("before"))).otherwise(zero))
+    body = body.withColumn("known", rest + F.when(F.col("before").isNotNull(), encoded_size(F.col("doc_id") - F.col("before"))).otherwise(zero))
     blocks = body.groupBy("term", "block").agg(
-        F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.sum("known").alias("bytes"), F.sum("tf").alias("tokens")
-    )
+        F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.sum("known").alias("bytes"),
+        F.sum(F.shiftright("packed", 32)).alias("tokens"),
+    )
     outer = Window.partitionBy("term").orderBy("block")
     upto = outer.rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("carried", F.coalesce(F.lag("last").over(outer), zero))

@@ -21,13 +21,35 @@ BLOCK = 1 << 20
 
 
 def as_corpus(table: DataFrame, doc_id: str = "doc_id", text: str = "text", title: str | None = None, url: str | None = None) -> DataFrame:
-    """Any table with an id and a text as a corpus; title and url are empty unless named. Rows without an id are left out."""
+    """Any table with an id and a text as a corpus; title and url are empty unless named. Rows without an id are left out.
+
+    Ids must be unique, as positions are told apart by them: searches and builds raise DuplicateId
+    otherwise. Null texts are empty. Other columns are not read.
+    """
     word = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c else F.lit("")
     return table.where(F.col(doc_id).isNotNull()).select(
         F.col(doc_id).cast("bigint").alias("doc_id"), word(title).alias("title"), word(url).alias("url"), word(text).alias("text")
     )
 
 
+class DuplicateId(ValueError):
+    pass
+
+
+def unique_ids(corpus: DataFrame) -> DataFrame:
+    """The corpus, once it is sure that no doc_id repeats; reads that column alone."""
+    again = corpus.groupBy("doc_id").count().where("count > 1").select("doc_id").first()
+    if again:
+        raise DuplicateId(f"doc_id {again[0]} occurs more than once")
+    return corpus
+
+
+def spread(corpus: DataFrame) -> DataFrame:
+    """A corpus of fewer partitions than there are cores (one small file, say) is dealt out to all of them."""
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    return corpus.repartition(cores) if corpus._jdf.queryExecution().toRdd().getNumPartitions() < cores else corpus
+
+
 def tokenized(corpus: DataFrame) -> DataFrame:
     """(doc_id, tokens) of title and text."""
     return corpus.select("doc_id", X.tokens(X.searchable(F.col("title"), F.col("text"))).alias("tokens"))
@@ -66,10 +88,26 @@ def postings(corpus: DataFrame, only: list[str] | None = None) -> DataFrame:
 
 
 def dictionary(posted: DataFrame) -> DataFrame:
-    """(term, doc_freq)."""
+    """(term, doc_freq) of postings."""
     return posted.groupBy("term").agg(F.count("*").alias("doc_freq"))
 
 
+def doc_frequencies(corpus: DataFrame) -> DataFrame:
+    """(term, doc_freq) straight from texts: no positions, and counts combined before the shuffle."""
+    return tokenized(corpus).select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("doc_freq"))
+
+
+def counts_of(corpus: DataFrame, terms: list[str]) -> tuple[int, int, dict[str, int]]:
+    """Documents, tokens, and the document frequency of each of the terms that occurs: one pass, a row for each term to the driver."""
+    wanted = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
+    # The empty term, which no text has, stands for the document itself.
+    listed = F.array_append(F.array_intersect("tokens", wanted), F.lit(""))
+    rows = tokenized(corpus).select(F.size("tokens").cast("bigint").alias("n"), F.explode(listed).alias("term"))
+    found = {r["term"]: r for r in rows.groupBy("term").agg(F.count("*").alias("c"), F.sum("n").alias("n")).collect()}
+    own = found.pop("", None)
+    return (own["c"], own["n"], {t: r["c"] for t, r in found.items()}) if own else (0, 0, {})
+
+
 def corpus_stats(doc_table: DataFrame, terms: DataFrame) -> DataFrame:
     """(num_docs, num_terms, total_tokens, avg_doc_len), one row."""
     totals = doc_table.agg(F.count("*").alias("num_docs"), F.coalesce(F.sum(F.col("length").cast("bigint")), F.lit(0)).alias("total_tokens"))
@@ -78,6 +116,16 @@ def corpus_stats(doc_table: DataFrame, terms: DataFrame) -> DataFrame:
     return totals.crossJoin(F.broadcast(some)).select("num_docs", "num_terms", "total_tokens", average.alias("avg_doc_len"))
 
 
+def position_bytes(positions: Column) -> Column:
+    """Bytes of a document's positions, each coded as the gap to the one before; positions are ints, so five bytes at most."""
+    def step(state: Column, p: Column) -> Column:
+        gap = p - state["p"]
+        size = sum(((gap >= F.lit(1 << bits)).cast("int") for bits in (7, 14, 21, 28)), F.lit(1))
+        return F.struct(p.alias("p"), (state["b"] + size).alias("b"))
+
+    return F.aggregate(positions, F.struct(F.lit(0).alias("p"), F.lit(0).alias("b")), step, lambda s: s["b"])
+
+
 def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import time
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from lexiloom.operators import encoding, index as I
 #: Tokens for each bucket of a stored index; a bucket is the least that a lookup opens.
 BUCKET_TOKENS = 4_000_000
 MAX_BUCKETS = 4096
+#: Tokens for each file of a bucket; a term with more is spread over several files.
+FILE_TOKENS = 64_000_000
 
 
 class BadIndex(ValueError):
@@ -21,23 +25,22 @@ class BadIndex(ValueError):
 
 
 class Index:
-    """terms, docs and stats are DataFrames; postings_of gives the postings of some terms."""
+    """docs is a DataFrame, the counts are on the driver; postings_of gives the postings of some terms."""
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, stats: dict):
-        self.spark = spark
-        self.docs = docs
-        self.stats = stats
+    spark: SparkSession
+    docs: DataFrame
 
     def num_docs(self) -> int:
-        return self.stats["num_docs"]
+        raise NotImplementedError
 
     def avg_doc_len(self) -> float:
-        return self.stats["avg_doc_len"]
+        raise NotImplementedError
 
     def postings_of(self, terms: list[str]) -> DataFrame:
         raise NotImplementedError
 
-    def terms_of(self, terms: list[str]) -> DataFrame:
+    def freqs(self, terms: list[str]) -> dict[str, int]:
+        """The document frequency of those terms that occur: as many rows on the driver as the query has terms."""
         raise NotImplementedError
 
 
@@ -45,78 +48,109 @@ class CorpusIndex(Index):
     """Nothing is stored; each query reads the corpus, but sorts and groups its own terms alone."""
 
     def __init__(self, spark: SparkSession, corpus: DataFrame):
-        docs = I.docs(corpus)
-        totals = docs.agg(F.count("*").alias("n"), F.sum(F.col("length").cast("bigint")).alias("t")).first()
-        n, tokens = totals["n"], totals["t"] or 0
-        super().__init__(spark, docs, {"num_docs": n, "total_tokens": tokens, "avg_doc_len": tokens / n if n else 0.0})
-        self.corpus = corpus
+        self.spark = spark
+        self.corpus = I.spread(I.unique_ids(corpus))
+        self.docs = I.docs(corpus)
+        self.totals: tuple[int, int] | None = None
+
+    def _totals(self) -> tuple[int, int]:
+        if self.totals is None:
+            self.freqs([])
+        return self.totals
+
+    def num_docs(self) -> int:
+        return self._totals()[0]
+
+    def avg_doc_len(self) -> float:
+        n, tokens = self._totals()
+        return tokens / n if n else 0.0
 
     def postings_of(self, terms: list[str]) -> DataFrame:
         return I.postings(self.corpus, terms)
 
-    def terms_of(self, terms: list[str]) -> DataFrame:
-        return I.dictionary(self.postings_of(terms))
+    def freqs(self, terms: list[str]) -> dict[str, int]:
+        n, tokens, found = I.counts_of(self.corpus, terms)
+        self.totals = n, tokens
+        return found
 
 
 class StoredIndex(Index):
     """Opened lazily: opening reads the one row of stats."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        self.spark = spark
         self.folder = folder.rstrip("/")
         read = lambda name, schema: spark.read.schema(schema).parquet(f"{self.folder}/{name}")
-        row = read("stats", M.STATS).first()
+        try:
+            row = read("stats", M.STATS).first()
+        except AnalysisException as e:
+            raise BadIndex(f"{folder} holds no index") from e
         if row is None or row["format_version"] != M.FORMAT_VERSION:
             raise BadIndex(f"{folder} holds no index of format {M.FORMAT_VERSION}")
-        super().__init__(spark, read("docs", M.DOCS), row.asDict())
-        self.postings = read("postings", M.POSTINGS)
-        self.terms = read("terms", M.TERMS)
+        self.stats = row.asDict()
+        self.docs, self.postings, self.terms = read("docs", M.DOCS), read("postings", M.POSTINGS), read("terms", M.TERMS)
+
+    def num_docs(self) -> int:
+        return self.stats["num_docs"]
+
+    def avg_doc_len(self) -> float:
+        return self.stats["avg_doc_len"]
 
     def postings_of(self, terms: list[str]) -> DataFrame:
         """Partition pruning by bucket, then the pushed filter on the sorted term column."""
         return self.postings.where(F.col("bucket").isin(self._buckets(terms)) & F.col("term").isin(terms))
 
     def _buckets(self, terms: list[str]) -> list[int]:
-        """Hashed on the driver's JVM, as literals: a static partition filter."""
+        """As literals, for a static partition filter; hashed by the optimizer, without a job."""
         if not terms:
             return []
-        hashed = [I.bucket_of(F.lit(t), self.stats["buckets"]).alias(str(i)) for i, t in enumerate(terms)]
-        return sorted(set(self.spark.range(1).select(*hashed).first()))
+        listed = self.spark.createDataFrame(pa.table({"t": pa.array(terms, pa.string())}))
+        return sorted({r[0] for r in listed.select(I.bucket_of(F.col("t"), self.stats["buckets"])).collect()})
 
-    def terms_of(self, terms: list[str]) -> DataFrame:
-        return self.terms.where(F.col("term").isin(terms))
+    def freqs(self, terms: list[str]) -> dict[str, int]:
+        found = self.terms.where(F.col("term").isin(terms)).select("term", "doc_freq").collect() if terms else []
+        return {r["term"]: r["doc_freq"] for r in found}
 
 
 def find_term(index: Index, term: str) -> int | None:
     """The document frequency of a term, None where the dictionary has no such term."""
-    row = index.terms_of([term]).first()
-    return row["doc_freq"] if row else None
+    return index.freqs([term]).get(term)
 
 
-def _spread(corpus: DataFrame) -> DataFrame:
-    """A corpus of fewer partitions than there are cores (one small file, say) is dealt out to all of them."""
-    cores = corpus.sparkSession.sparkContext.defaultParallelism
-    return corpus.repartition(cores) if corpus._jdf.queryExecution().toRdd().getNumPartitions() < cores else corpus
+def _placed(posted: DataFrame, corpus: DataFrame, tokens: int, buckets: int) -> DataFrame:
+    """Postings in files of about FILE_TOKENS: a bucket's light terms by their hash, a term that fills files of its own by blocks of documents."""
+    parts = max(1, math.ceil(tokens / buckets / FILE_TOKENS))
+    inner = F.pmod(F.xxhash64("term", F.lit(7)), F.lit(parts)).cast("int")
+    if tokens > FILE_TOKENS:
+        # At most tokens / FILE_TOKENS terms have so many tokens; beyond that bound nothing is broadcast.
+        counts = I.tokenized(corpus).select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+        heavy = counts.where(F.col("n") > FILE_TOKENS).select("term", F.ceil(F.col("n") / FILE_TOKENS).cast("int").alias("files"))
+        posted = posted.join(F.broadcast(heavy) if tokens / FILE_TOKENS <= 1_000_000 else heavy, "term", "left")
+        inner = F.when(F.col("files").isNotNull(), -1 - F.pmod(F.xxhash64(I.block_of(F.col("doc_id"))), F.col("files")).cast("int")).otherwise(inner)
+    posted = posted.withColumn("part", inner).repartition("bucket", "part", F.when(F.col("part") < 0, F.col("term")))
+    return posted.select(*[f.name for f in M.POSTINGS]).sortWithinPartitions("bucket", "term", "doc_id")
 
 
 def build_index(corpus: DataFrame, folder: str, buckets: int | None = None) -> dict:
     """Write postings, terms, docs and stats; returns the build report.
 
     The corpus is read twice: once for docs, which tells how many buckets are needed,
-    once for postings. Sizes and the dictionary come from what was written.
+    once for postings. Sizes and the dictionary come from what was written. Raises
+    DuplicateId before anything but docs is written where a doc_id repeats.
     """
     began = time.perf_counter()
     spark = corpus.sparkSession
     folder = folder.rstrip("/")
-    corpus = _spread(corpus)
-    I.docs(corpus).sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{folder}/docs")
-    docs = spark.read.schema(M.DOCS).parquet(f"{folder}/docs")
+    corpus = I.spread(corpus)
+    # In ranges of doc_id, so that a lookup of a few ids skips all files and row groups but theirs.
+    I.docs(corpus).repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{folder}/docs")
+    docs = I.unique_ids(spark.read.schema(M.DOCS).parquet(f"{folder}/docs"))
     totals = docs.agg(F.count("*").alias("n"), F.sum(F.col("length").cast("bigint")).alias("t")).first()
     n, tokens = totals["n"], totals["t"] or 0
     if buckets is None:
         buckets = max(8, min(MAX_BUCKETS, math.ceil(tokens / BUCKET_TOKENS)))
-    posted = I.postings(corpus).withColumn("bucket", I.bucket_of(F.col("term"), buckets))
-    placed = posted.repartition("bucket", I.block_of(F.col("doc_id"))).sortWithinPartitions("bucket", "term", "doc_id")
-    placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    posted = I.postings(corpus).withColumns({"bucket": I.bucket_of(F.col("term"), buckets), "position_bytes": I.position_bytes(F.col("positions"))})
+    _placed(posted, corpus, tokens, buckets).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
     written = spark.read.schema(M.POSTINGS).parquet(f"{folder}/postings")
     sizes = encoding.term_sizes(written.drop("bucket"))
     # Term-ordered: a lookup skips all files but one by their least and greatest terms.
