@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as X
-from lexiloom.model import CORPUS
 
 SAMPLE_WORDS = (
     "river", "stone", "light", "garden", "window", "paper", "letter", "market", "harbour", "bridge", "winter", "summer", "music", "dance",
@@ -17,6 +17,10 @@ SAMPLE_WORDS = (
 )
 
 
+#: Partitions of a text source up to which the offsets of its splits are broadcast.
+BROADCAST_SPLITS = 1_000_000
+
+
 def split_line(line) -> list:
     """title, url and text of one tab-separated line, as Columns.
 
@@ -34,24 +38,27 @@ def split_line(line) -> list:
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, value) of a text file or folder; ids count lines from 0 in file order.
 
-    Partitions hold consecutive lines, so a line's number is what its partition's
-    predecessors hold plus its place in its own. One cheap job counts the partitions;
-    the offsets, one row for each partition, are broadcast. The id that Spark gives to
-    a row carries both its partition (upper bits) and its place (lower 33 bits).
+    A split holds consecutive lines, so a line's number is what the splits before it
+    hold plus its place in its own. One cheap job counts the splits; their offsets, three
+    longs for each, are broadcast as long as there are at most BROADCAST_SPLITS partitions.
+    The id that Spark gives to a row carries both its partition (upper bits) and its place
+    (lower 33 bits).
     """
     try:
         lines = spark.read.option("lineSep", "\n").text(path)
-    except Exception as e:
+    except AnalysisException as e:
         raise FileNotFoundError(f"cannot open corpus: {path}") from e
-    # One partition for each range of one file, in order, whatever the sizes of the files.
-    lines = lines.withColumn("_at", F.monotonically_increasing_id())
-    lines = lines.select("value", F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_nth"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    few = lines._jdf.queryExecution().toRdd().getNumPartitions() <= BROADCAST_SPLITS
+    lines = lines.withColumn("_at", F.monotonically_increasing_id()).select(
+        "value", F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_nth"),
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+    )
+    piece = F.xxhash64("_file", "_start").alias("_piece")  # a partition may hold several small files
     pieces = lines.groupBy("_part", "_file", "_start").agg(F.count("*").alias("n"), F.min("_nth").alias("low"))
     order = Window.orderBy("_file", "_start")
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = pieces.select("_part", F.col("_file").alias("f"), F.col("_start").alias("s"), (before - F.col("low")).alias("offset"))
-    same = (F.col("_file") == F.col("f")) & (F.col("_start") == F.col("s"))
-    joined = lines.join(F.broadcast(offsets.withColumnRenamed("_part", "p")), (F.col("_part") == F.col("p")) & same)
+    offsets = pieces.select("_part", piece, (before - F.col("low")).alias("offset"))
+    joined = lines.select("value", "_part", "_nth", piece).join(F.broadcast(offsets) if few else offsets, ["_part", "_piece"])
     return joined.select((F.col("offset") + F.col("_nth")).cast("bigint").alias("doc_id"), "value")
 
 
@@ -64,7 +71,7 @@ def read_queries(spark: SparkSession, path: str) -> list[str]:
     """The lines of a query file that aren't empty."""
     try:
         lines = spark.read.option("lineSep", "\n").text(path)
-    except Exception as e:
+    except AnalysisException as e:
         raise FileNotFoundError(f"cannot open queries: {path}") from e
     found = [r["value"] for r in lines.where("value <> ''").collect()]  # a file written by hand
     if not found:
@@ -72,32 +79,54 @@ def read_queries(spark: SparkSession, path: str) -> list[str]:
     return found
 
 
-_RECORD = "title STRING, opening_text STRING, text STRING"
+_RECORD = "title STRING, opening_text STRING, text STRING, _bad STRING"
+#: Before it the fields that are wanted have come; what follows is the page's whole text.
+_MARKER = ',"text":"'
+
+
+def parse_record(line: Column) -> Column:
+    """(title, opening_text, text) of one JSON line, null where it doesn't parse.
+
+    A record that is complete before the marker of its text and has a title there is read
+    no further: its text is null, and a page without an opening has none then. Any other
+    line is parsed whole.
+    """
+    parsed = lambda x: F.from_json(x, _RECORD, {"columnNameOfCorruptRecord": "_bad"})
+    at = F.instr(line, _MARKER)
+    early = parsed(F.when(at > 0, F.concat(F.substr(line, F.lit(1), at - 1), F.lit("}"))))
+    sound = lambda r: F.when(r["_bad"].isNull(), r)
+    head = sound(early)
+    return F.when(F.coalesce(F.length(head["title"]) > 0, F.lit(False)), head).otherwise(sound(parsed(line)))
 
 
 def read_dump(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """(doc_id, title, url, text) of a page dump in JSON lines, every second of them an action line.
 
-    text is the opening, or else the page's text, cleaned and cut. Lines that don't parse,
-    and pages without a title or a text, are left out. Ids count the pages that stay.
+    text is the opening, or else the page's text where the record was parsed whole (see
+    parse_record), cleaned and cut. Lines that don't parse, and pages without a title or a
+    text, are left out. Ids count the pages that stay.
     """
     lines = numbered_lines(spark, path).where(F.pmod("doc_id", F.lit(2)) == 1)
-    page = lines.select("doc_id", F.from_json("value", _RECORD).alias("r")).select("doc_id", "r.*")
+    page = lines.select("doc_id", parse_record(F.col("value")).alias("r")).select("doc_id", "r.title", "r.opening_text", "r.text")
     page = page.select("doc_id", X.cleaned(F.col("title")).alias("title"), X.abstract(F.col("opening_text"), F.col("text")).alias("text"))
     page = page.where("title <> '' and text <> ''")
     if limit is not None:
         page = page.orderBy("doc_id").limit(max(1, limit))
-    return with_row_ids(page.withColumn("url", X.page_url(F.col("title"))), "doc_id")
+    return with_row_ids(page.withColumn("url", X.page_url(F.col("title"))), "doc_id").select("doc_id", "title", "url", "text")
 
 
-def with_row_ids(rows: DataFrame, by: str) -> DataFrame:
-    """rows with doc_id counting from 0 in the order of column by: a range sort, one count for each partition, no single task."""
-    ordered = rows.orderBy(by).rdd.zipWithIndex()
-    names = [c for c in rows.columns if c != "doc_id"]
-    schema = CORPUS if set(names) == {"title", "url", "text"} else None
-    if schema is None:
-        raise ValueError("rows must have title, url and text")
-    return ordered.map(lambda x: (x[1], x[0]["title"], x[0]["url"], x[0]["text"])).toDF(schema)
+def with_row_ids(rows: DataFrame, by: str, block: int = 1 << 20) -> DataFrame:
+    """rows with doc_id counting from 0 in the order of the long column by, whose values are distinct.
+
+    Ranges of block values are numbered each in its own task; one row for each range carries
+    on the count.
+    """
+    ranged = rows.withColumn("_range", F.floor(F.col(by) / block))
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"))
+    inner = Window.partitionBy("_range").orderBy(by)
+    numbered = ranged.withColumn("_nth", F.row_number().over(inner) - 1).join(starts, "_range")
+    return numbered.withColumn("doc_id", F.col("_start") + F.col("_nth")).select(*dict.fromkeys([*rows.columns, "doc_id"]))
 
 
 def synthetic(spark: SparkSession, docs: int = 50_000, seed: int = 7) -> DataFrame:

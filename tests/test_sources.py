@@ -1,10 +1,11 @@
 import gzip
 import json
+import random
 
 import pytest
 
 from lexiloom.cli import main
-from lexiloom.sources.corpus import read_dump, read_queries, read_tsv, synthetic
+from lexiloom.sources.corpus import read_dump, read_queries, read_tsv, synthetic, with_row_ids
 from lexiloom.sources.sinks import result_lines, write_tsv
 
 
@@ -54,15 +55,26 @@ def test_dump(spark, tmp_path):
         {"title": "A b", "opening_text": " One\n two ", "text": "no"}, {"title": "B", "opening_text": "", "text": "fall  back"}, {"title": "C", "text": ""},
         {"title": "", "opening_text": "x"},
     ]
-    lines = [x for p in pages for x in ('{"index":{}}', json.dumps(p))] + ['{"index":{}}', "{broken"]
+    compact = lambda p: json.dumps(p, separators=(",", ":"))
+    # Complete before its text and without an opening: dropped. The same with blanks, or without a title there, is parsed whole.
+    more = [compact({"title": "Cut", "opening_text": "", "text": "never read"}), json.dumps({"title": "D", "opening_text": "", "text": "read"}),
+            '{"opening_text":"","text":"all of it","title":"E"}', '{"title":"F","opening_text":"broken ,"text":"x"}', compact({"title": "G", "opening_text": "o", "text": "t"})]
+    lines = [x for p in [*map(json.dumps, pages), *more] for x in ('{"index":{}}', p)] + ['{"index":{}}', "{broken"]
     path = tmp_path / "d.json.gz"
     path.write_bytes(gzip.compress("\n".join(lines).encode()))
     rows = [tuple(r) for r in read_dump(spark, str(path)).orderBy("doc_id").collect()]
-    assert [(r[0], r[1], r[3]) for r in rows] == [(0, "A b", "One two"), (1, "B", "fall back")]
+    assert [(r[0], r[1], r[3]) for r in rows] == [(0, "A b", "One two"), (1, "B", "fall back"), (2, "D", "read"), (3, "E", "all of it"), (4, "G", "o")]
     assert rows[0][2].endswith("/A_b")
     assert read_dump(spark, str(path), 0).count() == 1
 
 
+def test_row_ids_over_ranges(spark):
+    values = sorted(random.Random(2).sample(range(5000), 700))
+    made = spark.createDataFrame([(v, str(v)) for v in random.Random(3).sample(values, 700)], "k long, x string")
+    got = {r["k"]: r["doc_id"] for r in with_row_ids(made, "k", block=64).collect()}
+    assert got == {v: i for i, v in enumerate(values)}
+
+
 def test_synthetic_round_trip(spark, tmp_path):
     made = synthetic(spark, 200)
     rows = made.orderBy("doc_id").collect()
