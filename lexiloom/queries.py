@@ -25,7 +25,7 @@ _WORDS = "list_transform(regexp_extract_all({}, '[A-Za-z0-9]+'), lambda w: lower
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.as_corpus(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return I.spread(I.as_corpus(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 def _engine(spark: SparkSession, sf_dir: str) -> SearchEngine:
@@ -55,7 +55,7 @@ def postings(spark, sf_dir):
 
 
 def doc_freq(spark, sf_dir):
-    return I.dictionary(I.postings(_corpus(spark, sf_dir)))
+    return I.doc_frequencies(_corpus(spark, sf_dir))
 
 
 def doc_store(spark, sf_dir):
@@ -64,7 +64,7 @@ def doc_store(spark, sf_dir):
 
 def corpus_stats(spark, sf_dir):
     corpus = _corpus(spark, sf_dir)
-    return I.corpus_stats(I.docs(corpus), I.dictionary(I.postings(corpus)))
+    return I.corpus_stats(I.docs(corpus), I.doc_frequencies(corpus))
 
 
 def term_lookup(spark, sf_dir):
@@ -116,7 +116,7 @@ def encoded_sizes(spark, sf_dir):
 
 def idf(spark, sf_dir):
     engine = _engine(spark, sf_dir)
-    freqs = I.dictionary(I.postings(_corpus(spark, sf_dir)))
+    freqs = I.doc_frequencies(_corpus(spark, sf_dir))
     value = ranking.inverse_doc_freq(F.col("doc_freq").cast("double"), F.lit(float(engine.num_docs())))
     return freqs.select("term", F.round(value, 6).alias("idf"))
 
