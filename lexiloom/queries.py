@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,13 @@ from lexiloom.model import Bm25
 from lexiloom.operators import encoding, ranking, retrieval
 from lexiloom.operators import index as I
 from lexiloom.plans import query as Q
-from lexiloom.sources.corpus import split_line
+from lexiloom.service import api_search, clamped_k
+from lexiloom.shared import shared_folder
+from lexiloom.shipping import ship
+from lexiloom.sources.corpus import read_dump, read_queries, read_tsv, split_line, synthetic
+from lexiloom.sources.sinks import result_lines, write_tsv
+from lexiloom.store import build_index, find_term
+from lexiloom.workload import latency_summary, run_at_once, run_serially
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -193,6 +201,209 @@ def clean_truncate(spark, sf_dir):
     return docs.select("doc_id", X.abstract(opening, F.col("text")).alias("abstract"), X.page_url(title).alias("url"))
 
 
+def doc_len_of_corpus(spark, sf_dir):
+    """Whole-corpus totals as an opened engine gives them."""
+    engine = _engine(spark, sf_dir)
+    return spark.createDataFrame([(engine.num_docs(), round(engine.index.avg_doc_len(), 6))], "num_docs bigint, avg_doc_len double")
+
+
+# --- files --------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A folder of this application and this data in the shared one."""
+    return f"{shared_folder(spark)}/lexiloom-{spark.sparkContext.applicationId}/{hashlib.md5(sf_dir.encode()).hexdigest()[:12]}/{name}"
+
+
+_reports: dict[str, dict] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[SearchEngine, dict]:
+    """The index of the documents, with source and language as title and url, built and written once, then opened from its files."""
+    folder = _folder(spark, sf_dir, "index")
+    if folder not in _reports:
+        corpus = I.as_corpus(spark.read.parquet(f"{sf_dir}/documents.parquet"), title="source", url="lang")
+        _reports[folder] = build_index(corpus, folder)
+    return SearchEngine.open(spark, folder), _reports[folder]
+
+
+def stored_report(spark, sf_dir):
+    """What a build reports, but for the seconds."""
+    report = _stored(spark, sf_dir)[1]
+    names = ("num_docs", "num_terms", "total_tokens", "postings_bytes", "naive_bytes")
+    return spark.createDataFrame([tuple(report[n] for n in names)], ", ".join(f"{n} bigint" for n in names))
+
+
+def stored_stats(spark, sf_dir):
+    """The row that opening reads."""
+    index = _stored(spark, sf_dir)[0].index
+    return spark.createDataFrame([(index.num_docs(), index.stats["total_tokens"], round(index.avg_doc_len(), 6))], "num_docs bigint, total_tokens bigint, avg_doc_len double")
+
+
+def stored_terms(spark, sf_dir):
+    return _stored(spark, sf_dir)[0].index.terms
+
+
+def stored_docs(spark, sf_dir):
+    return _big(_stored(spark, sf_dir)[0].index.docs, "length")
+
+
+def stored_postings(spark, sf_dir):
+    posted = _stored(spark, sf_dir)[0].index.postings
+    listed = F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions")
+    return _big(posted.select("term", "doc_id", "tf", listed, "doc_len", "position_bytes"), "tf", "doc_len", "position_bytes")
+
+
+def stored_lookup(spark, sf_dir):
+    """Dictionary lookups of single terms, known and unknown."""
+    index = _stored(spark, sf_dir)[0].index
+    return spark.createDataFrame([(t, find_term(index, t)) for t in ("anat", "reed", "the", "zzzq")], "term string, doc_freq bigint")
+
+
+def _stored_match(query: str) -> Query:
+    return lambda spark, sf_dir: _stored(spark, sf_dir)[0].match(query)
+
+
+def _stored_search(query: str, k: int = K) -> Query:
+    return lambda spark, sf_dir: _stored(spark, sf_dir)[0].search(query, k).withColumn("score", F.round("score", 6))
+
+
+def stored_batch(spark, sf_dir):
+    found = _stored(spark, sf_dir)[0].search_all([*BATCH, "", "!!!", *BATCH[:2]], K)
+    return _big(found, "qid", "rank").withColumn("score", F.round("score", 6))
+
+
+def _served(spark: SparkSession, sf_dir: str) -> list[dict]:
+    engine = _stored(spark, sf_dir)[0]
+    return [api_search(engine, q, k) for q, k in SERVED]
+
+
+def service_answers(spark, sf_dir):
+    """The search endpoint: cleaned query, number of results and error of each call."""
+    rows = [(i, a["query"], a["count"], a["error"]) for i, a in enumerate(_served(spark, sf_dir))]
+    return spark.createDataFrame(rows, "call bigint, query string, count bigint, error string")
+
+
+def service_results(spark, sf_dir):
+    """The results of each call, in their order."""
+    rows = [(i, j, r["docid"], round(r["score"], 6), r["title"], r["url"]) for i, a in enumerate(_served(spark, sf_dir)) for j, r in enumerate(a["results"], 1)]
+    return spark.createDataFrame(rows, "call bigint, rank bigint, docid bigint, score double, title string, url string")
+
+
+def result_text(spark, sf_dir):
+    """The lines that the command line prints."""
+    lines = result_lines(_stored(spark, sf_dir)[0].search(FLAGSHIP, K).collect())
+    return spark.createDataFrame(list(enumerate(lines)), "line bigint, value string")
+
+
+def workload_hits(spark, sf_dir):
+    """Queries and hits of a workload read from a query file, one by one and in one job."""
+    folder = _folder(spark, sf_dir, "queries")
+    _write_lines(spark, ["", *BATCH, ""], folder)
+    engine, queries = _stored(spark, sf_dir)[0], read_queries(spark, folder)
+    runs = (("one by one", run_serially(engine, queries, K)), ("in one job", run_at_once(engine, queries, K)))
+    return spark.createDataFrame([(name, r["queries"], r["hits"]) for name, r in runs], "run string, queries bigint, hits bigint")
+
+
+def latencies(spark, sf_dir):
+    """The summary of a workload whose n-th query took as many milliseconds as the n-th document has characters."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where("n_chars is not null").select("n_chars").collect()
+    millis = [float(r[0]) for r in rows]
+    summary = latency_summary(millis, sum(millis))
+    return spark.createDataFrame([tuple(round(summary[k], 6) for k in ("mean_ms", "p50_ms", "p95_ms", "qps"))], "mean_ms double, p50_ms double, p95_ms double, qps double")
+
+
+def _write_lines(spark: SparkSession, lines: list[str], folder: str) -> None:
+    spark.createDataFrame(list(enumerate(lines)), "i long, value string").coalesce(1).sortWithinPartitions("i").select("value").write.mode("overwrite").text(folder)
+
+
+def _lines_of_documents(spark: SparkSession, sf_dir: str, line, folder: str) -> None:
+    """A line for each document, in the order of doc_id over the files."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null")
+    docs.withColumn("text", F.translate(F.coalesce("text", F.lit("")), "\n\t", "  ")).select("doc_id", line.alias("value")).orderBy("doc_id").select("value").write.mode("overwrite").text(folder)
+
+
+def read_tsv_file(spark, sf_dir):
+    """A corpus of lines with none, one and two tabs, read from its files; ids number the lines."""
+    kind = F.pmod("doc_id", F.lit(3))
+    line = F.concat(F.when(kind > 0, F.concat(F.col("source"), F.lit("\t"))).otherwise(""), F.when(kind > 1, F.concat(F.col("lang"), F.lit("\t"))).otherwise(""), F.col("text"))
+    folder = _folder(spark, sf_dir, "tsv")
+    _lines_of_documents(spark, sf_dir, line, folder)
+    return read_tsv(spark, folder)
+
+
+def write_read_tsv(spark, sf_dir):
+    """A corpus written as lines and read back."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("text", F.translate("text", "\n\t", "  "))
+    folder = _folder(spark, sf_dir, "written")
+    write_tsv(I.as_corpus(docs, title="source", url="lang"), folder)
+    return read_tsv(spark, folder)
+
+
+def _dump(spark: SparkSession, sf_dir: str) -> str:
+    """Pages in JSON lines behind action lines, one for each document; every case of the rules occurs."""
+    kind, opening = F.pmod("doc_id", F.lit(6)), F.substring("text", 1, 700).alias("opening_text")
+    title = F.concat(F.col("lang"), F.lit("  page "), F.col("doc_id").cast("string")).alias("title")
+    whole, none = F.to_json(F.struct(title, opening, F.lit("rest").alias("text"))), F.lit("").alias("opening_text")
+    bare, text = F.lit("").alias("title"), F.col("text").alias("text")
+    page = (
+        F.when(kind == 0, whole).when(kind == 1, F.to_json(F.struct(title, none, text))).when(kind == 2, F.to_json(F.struct(bare, opening, text)))
+        .when(kind == 3, F.to_json(F.struct(text, title))).when(kind == 4, F.concat(F.lit("{"), whole)).otherwise(F.regexp_replace(whole, ',"text":', ', "text": '))
+    )
+    folder = _folder(spark, sf_dir, "dump")
+    _lines_of_documents(spark, sf_dir, F.concat(F.lit('{"index":{}}\n'), page), folder)
+    return folder
+
+
+def read_dump_file(spark, sf_dir):
+    return read_dump(spark, _dump(spark, sf_dir))
+
+
+def read_dump_limit(spark, sf_dir):
+    """A limit is the feature: the first pages that stay."""
+    return read_dump(spark, _dump(spark, sf_dir), 7)
+
+
+def synthetic_corpus(spark, sf_dir):
+    """What holds for every synthetic corpus: its size, the bounds of lengths, the words used, titles and urls that fit."""
+    made = synthetic(spark, 2000).withColumn("w", F.split("text", " "))
+    fits = (F.lower("title") == F.concat_ws(" ", F.slice("w", 1, 3))) & F.col("url").endswith(F.concat(F.lit("/"), F.col("doc_id").cast("string")))
+    facts = made.agg(F.count("*").alias("docs"), F.min(F.size("w")).cast("bigint").alias("least"), F.max(F.size("w")).cast("bigint").alias("most"), F.sum(fits.cast("bigint")).alias("fit"))
+    words = made.select(F.explode("w").alias("x")).agg(F.count_distinct("x").alias("words"))
+    return facts.join(F.broadcast(words))
+
+
+def variable_bytes(spark, sf_dir):
+    """Numbers as coded, in hexadecimal, and decoded again."""
+    def coded(v: pd.Series) -> pd.DataFrame:
+        data = [sizes.encode(int(x)) for x in v]
+        return pd.DataFrame({"code": [d.hex() for d in data], "back": [sizes.decode(d)[0] for d in data]})
+
+    ship(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("n_chars is not null").select("doc_id", (F.col("n_chars") * 7919).alias("v"))
+    return docs.withColumn("x", F.pandas_udf(coded, "code string, back bigint")("v")).select("doc_id", "v", "x.code", "x.back")
+
+
+def empty_query(spark, sf_dir):
+    """Queries without a word have no results, and no error."""
+    engine = _stored(spark, sf_dir)[0]
+    return engine.search("", K).union(engine.search("!!! ,", K)).union(_engine(spark, sf_dir).search(" ", K))
+
+
+def syntax_errors(spark, sf_dir):
+    def said(query: str) -> str | None:
+        try:
+            Q.parse(query)
+        except Q.QuerySyntaxError as e:
+            return str(e)
+
+    return spark.createDataFrame([(q, said(q)) for q in BROKEN], "query string, error string")
+
+
+def clamped(spark, sf_dir):
+    return spark.createDataFrame([(k, clamped_k(k)) for k in CLAMPED], "given string, k bigint")
+
+
 # --- SQL ----------------------------------------------------------------------
 
 _TOK = f"tok AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ts FROM documents WHERE doc_id IS NOT NULL)"
@@ -300,6 +511,92 @@ _CLEAN_SQL = r"""SELECT doc_id, substr(trim(regexp_replace(coalesce(nullif(CASE
   '[\s\x0b\x1c-\x1f\x85\p{Z}]+', ' ', 'g')), 1, 600) AS abstract,
   'https://en.wikipedia.org/wiki/' || replace(lang || ' ' || source, ' ', '_') AS url FROM documents"""
 
+SERVED = (("  reed ", "3"), ("reed AND anat", "x"), ("reed OR anat", "99"), ("", "5"), (None, "5"), (" !!! ", "5"), ("(reed", "5"), ("the", "0"), ("zzzq", None))
+CLAMPED = ("0", "-4", "1", "10", "50", "51", "x", "", "7.5")
+BROKEN = {
+    "(quick AND brown": "unbalanced parentheses", "quick)": "unexpected token in query", "AND": "expected a term", "x AND": "expected a term", "OR x": "expected a term",
+    "NOT": "expected a term", "()": "expected a term", "x AND OR y": "expected a term", "x OR OR y": "expected a term", "x AND ,": "expected a term", "x and y": None,
+    '"x y': None, "": None, "NOT NOT x": None,
+}
+# The stored index has source and language as title and url; a title is part of what is searched.
+_TITLED = _POST.replace(f"{_WORDS.format("coalesce(text, '')")}", f"{_WORDS.format("concat(coalesce(source, ''), ' ', coalesce(text, ''))")}")
+_TITLED_POS = _TITLED[: _TITLED.index(", lens AS")]
+_TITLED_CODED = _CODED.replace(_POST, _TITLED)
+_NAMES = "coalesce(d.source, '') AS title, coalesce(d.lang, '') AS url"
+
+
+def _stored_sql(query: str, k: int = K) -> str:
+    return f"""WITH {_TITLED}, {_TOTALS}, {_scored_ctes(Q.parse(query))}
+SELECT doc_id AS docid, round(score, 6) AS score, {_NAMES} FROM scored JOIN documents d USING (doc_id) QUALIFY {_RANKED} <= {k}"""
+
+
+def _stored_batch_sql() -> str:
+    ctes, parts = [], []
+    asked = [*enumerate(BATCH), *((len(BATCH) + 2 + i, q) for i, q in enumerate(BATCH[:2]))]
+    for i, q in asked:
+        ctes.append(_scored_ctes(Q.parse(q), str(i)))
+        parts.append(
+            f"""SELECT CAST({i} AS BIGINT) AS qid, '{q}' AS query, CAST({_RANKED} AS BIGINT) AS rank, doc_id AS docid, round(score, 6) AS score, {_NAMES}
+FROM scored{i} JOIN documents d USING (doc_id) QUALIFY {_RANKED} <= {K}"""
+        )
+    return f"WITH {_TITLED}, {_TOTALS}, {', '.join(ctes)} " + " UNION ALL ".join(f"({p})" for p in parts)
+
+
+def _text(value: str | None) -> str:
+    return "CAST(NULL AS VARCHAR)" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+def _answers_sql(results: bool) -> str:
+    ctes, parts = [], []
+    for i, (q, k) in enumerate(SERVED):
+        query = (q or "").strip()
+        tree, error = None, BROKEN.get(query)
+        if query != "(reed":
+            tree = Q.parse(query) if query else None
+        else:
+            error = "unbalanced parentheses"
+        if tree:
+            ctes.append(_scored_ctes(tree, str(i)))
+        limit = min(max(int(k), 1), 50) if k and k.lstrip("-").isdigit() else 10
+        if not results:
+            n = f"least({limit}, (SELECT count(*) FROM scored{i}))" if tree else "0"
+            parts.append(f"SELECT CAST({i} AS BIGINT) AS call, {_text(query)} AS query, CAST({n} AS BIGINT) AS count, {_text(error)} AS error")
+        elif tree:
+            parts.append(f"""SELECT CAST({i} AS BIGINT) AS call, CAST({_RANKED} AS BIGINT) AS rank, doc_id AS docid, round(score, 6) AS score, {_NAMES}
+FROM scored{i} JOIN documents d USING (doc_id) QUALIFY {_RANKED} <= {limit}""")
+    return f"WITH {_TITLED}, {_TOTALS}, {', '.join(ctes)} " + " UNION ALL ".join(f"({p})" for p in parts)
+
+
+def _hits_sql() -> str:
+    ctes = [_scored_ctes(Q.parse(q), str(i)) for i, q in enumerate(BATCH)]
+    hits = " + ".join(f"least({K}, (SELECT count(*) FROM scored{i}))" for i in range(len(BATCH)))
+    return f"WITH {_TITLED}, {_TOTALS}, {', '.join(ctes)} SELECT run, CAST({len(BATCH)} AS BIGINT) AS queries, CAST({hits} AS BIGINT) AS hits FROM (VALUES ('one by one'), ('in one job')) v(run)"
+
+
+_LINED = "SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS n, translate(coalesce(text, ''), chr(10) || chr(9), '  ') AS line FROM documents WHERE doc_id IS NOT NULL"
+_READ_SQL = f"""SELECT CAST(n AS BIGINT) AS doc_id, CASE WHEN doc_id % 3 > 0 THEN source ELSE '' END AS title, CASE WHEN doc_id % 3 = 2 THEN lang ELSE '' END AS url,
+  CASE WHEN doc_id % 3 = 1 THEN source || chr(9) || line ELSE line END AS text FROM ({_LINED})"""
+_SPACES = r"trim(regexp_replace({}, '[\s\x0b\x1c-\x1f\x85\p{{Z}}]+', ' ', 'g'))"
+_DUMP_SQL = f"""SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS doc_id, title, 'https://en.wikipedia.org/wiki/' || replace(title, ' ', '_') AS url, text FROM (
+  SELECT doc_id, lang || ' page ' || doc_id AS title, substr(CASE doc_id % 6 WHEN 3 THEN {_SPACES.format("line")} ELSE
+    coalesce(nullif({_SPACES.format("substr(line, 1, 700)")}, ''), CASE WHEN doc_id % 6 = 5 AND substr(line, 1, 700) = '' THEN 'rest' ELSE '' END) END, 1, 600) AS text
+  FROM ({_LINED}) WHERE doc_id % 6 IN (0, 3, 5)) WHERE text <> ''"""
+_BYTES_SQL = f"""SELECT doc_id, v, array_to_string(list_transform(range(0, {_vb("v")}),
+  lambda i: printf('%02x', CAST((v >> CAST(7 * i AS INT)) & 127 AS INT) + CASE WHEN i = {_vb("v")} - 1 THEN 128 ELSE 0 END)), '') AS code, v AS back
+FROM (SELECT doc_id, n_chars * 7919 AS v FROM documents WHERE n_chars IS NOT NULL)"""
+_LATENCY_SQL = """WITH m AS (SELECT CAST(n_chars AS DOUBLE) AS ms, row_number() OVER (ORDER BY n_chars) - 1 AS i, count(*) OVER () AS n FROM documents WHERE n_chars IS NOT NULL)
+SELECT round(avg(ms), 6) AS mean_ms, round(max(ms) FILTER (WHERE i = n // 2), 6) AS p50_ms, round(max(ms) FILTER (WHERE i = least(n - 1, CAST(floor(n * 0.95) AS BIGINT))), 6) AS p95_ms,
+  round(1000.0 * count(*) / sum(ms), 6) AS qps FROM m"""
+
+_STORED_SEARCHES: dict[str, tuple[str, int]] = {
+    "stored_search_term": ("reed", K), "stored_search_and": ("reed AND anat", K), "stored_search_or": ("reed OR anat", K), "stored_search_and_not": ("the AND NOT reed", K),
+    "stored_search_phrase": ('"of the"', K), "stored_search_not": ("NOT the", 25), "stored_search_nested": ('("of the" OR und) AND NOT (la OR reed)', K),
+    "stored_search_title": ("src3 OR anat", 40), "stored_search_rare_first": ("the AND anat AND reed", K), "stored_search_all": ("NOT zzzq", 20_000),
+}
+_STORED_MATCHES: dict[str, str] = {
+    "stored_match_term": "reed", "stored_match_phrase": '"the anea eriner"', "stored_match_not": "NOT the", "stored_match_and": "reed AND anat AND the",
+    "stored_match_missing": "reed AND zzzq", "stored_match_nested": '("of the" OR und) AND NOT (la OR reed)',
+}
 _SEARCHES: dict[str, str] = {
     "match_term": "reed", "match_and": "reed AND anat", "match_implicit_and": "the hand", "match_or": "reed OR anat", "match_not": "NOT the",
     "match_and_not": "the AND NOT reed", "match_phrase2": '"of the"', "match_phrase3": '"the anea eriner"', "match_repeated_phrase": '"the the"',
@@ -323,6 +620,9 @@ def queries() -> dict[str, Query]:
     plain = (
         tokenize, positions, postings, doc_freq, doc_store, corpus_stats, term_lookup, positions_fetch, naive_size, compressed_size, compression_ratio,
         term_sizes, doc_gaps, position_gaps, skip_table, encoded_sizes, idf, term_weights, topk_with_metadata, batch_search, tsv_fields, clean_truncate,
+        doc_len_of_corpus, stored_report, stored_stats, stored_terms, stored_docs, stored_postings, stored_lookup, stored_batch, service_answers, service_results,
+        result_text, workload_hits, latencies, read_tsv_file, write_read_tsv, read_dump_file, read_dump_limit, synthetic_corpus, variable_bytes, empty_query,
+        syntax_errors, clamped,
     )
     out: dict[str, Query] = {f.__name__: f for f in plain}
     out |= {name: _match(q) for name, q in _SEARCHES.items()}
@@ -330,6 +630,8 @@ def queries() -> dict[str, Query]:
     out |= {name: _scores(q) for name, q in _RANKINGS.items()}
     out["bm25_params"] = _scores("reed OR anat", k1=2.0, b=0.3)
     out |= {name: _top(q, k) for name, (q, k) in _TOPS.items()}
+    out |= {name: _stored_search(q, k) for name, (q, k) in _STORED_SEARCHES.items()}
+    out |= {name: _stored_match(q) for name, q in _STORED_MATCHES.items()}
     return out
 
 
@@ -362,8 +664,40 @@ def oracle_sql() -> dict[str, str]:
         "tsv_fields": _TSV_SQL,
         "clean_truncate": _CLEAN_SQL,
         "bm25_params": _scores_sql("reed OR anat", k1=2.0, b=0.3),
-    }
+        "doc_len_of_corpus": f"WITH {_POST} SELECT count(*) AS num_docs, round(CAST(sum(doc_len) AS DOUBLE) / count(*), 6) AS avg_doc_len FROM lens",
+        "stored_report": f"""WITH {_TITLED_CODED} SELECT (SELECT count(*) FROM lens) AS num_docs, count(*) AS num_terms, (SELECT CAST(sum(doc_len) AS BIGINT) FROM lens) AS total_tokens,
+  CAST(sum(encoded_bytes) AS BIGINT) AS postings_bytes, CAST(sum(naive_bytes) AS BIGINT) AS naive_bytes FROM term_bytes""",
+        "stored_stats": f"WITH {_TITLED} SELECT count(*) AS num_docs, CAST(sum(doc_len) AS BIGINT) AS total_tokens, round(CAST(sum(doc_len) AS DOUBLE) / count(*), 6) AS avg_doc_len FROM lens",
+        "stored_terms": f"WITH {_TITLED_CODED} SELECT term, doc_freq, encoded_bytes, naive_bytes FROM term_bytes",
+        "stored_docs": f"WITH {_TITLED} SELECT doc_id, {_NAMES}, CAST(doc_len AS BIGINT) AS length FROM lens JOIN documents d USING (doc_id)",
+        "stored_postings": f"""WITH {_TITLED_CODED} SELECT p.term, p.doc_id, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions,
+  CAST(any_value(l.doc_len) AS BIGINT) AS doc_len, CAST(any_value(b.pos_bytes) AS BIGINT) AS position_bytes
+  FROM pos p JOIN lens l USING (doc_id) JOIN lists b ON b.term = p.term AND b.doc_id = p.doc_id GROUP BY p.term, p.doc_id""",
+        "stored_lookup": f"WITH {_TITLED} SELECT v.term, t.doc_freq FROM (VALUES ('anat'), ('reed'), ('the'), ('zzzq')) v(term) LEFT JOIN terms t ON t.term = v.term",
+        "stored_batch": _stored_batch_sql(),
+        "service_answers": _answers_sql(False),
+        "service_results": _answers_sql(True),
+        "result_text": f"""WITH {_TITLED}, {_TOTALS}, {_scored_ctes(Q.parse(FLAGSHIP))}, best AS (
+  SELECT {_RANKED} AS rank, score, {_NAMES} FROM scored JOIN documents d USING (doc_id) QUALIFY rank <= {K}
+), listed AS (
+  SELECT rank, 0 AS second, printf('%2d. [%.4f] %s', rank, score, title) AS value FROM best UNION ALL SELECT rank, 1, '        ' || url FROM best WHERE url <> ''
+) SELECT row_number() OVER (ORDER BY rank, second) - 1 AS line, value FROM listed""",
+        "workload_hits": _hits_sql(),
+        "latencies": _LATENCY_SQL,
+        "read_tsv_file": _READ_SQL,
+        "write_read_tsv": f"SELECT CAST(n AS BIGINT) AS doc_id, coalesce(source, '') AS title, coalesce(lang, '') AS url, line AS text FROM ({_LINED})",
+        "read_dump_file": _DUMP_SQL,
+        "read_dump_limit": f"SELECT * FROM ({_DUMP_SQL}) WHERE doc_id < 7",
+        "synthetic_corpus": "SELECT CAST(2000 AS BIGINT) AS docs, CAST(15 AS BIGINT) AS least, CAST(40 AS BIGINT) AS most, CAST(2000 AS BIGINT) AS fit, CAST(68 AS BIGINT) AS words",
+        "variable_bytes": _BYTES_SQL,
+        "empty_query": "SELECT CAST(0 AS BIGINT) AS docid, 0.0 AS score, '' AS title, '' AS url WHERE false",
+        "syntax_errors": "SELECT * FROM (VALUES " + ", ".join(f"({_text(q)}, {_text(e)})" for q, e in BROKEN.items()) + ") v(query, error)",
+        "clamped": "SELECT given, CAST(CASE WHEN regexp_full_match(given, '-?[0-9]+') THEN least(greatest(CAST(given AS INT), 1), 50) ELSE 10 END AS BIGINT) AS k FROM (VALUES "
+        + ", ".join(f"('{k}')" for k in CLAMPED) + ") v(given)",
+    }
     out |= {name: _match_sql(q) for name, q in (_SEARCHES | _ALGEBRA).items()}
     out |= {name: _scores_sql(q) for name, q in _RANKINGS.items()}
     out |= {name: _top_sql(q, k) for name, (q, k) in _TOPS.items()}
+    out |= {name: _stored_sql(q, k) for name, (q, k) in _STORED_SEARCHES.items()}
+    out |= {name: f"WITH {_TITLED_POS} SELECT doc_id FROM ({_set_sql(Q.parse(q))})" for name, q in _STORED_MATCHES.items()}
     return out
