@@ -24,12 +24,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm.common import remove, shared_folder, table
+from lexiloom.llm.common import table
 from lexiloom.llm.decontam import decontaminate
 from lexiloom.llm.linededup import line_dedup
 from lexiloom.llm.minhash import near_dedup
 from lexiloom.llm.mixing import mixed
 from lexiloom.llm.toxicity import drop_toxic
+from lexiloom.shared import remove, shared_folder
 
 #: Toxic documents have gone before, so the mixture is one of the two other domains.
 TARGETS = {"high": 0.9, "low": 0.1}
