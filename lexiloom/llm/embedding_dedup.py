@@ -117,7 +117,7 @@ class _Tables:
 
 def _bucket(keys: np.ndarray, dim: int) -> np.ndarray:
     """One long for each (dimension, table, key); different ones of one dimension never meet."""
-    return (keys.astype(np.int64) << 16 | np.arange(keys.shape[1])) ^ (np.int64(dim) * np.int64(0x5851F42D4C957F2D >> 1))
+    return (keys.astype(np.int64) << 16 | np.arange(keys.shape[1])) ^ np.int64(dim * 0x2C28FA16A64ABF97 & (1 << 63) - 1)
 
 
 def _by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array, np.ndarray]]:

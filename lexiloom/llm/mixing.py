@@ -136,7 +136,11 @@ def train(texts: list[str], domain: np.ndarray, prior: np.ndarray, epochs: int =
     past = [np.full((BUCKETS, 1), 1e-4, np.float32), np.full_like(dense, 1e-4), np.full_like(bias, 1e-4)]
     order = rng.permutation(len(texts))
     parts = [order[lo : lo + BATCH] for lo in range(0, len(order), BATCH)]
-    ready = [features([texts[i] for i in own]) for own in parts]
+    ready = []
+    for own in parts:
+        tokens, buckets, shape = features([texts[i] for i in own])
+        # Training asks for no more of the tokens than where texts begin.
+        ready.append((tokens._replace(hashes=None, starts=None, ends=None), buckets.astype(np.int32), shape))
     for _ in range(epochs):
         for at in rng.permutation(len(parts)):
             own, (tokens, buckets, shape) = parts[at], ready[at]
@@ -177,10 +181,11 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, d
         part = bounded(there.where(F.col("d") == d), train_rows, TRAIN_LETTERS)
         sample = part if sample is None else sample.union(part)
     # At most train_rows ids of each domain, and TRAIN_LETTERS code points; rows that repeat an id count once.
-    found = ids.join(F.broadcast(sample), "id").groupBy("id", "d").agg(F.min("text").alias("text")).collect()
-    found = sorted(found, key=lambda r: (r["id"], r["text"]))
+    found = ids.join(F.broadcast(sample), "id").groupBy("id", "d").agg(F.min("text").alias("text")).toArrow().sort_by("id")
     prior = np.array([totals[d] for d in names], float)
-    model = train([r["text"] for r in found], np.array([names.index(r["d"]) for r in found]), prior / prior.sum())
+    model = train(found.column("text").to_pylist(), np.array([names.index(d) for d in found.column("d").to_pylist()]), prior / prior.sum())
+    del found
+    K.release()
     return names, model
 
 

@@ -75,12 +75,12 @@ class _Batch:
         doc = tokens.doc()
         starts = tokens.starts[which] + bounds[doc[which]]
         ends = tokens.ends[which] + bounds[doc[which]]
-        self.buckets = K.stems(tokens.hashes[which], folded, starts, ends, STEMS, buckets)
+        self.buckets = K.stems(tokens.hashes[which], folded, starts, ends, STEMS, buckets).astype(np.int32)
         self.counts = tokens.counts()
         pad = max(WIDTHS) - 1
         self.firsts = tokens.offsets[:-1] + pad * np.arange(len(texts))
-        self.row = np.full(len(tokens.hashes) + pad * len(texts), len(which), np.int64)
-        self.at = np.arange(len(tokens.hashes)) + pad * doc
+        self.row = np.full(len(tokens.hashes) + pad * len(texts), len(which), np.int32)
+        self.at = (np.arange(len(tokens.hashes)) + pad * doc).astype(np.int32)
         self.row[self.at] = inverse
 
     def vectors(self, words: np.ndarray) -> np.ndarray:
@@ -206,17 +206,19 @@ def fit(documents: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC,
     first = lambda y, n: bounded(labelled.where(F.col("y") == y), n, TRAIN_LETTERS)
     sample = first(1, toxic_rows).union(first(0, clean_rows))
     # At most toxic_rows + clean_rows ids, and twice TRAIN_LETTERS code points; rows that repeat an id count once.
-    found = texts.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min("text").alias("text")).collect()
-    found = sorted(found, key=lambda r: r["id"])
-    y = np.array([r["y"] for r in found], np.float32)
+    found = texts.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min("text").alias("text")).toArrow().sort_by("id")
+    y = found.column("y").to_numpy().astype(np.float32)
     if len(set(y.tolist())) < 2:
         return Classifier(None, 1.0, {})
     held = np.zeros(len(y), bool)
     for c in (0, 1):
         own = np.flatnonzero(y == c)
         held[own[3::4]] = True
-    model = train([r["text"] for r, h in zip(found, held) if not h], y[~held])
-    trained = documents.sparkSession.createDataFrame([(found[i]["id"],) for i in np.flatnonzero(~held)], "id bigint")
+    found = found.filter(pa.array(~held))
+    trained = documents.sparkSession.createDataFrame(found.select(["id"]))
+    model = train(found.column("text").to_pylist(), y[~held])
+    del found
+    K.release()
     # Texts stay where they are: those that may be labelled are scored, and the scores joined with labels.
     maybe = maybe_in(texts, "id", labelled.select("id"), "maybe").where("maybe").select("id", "text", "lang")
     marks = scored(maybe, Classifier(model, 0.5, {}), "score").select("id", F.coalesce("lang", F.lit("")).alias("lang"), "score")
