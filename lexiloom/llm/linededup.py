@@ -7,8 +7,10 @@ is cut the same way wherever it stands, and one that lies within a line has unit
 own. Every three consecutive units are a window; it counts if they are three whole lines
 or have LEAST characters together. Windows are hashed to 128 bits in numpy, from cumulative sums over whole batches. The
 least (doc_id, position) of each hash is its first occurrence; windows found elsewhere
-are later ones, and the units that any later window covers go. A removed unit always has
-an equal one that stays, earlier in the order.
+are later ones. The units that later windows cover are merged into passages, and a
+passage goes if it has RUN characters; shorter ones, such as a sentence or two between
+two edits of a near copy, stay. Three whole lines go whatever their length. A removed unit
+always has an equal one that stays, earlier in the order.
 
 Windows are counted by one half of their hash, combined before the shuffle; only those
 that occur again are looked at further. A passage that occurs any number of times is
@@ -43,6 +45,8 @@ from lexiloom.shipping import ship
 LINES = 3
 #: Characters of a window that isn't made of whole lines, at least; and of a piece that is cut again, more than.
 LEAST, LONG = 60, 200
+#: Characters of a passage that goes, at least: some 20 words.
+RUN = 120
 #: One piece of a line; one piece of a long piece. Python and DuckDB read them alike.
 PIECE = r"(?s).*?(?:[.!?…;:|]+ +|[。！？]+ *)|.+"
 SHORTER = r"(?s).*?[dghou37] +|.+"
@@ -130,8 +134,9 @@ def _window_maker(lines: int, least: int):
                 full = np.concatenate([[0], np.cumsum(whole)])
                 at = np.arange(n)
                 good = doc[:n] == doc[lines - 1 :]
-                good &= (full[at + lines] - full[at] == lines) | (size[at + lines] - size[at] >= least)
-                at = at[good]
+                whole = full[at + lines] - full[at] == lines
+                good &= whole | (size[at + lines] - size[at] >= least)
+                at, whole = at[good], whole[good]
                 out = []
                 for base in _BASES:
                     one = _hashed(cps, starts, ends, base)
@@ -140,13 +145,13 @@ def _window_maker(lines: int, least: int):
                         rolled *= np.uint64(base)
                         rolled += one[at + j]
                     out.append(pa.array(K.mix(rolled).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*out, pa.array(ids[lo + doc[at]]), pa.array((at - first[at]).astype(np.int32))], names=["ha", "hb", "id", "w"])
+                yield pa.RecordBatch.from_arrays([*out, pa.array(ids[lo + doc[at]]), pa.array((2 * (at - first[at]) + whole).astype(np.int32))], names=["ha", "hb", "id", "w"])
 
     return run
 
 
 def windows(documents: DataFrame, lines: int = LINES, least: int = LEAST) -> DataFrame:
-    """(ha, hb, id, w) of every window that counts; w numbers the first unit."""
+    """(ha, hb, id, w) of every window that counts; w is twice the number of its first unit, and 1 more for whole lines."""
     some = documents.select(F.col("doc_id").cast("bigint").alias("id"), "text").where("id is not null and text is not null")
     return arrow(some, _window_maker(lines, least), "ha bigint, hb bigint, id bigint, w int")
 
@@ -170,12 +175,27 @@ def pieces_of(line: str) -> list[str]:
     return [x for p in _PIECE.findall(line) for x in (_SHORTER.findall(p) if len(p) > LONG else [p])]
 
 
-def without_windows(text: str, later: set[int], lines: int = LINES) -> tuple[str, int]:
-    """The text without the units that the windows cover, and how many these are."""
-    gone = {w + j for w in later for j in range(lines)}
+def passages(later: set[int], sizes: list[int], lines: int, run: int) -> set[int]:
+    """The units of the passages that go; sizes has the characters of each unit."""
+    gone = {w // 2 + j for w in later if w % 2 for j in range(lines)}
+    covered = sorted({w // 2 + j for w in later for j in range(lines)})
+    at = 0
+    for i in range(1, len(covered) + 1):
+        if i == len(covered) or covered[i] != covered[i - 1] + 1:
+            own = covered[at:i]
+            if sum(sizes[u] for u in own) >= run:
+                gone.update(own)
+            at = i
+    return gone
+
+
+def without_windows(text: str, later: set[int], lines: int = LINES, run: int = RUN) -> tuple[str, int]:
+    """The text without the passages that the windows make up, and how many units these have."""
+    listed = [(line, pieces_of(line)) for line in text.split("\n")]
+    gone = passages(later, [len(x.strip(" ")) for _, own in listed for x in own if x.strip(" ")], lines, run)
     kept, seen, removed = [], 0, 0
-    for line in text.split("\n"):
-        own, stay, units = pieces_of(line), [], 0
+    for line, own in listed:
+        stay, units = [], 0
         for piece in own:
             if piece.strip(" "):
                 units += 1
@@ -252,10 +272,15 @@ WITH lines AS (
          whole AND lead(whole, 1) OVER o AND lead(whole, 2) OVER o AS lines
   FROM units WINDOW o AS (PARTITION BY doc_id ORDER BY w)
 ), seen AS (
-  SELECT doc_id, w, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, w) AS nth
+  SELECT doc_id, w, lines, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, w) AS nth
   FROM win WHERE c IS NOT NULL AND (lines OR length(a) + length(b) + length(c) >= {LEAST})
+), covered AS (
+  SELECT doc_id, w + j AS w, bool_or(lines) AS lines FROM seen, (VALUES (0), (1), (2)) t(j) WHERE nth > 1 GROUP BY doc_id, w + j
+), runs AS (
+  SELECT c.doc_id, c.w, c.lines, length(u.s) AS n, c.w - row_number() OVER (PARTITION BY c.doc_id ORDER BY c.w) AS run
+  FROM covered c JOIN units u ON c.doc_id = u.doc_id AND c.w = u.w
 ), gone AS (
-  SELECT DISTINCT doc_id, w + j AS w FROM seen, (VALUES (0), (1), (2)) t(j) WHERE nth > 1
+  SELECT doc_id, w FROM runs QUALIFY lines OR sum(n) OVER (PARTITION BY doc_id, run) >= {RUN}
 ), marked AS (
   SELECT x.doc_id, x.p, x.q, x.piece, u.w IS NOT NULL AS unit, g.w IS NOT NULL AS cut
   FROM pieces x LEFT JOIN units u ON x.doc_id = u.doc_id AND x.p = u.p AND x.q = u.q

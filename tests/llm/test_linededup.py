@@ -29,7 +29,7 @@ def pieces(line):
 
 def brute(data):
     """(doc_id, text, removed), window by window in (doc_id, position) order; rows of one doc_id are one document."""
-    seen, gone = {}, {}
+    seen, later, gone = {}, {}, {}
     unique = {(i, t): None for i, t in data if i is not None and t is not None}
     for i, t in sorted(unique):
         full = []
@@ -41,7 +41,16 @@ def brute(data):
             if not all(whole for _, whole in full[w : w + 3]) and sum(map(len, key)) < L.LEAST:
                 continue
             if seen.setdefault(key, (i, w)) != (i, w):
-                gone.setdefault(i, set()).update(range(w, w + 3))
+                later.setdefault(i, {}).update({x: True for x in range(w, w + 3)} if all(whole for _, whole in full[w : w + 3]) else {x: later.get(i, {}).get(x, False) for x in range(w, w + 3)})
+        own, sizes = later.get(i, {}), [len(x) for x, _ in full]
+        for x in own:
+            a = b = x
+            while a - 1 in own:
+                a -= 1
+            while b + 1 in own:
+                b += 1
+            if own[x] or sum(sizes[a : b + 1]) >= L.RUN:
+                gone.setdefault(i, set()).add(x)
     out = []
     for i, t in data:
         if i is None or t is None:
@@ -129,3 +138,14 @@ def test_a_filter_that_is_full_loses_nothing(spark, monkeypatch):
     monkeypatch.setattr(common, "FILTER_LEAST", 64)
     monkeypatch.setattr(common, "FILTER_MOST", 64)
     assert rows(L.deduplicated_lines(documents(spark, data))) == want
+
+
+def test_short_repeats_between_edits_stay(spark):
+    """Runs of under RUN characters aren't cut out of near copies."""
+    rng = random.Random(7)
+    sentences = [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(7)) + "." for _ in range(40)]
+    sentences = [x[:29] + "." for x in sentences]
+    edited = [x.replace(" ", " new ", 1) if i % 4 == 3 else x for i, x in enumerate(sentences)]
+    data = [(1, " ".join(sentences)), (2, " ".join(edited)), (3, " ".join(edited[:4] + sentences[4:12] + edited[12:]))]
+    got = {r["doc_id"]: r["text"] for r in L.line_dedup(documents(spark, data)).collect()}
+    assert got[1] == data[0][1] and got[2] == data[1][1] and 3 not in got
