@@ -47,8 +47,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return near_dedup(docs)
+    """One document of each group of near duplicates stays; near copies of which only scraps are left count as what they were."""
+    return near_dedup(docs, table(spark, sf_dir, "documents"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

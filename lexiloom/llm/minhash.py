@@ -48,6 +48,8 @@ SHINGLE = 3
 #: Pairs of the threshold share a band with probability 1 - (1 - 0.5 ** 4) ** 40 = 0.92.
 BANDS, ROWS = 40, 4
 THRESHOLD = 0.5
+#: Share of shingles that a cut text has in common with what it was cut from.
+DERIVED = 0.8
 #: Shingles and documents of a component that one task verifies, at most.
 LOCAL_SHINGLES, LOCAL_DOCUMENTS = 10_000_000, 50_000
 #: Shingles whose coordinates are made at a time, so that they stay in the cache.
@@ -313,10 +315,38 @@ def _by_pairs(sets: DataFrame, info: DataFrame, threshold: float) -> DataFrame:
     return components(judged.union(more).where(near).select("a", "b")).select(F.col("node").alias("id"), "root")
 
 
-def near_dedup(documents: DataFrame, **parameters) -> DataFrame:
+def _derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of (id, group_id, text, before) whose text holds little but what the text before had."""
+    for batch in batches:
+        keep = np.zeros(batch.num_rows, bool)
+        for i in range(batch.num_rows):
+            now, before = (K.distinct(*K.grams(K.tokenize([batch.column(c)[i].as_py()]), SHINGLE))[0] for c in (2, 3))
+            keep[i] = np.isin(now, before, assume_unique=True).sum() >= DERIVED * len(now)
+        yield batch.select(["id", "group_id"]).filter(pa.array(keep))
+
+
+def _copies_before(documents: DataFrame, before: DataFrame, parameters: dict) -> DataFrame:
+    """(doc_id) of documents that were near duplicates of a document of a lesser id which is still there, before both were cut."""
+    then = cut(near_duplicate_groups(before, **parameters).select("doc_id", "group_id"))
+    texts = lambda d: d.select(F.col("doc_id").cast("bigint").alias("id"), "text").where("id is not null and text is not null")
+    some = lambda d: maybe_in(texts(d), "id", then.select("doc_id"), "maybe").where("maybe").select("id", "text")
+    named = some(documents).join(then.withColumnRenamed("doc_id", "id"), "id").select("id", "group_id", "text")
+    both = named.join(some(before).withColumnRenamed("text", "before"), "id").select("id", "group_id", "text", "before")
+    there = cut(arrow(both, _derived, "id bigint, group_id bigint").distinct())
+    least = there.groupBy("group_id").agg(F.min("id").alias("least"))
+    return there.join(least, "group_id").where("id <> least").select(F.col("id").alias("doc_id"))
+
+
+def near_dedup(documents: DataFrame, before: DataFrame | None = None, **parameters) -> DataFrame:
     """The documents, one of each near-duplicate group: the one with the least doc_id.
 
-    All columns are kept. Rows with a null doc_id, a null text or no words stay.
+    before has the documents as they were before an earlier step cut their texts. A near
+    copy of which only its edited lines are left isn't like the text that it was copied
+    from any more; it goes as well if its text before was a near duplicate of one that is
+    still there, and what it has now comes from that text (at least DERIVED of its
+    shingles). All columns are kept. Rows with a null doc_id, a null text or no words stay.
     """
-    groups = cut(near_duplicate_groups(documents, **parameters))
-    return without(documents, "doc_id", groups.where("not keep").select("doc_id"))
+    gone = near_duplicate_groups(documents, **parameters).where("not keep").select("doc_id")
+    if before is not None:
+        gone = gone.union(_copies_before(documents, before, parameters)).distinct()
+    return without(documents, "doc_id", cut(gone))

@@ -118,6 +118,21 @@ def test_copies_with_a_tenth_of_words_changed(spark):
     assert not any(2 * i in got for i, s in enumerate(like) if s < 0.5)
 
 
+def test_scraps_of_near_copies_go_with_what_they_were(spark):
+    rng = random.Random(11)
+    base, other = prose(rng, 200), prose(rng, 60)
+    words = changed(rng, base, 0.05).split(" ")
+    scrap = " ".join(words[60:110])
+    before = documents(spark, [(1, base), (2, " ".join(words)), (3, base), (4, other), (5, base + " x")])
+    now = [(1, base), (2, scrap), (4, other), (5, prose(rng, 50)), (None, scrap), (6, None), (7, "")]
+    df = documents(spark, now, clash=True)
+    assert [r[0] for r in rows(M.near_dedup(df).select("doc_id"))] == [1, 2, 4, 5, 6, 7, None]
+    kept = M.near_dedup(df, before)
+    # 5 has another text than before, so it stays; without 1 the scrap stays.
+    assert kept.columns == df.columns and [r[0] for r in rows(kept.select("doc_id"))] == [1, 4, 5, 6, 7, None]
+    assert [r[0] for r in rows(M.near_dedup(documents(spark, now[1:]), before).select("doc_id"))] == [2, 4, 5, 6, 7, None]
+
+
 def test_empty(spark):
     df = documents(spark, [])
     assert rows(M.near_duplicate_groups(df)) == [] and rows(M.near_dedup(df)) == []

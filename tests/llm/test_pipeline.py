@@ -52,6 +52,10 @@ def brute(spark, folder, docs, items):
     removed = test_linededup.brute(kept)
     kept = [(i, t) for i, t, n in removed if t is None or n == 0 or t.replace("\n", "").strip(" ")]
     gone = {i for i, _, keep in test_minhash.brute([(i, t) for i, t in kept if t]) if not keep}
+    there, least = {i for i, t in kept if t}, {}
+    for i, root, _ in test_minhash.brute([(i, t) for i, t in docs if t]):
+        if i in there and least.setdefault(root, i) != i:
+            gone.add(i)
     kept = [(i, t) for i, t in kept if i not in gone]
     held = {d for d, *_ in test_decontam.brute([(i, t) for i, t in kept if t], items)}
     kept = [(i, t) for i, t in kept if i not in held]
