@@ -3,6 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lexiloom import binding
+from lexiloom import engine as engine_module
+from lexiloom import store as store_module
 from lexiloom.engine import SearchEngine
 from lexiloom.operators import index as I
 from lexiloom.operators import retrieval
@@ -111,10 +114,61 @@ def test_scan_reads_what_a_query_needs(stored):
     assert "positions" in stored[0].scores('"quick brown"')._jdf.queryExecution().executedPlan().toString()
 
 
+def test_repeated_ids_are_an_error(spark, tmp_path):
+    twice = spark.createDataFrame([(1, "", "", "quick brown"), (1, "", "", "quick brown"), (2, "", "", "fox")], SCHEMA)
+    with pytest.raises(I.DuplicateId, match="doc_id 1"):
+        SearchEngine.of(twice)
+    with pytest.raises(I.DuplicateId):
+        build_index(twice, str(tmp_path))
+
+
+def test_titles_are_looked_up_by_id(stored, monkeypatch):
+    """The docs table is asked for the ids of the results alone; more results than GATHERED are joined instead, with the same rows."""
+    index = stored[0].index
+    plan = index.docs.where(F.col("doc_id").isin([1, 3])).select("doc_id", "title", "url")._jdf.queryExecution().executedPlan().toString()
+    assert "In(doc_id, [1,3])" in plan
+    want = [tuple(r) for r in stored[0].search("NOT fox OR quick", 10).collect()]
+    many = [tuple(r) for r in stored[0].search_all(["fox", "NOT fox", "fox", ""], 10).collect()]
+    monkeypatch.setattr(engine_module, "GATHERED", 1)
+    assert [tuple(r) for r in stored[0].search("NOT fox OR quick", 10).collect()] == want and len(want) == 4
+    assert [tuple(r) for r in stored[0].search_all(["fox", "NOT fox", "fox", ""], 10).collect()] == many and [r[0] for r in many] == [0, 0, 1, 1, 2, 2]
+
+
+def test_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    """Terms with more tokens than a file holds are spread by blocks of documents; sizes and results are the same."""
+    docs = [(i, "", "", "common word " + " ".join(f"t{(i * k) % 97}" for k in range(1, 6))) for i in range(400)]
+    corpus = spark.createDataFrame(docs, SCHEMA)
+    report = build_index(corpus, str(tmp_path / "one"), buckets=2)
+    want = hits(SearchEngine.open(spark, str(tmp_path / "one")).search("t5 AND common OR t7", 30))
+    monkeypatch.setattr(store_module, "FILE_TOKENS", 150)
+    monkeypatch.setattr(I, "BLOCK", 64)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else small files are written as one
+    try:
+        again = build_index(corpus, str(tmp_path / "many"), buckets=2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {k: v for k, v in again.items() if k != "build_seconds"} == {k: v for k, v in report.items() if k != "build_seconds"}
+    engine = SearchEngine.open(spark, str(tmp_path / "many"))
+    assert hits(engine.search("t5 AND common OR t7", 30)) == want and len(want) == 30
+    files = engine.index.postings.where("term = 'common'").select(F.input_file_name()).distinct().count()
+    assert files > 1 and engine.index.postings.where("term = 't5'").select(F.input_file_name()).distinct().count() == 1
+
+
+def test_binding(spark, tmp_path):
+    path = tmp_path / "c.tsv"
+    path.write_text("".join(f"{t}\t{u}\t{x}\n" for _, t, u, x in ANIMALS))
+    report = binding.build_index(str(path), str(tmp_path / "index"), spark)
+    engine = binding.Engine(str(tmp_path / "index"), spark)
+    assert report["num_docs"] == engine.num_docs() == 4 and report["build_seconds"] > 0
+    assert [(r["docid"], r["title"], round(r["score"], 6)) for r in engine.search("fox", 1)] == [(0, "Cats", 0.745747)]
+
+
 def test_no_index(spark, stored, tmp_path):
     spark.createDataFrame([(99,)], "format_version int").write.parquet(str(tmp_path / "stats"))
     with pytest.raises(BadIndex):
         SearchEngine.open(spark, str(tmp_path))
+    with pytest.raises(BadIndex):
+        SearchEngine.open(spark, str(tmp_path / "nothing"))
 
 
 def test_long_lists(spark, tmp_path):
