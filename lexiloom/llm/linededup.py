@@ -86,11 +86,14 @@ def _spans(cps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         edges = np.sort(np.concatenate([edges, more]))
         starts = np.sort(np.concatenate([starts, more]))
     lines = np.searchsorted(ends, starts, "left")
-    solid = np.flatnonzero(~space[1:-1])
-    first = np.searchsorted(solid, starts, "left")
-    last = np.searchsorted(solid, edges, "left") - 1
-    some = (first <= last) & (edges > starts)
-    return solid[first[some]], solid[last[some]] + 1, lines[some]
+    within = lambda at: np.maximum(np.searchsorted(gaps[0], at, "right") - 1, 0)
+    if len(gaps[0]):
+        at = within(starts)
+        starts = np.where((starts >= gaps[0][at]) & (starts < gaps[1][at]), gaps[1][at], starts)
+        at = within(edges - 1)
+        edges = np.where((edges > gaps[0][at]) & (edges <= gaps[1][at]), gaps[0][at], edges)
+    some = starts < edges
+    return starts[some], edges[some], lines[some]
 
 
 def _hashed(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
