@@ -128,7 +128,7 @@ def posteriors(model: tuple, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return tokens.counts(), z / z.sum(1, keepdims=True)
 
 
-def train(texts: list[str], domain: np.ndarray, prior: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> tuple:
+def train(texts: list[str] | pa.ChunkedArray, domain: np.ndarray, prior: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> tuple:
     """Softmax regression by Adagrad; prior: each domain's share of all labels, to which the bias is set back."""
     rng = np.random.default_rng(seed)
     k = len(prior)
@@ -138,7 +138,7 @@ def train(texts: list[str], domain: np.ndarray, prior: np.ndarray, epochs: int =
     parts = [order[lo : lo + BATCH] for lo in range(0, len(order), BATCH)]
     ready = []
     for own in parts:
-        tokens, buckets, shape = features([texts[i] for i in own])
+        tokens, buckets, shape = features(K.chosen(texts, own))
         # Training asks for no more of the tokens than where texts begin.
         ready.append((tokens._replace(hashes=None, starts=None, ends=None), buckets.astype(np.int32), shape))
     for _ in range(epochs):
@@ -181,9 +181,12 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, d
         part = bounded(there.where(F.col("d") == d), train_rows, TRAIN_LETTERS)
         sample = part if sample is None else sample.union(part)
     # At most train_rows ids of each domain, and TRAIN_LETTERS code points; rows that repeat an id count once.
-    found = ids.join(F.broadcast(sample), "id").groupBy("id", "d").agg(F.min("text").alias("text")).toArrow().sort_by("id")
+    found = ids.join(F.broadcast(sample), "id").groupBy("id", "d").agg(F.min("text").alias("text")).toArrow()
+    order = pa.array(np.argsort(found.column("id").to_numpy(), kind="stable"))
     prior = np.array([totals[d] for d in names], float)
-    model = train(found.column("text").to_pylist(), np.array([names.index(d) for d in found.column("d").to_pylist()]), prior / prior.sum())
+    domain = np.array([names.index(d) for d in found.column("d").take(order).to_pylist()])
+    found = found.column("text").take(order)
+    model = train(found, domain, prior / prior.sum())
     del found
     K.release()
     return names, model

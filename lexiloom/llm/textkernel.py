@@ -169,6 +169,11 @@ def chunks(texts: list | pa.Array, size: int = SEGMENT) -> Iterator[tuple[int, i
         yield at, at + len(part), part
 
 
+def chosen(texts: list[str] | pa.ChunkedArray, at: np.ndarray) -> list[str]:
+    """Some of the texts; those of an Arrow column become Python strings only here."""
+    return [texts[i] for i in at] if isinstance(texts, list) else texts.take(pa.array(at)).to_pylist()
+
+
 def release() -> None:
     """Give memory that is free but kept by the allocators back to the system; idle workers hold it otherwise."""
     pa.default_memory_pool().release_unused()

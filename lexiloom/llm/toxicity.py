@@ -115,7 +115,7 @@ def score(model: Model, texts: list[str]) -> np.ndarray:
     return np.where(batch.counts > 0, 1 / (1 + np.exp(-np.clip(logit, -30, 30))), 0.0)
 
 
-def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
+def train(texts: list[str] | pa.ChunkedArray, toxic: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
     """Minimises class-weighted cross entropy; the same input gives the same model."""
     rng = np.random.default_rng(seed)
     words = rng.normal(0, SMALL, (BUCKETS, DIM)).astype(np.float32)
@@ -130,7 +130,7 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
     balance = np.where(toxic == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
     order = rng.permutation(len(texts))
     parts = [order[lo : lo + BATCH] for lo in range(0, len(order), BATCH)]
-    batches = [_Batch([texts[i] for i in own], BUCKETS) for own in parts]
+    batches = [_Batch(K.chosen(texts, own), BUCKETS) for own in parts]
     for _ in range(epochs):
         for at in rng.permutation(len(parts)):
             own, batch = parts[at], batches[at]
@@ -206,17 +206,19 @@ def fit(documents: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC,
     first = lambda y, n: bounded(labelled.where(F.col("y") == y), n, TRAIN_LETTERS)
     sample = first(1, toxic_rows).union(first(0, clean_rows))
     # At most toxic_rows + clean_rows ids, and twice TRAIN_LETTERS code points; rows that repeat an id count once.
-    found = texts.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min("text").alias("text")).toArrow().sort_by("id")
-    y = found.column("y").to_numpy().astype(np.float32)
+    found = texts.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min("text").alias("text")).toArrow()
+    order = np.argsort(found.column("id").to_numpy(), kind="stable")
+    y = found.column("y").to_numpy()[order].astype(np.float32)
     if len(set(y.tolist())) < 2:
         return Classifier(None, 1.0, {})
     held = np.zeros(len(y), bool)
     for c in (0, 1):
         own = np.flatnonzero(y == c)
         held[own[3::4]] = True
-    found = found.filter(pa.array(~held))
-    trained = documents.sparkSession.createDataFrame(found.select(["id"]))
-    model = train(found.column("text").to_pylist(), y[~held])
+    own = pa.array(order[~held])
+    trained = documents.sparkSession.createDataFrame(found.select(["id"]).take(own))
+    found = found.column("text").take(own)
+    model = train(found, y[~held])
     del found
     K.release()
     # Texts stay where they are: those that may be labelled are scored, and the scores joined with labels.
