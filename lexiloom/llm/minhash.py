@@ -26,7 +26,9 @@ group_id is the least doc_id, which is the one kept.
 
 Defined cases: null doc_id: never grouped. Null or word-less text: never grouped.
 Texts shorter than a shingle: one shingle of all their words. Texts of any length are
-hashed whole. Rows that repeat a doc_id are one document: they share its decision. Ties
+hashed whole. Rows that repeat a doc_id are one document: they share its decision; they
+are never paired with each other, but the shingles that the rows of one doc_id had before
+a cut are held by one task (near_dedup with before). Ties
 cannot arise: groups are connected components. An empty table gives no rows. Other
 columns are not read by near_duplicate_groups and pass through near_dedup, whatever
 their names.
@@ -143,10 +145,11 @@ def _set_maker(shingle: int):
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, texts in K.chunks(batch.column(1)):
-                values, offsets = K.distinct(*K.grams(K.tokenize(texts), shingle))
+                tokens = K.tokenize(texts)
+                values, offsets = K.distinct(*K.grams(tokens, shingle))
                 data = values.tobytes()
                 sets = [data[8 * x : 8 * y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["id", "words"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *map(pa.array, _identity(tokens)), pa.array(sets, pa.binary())], names=["id", "fa", "fb", "words"])
 
     return run
 
@@ -225,7 +228,8 @@ def _local(threshold: float):
                 if r != now:
                     close()
                     now = r
-                held.append((i, w, b.copy()))
+                if not held or held[-1][:2] != (i, w):  # equal rows follow one another
+                    held.append((i, w, b.copy()))
             if len(out) > 10_000:
                 yield flush()
         close()
@@ -258,16 +262,17 @@ def near_duplicate_groups(
     found = cut(components(links).withColumnRenamed("node", "id"))
 
     flagged = maybe_in(docs, "id", found.select("id"), "maybe").where("maybe").select("id", "text")
-    sets = arrow(flagged, _set_maker(shingle), "id bigint, words binary")
-    info = same.select(F.col("rep").alias("id"), "n", "bands").join(found, "id")
+    sets = arrow(flagged, _set_maker(shingle), "id bigint, fa bigint, fb bigint, words binary")
+    info = same.select(F.col("rep").alias("id"), "fa", "fb", "n", "bands").join(found, "id")
     sums = info.groupBy("root").agg(F.sum("n").alias("s"), F.count("*").alias("c"))
     big = cut(sums.where((F.col("s") > local_shingles) | (F.col("c") > local_documents)).select("root"))
     is_big = big.limit(1).count() > 0
     small_info = info.join(big, "root", "left_anti") if is_big else info
-    gathered = sets.join(small_info, "id").select("root", "id", "words", "bands").repartition("root").sortWithinPartitions("root", "id")
-    near = arrow(gathered, _local(threshold), "id bigint, root bigint")
+    # A row goes with the bands of its own text: with those of all texts of its doc_id, rows that repeat one would multiply.
+    gathered = sets.join(small_info, ["id", "fa", "fb"]).repartition("root").sortWithinPartitions("root", "id", "fa", "fb")
+    near = arrow(gathered.select("root", "id", "words", "bands"), _local(threshold), "id bigint, root bigint")
     if is_big:
-        near = near.union(_by_pairs(sets, info.join(big, "root", "left_semi"), threshold))
+        near = near.union(_by_pairs(sets.select("id", "words").distinct(), info.join(big, "root", "left_semi"), threshold))
     near = near.groupBy("id").agg(F.min("root").alias("root"))
 
     groups = same.join(near, same["rep"] == near["id"], "left").where("copies > 1 or root is not null")
@@ -316,23 +321,34 @@ def _by_pairs(sets: DataFrame, info: DataFrame, threshold: float) -> DataFrame:
 
 
 def _derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of (id, group_id, text, before) whose text holds little but what the text before had."""
+    """The ids of (id, fresh, text), sorted by id and fresh, of which a fresh text holds little but what one of the others had.
+
+    The texts of an id are compared until one is found, so rows that repeat it are never paired in a table.
+    """
+    now, done, before = None, False, {}
     for batch in batches:
-        keep = np.zeros(batch.num_rows, bool)
-        for i in range(batch.num_rows):
-            now, before = (K.distinct(*K.grams(K.tokenize([batch.column(c)[i].as_py()]), SHINGLE))[0] for c in (2, 3))
-            keep[i] = np.isin(now, before, assume_unique=True).sum() >= DERIVED * len(now)
-        yield batch.select(["id", "group_id"]).filter(pa.array(keep))
+        ids, fresh, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+        for lo, _, texts in K.chunks(batch.column(2)):
+            values, offsets = K.distinct(*K.grams(K.tokenize(texts), SHINGLE))
+            for i in range(len(texts)):
+                x, own = ids[lo + i], values[offsets[i] : offsets[i + 1]]
+                if x != now:
+                    now, done, before = x, False, {}
+                if not fresh[lo + i]:
+                    before.setdefault(own.tobytes())
+                elif not done and any(np.isin(own, np.frombuffer(b, np.uint64), assume_unique=True).sum() >= DERIVED * len(own) for b in before):
+                    done = True
+                    out.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["id"])
 
 
 def _copies_before(documents: DataFrame, before: DataFrame, parameters: dict) -> DataFrame:
     """(doc_id) of documents that were near duplicates of a document of a lesser id which is still there, before both were cut."""
     then = cut(near_duplicate_groups(before, **parameters).select("doc_id", "group_id"))
     texts = lambda d: d.select(F.col("doc_id").cast("bigint").alias("id"), "text").where("id is not null and text is not null")
-    some = lambda d: maybe_in(texts(d), "id", then.select("doc_id"), "maybe").where("maybe").select("id", "text")
-    named = some(documents).join(then.withColumnRenamed("doc_id", "id"), "id").select("id", "group_id", "text")
-    both = named.join(some(before).withColumnRenamed("text", "before"), "id").select("id", "group_id", "text", "before")
-    there = cut(arrow(both, _derived, "id bigint, group_id bigint").distinct())
+    some = lambda d, fresh: maybe_in(texts(d), "id", then.select("doc_id"), "maybe").where("maybe").select("id", F.lit(fresh).alias("fresh"), "text")
+    both = some(documents, 1).union(some(before, 0)).repartition("id").sortWithinPartitions("id", "fresh")
+    there = cut(arrow(both, _derived, "id bigint").join(then.withColumnRenamed("doc_id", "id"), "id").select("id", "group_id"))
     least = there.groupBy("group_id").agg(F.min("id").alias("least"))
     return there.join(least, "group_id").where("id <> least").select(F.col("id").alias("doc_id"))
 

@@ -133,6 +133,26 @@ def test_scraps_of_near_copies_go_with_what_they_were(spark):
     assert [r[0] for r in rows(M.near_dedup(documents(spark, now[1:]), before).select("doc_id"))] == [2, 4, 5, 6, 7, None]
 
 
+def test_rows_that_repeat_an_id_are_not_paired_with_each_other(spark, monkeypatch):
+    """What goes to the workers grows with the rows, not with their square, and the decisions are those of any row."""
+    rng, seen = random.Random(13), []
+    base, n = prose(rng, 120), 150
+    texts = [changed(rng, base, 0.03) for _ in range(n)]
+    data = [(1, base), *((2, t) for t in texts), *((3, texts[0]) for _ in range(n)), (4, prose(rng, 50)), (5, base)]
+    before = documents(spark, data)
+    plain = M.arrow
+
+    def counted(df, run, schema):
+        seen.append(df.count())
+        return plain(df, run, schema)
+
+    monkeypatch.setattr(M, "arrow", counted)
+    assert [r[0] for r in rows(M.near_dedup(before, before).select("doc_id"))] == [1, 4]
+    assert max(seen) <= 2 * len(data)
+    now = documents(spark, [(1, base), *((2, t.replace(" ", " y ")) for t in texts[:40]), (2, " ".join(texts[7].split(" ")[9:60]))])
+    assert [r[0] for r in rows(M.near_dedup(now, before).select("doc_id"))] == [1]
+
+
 def test_empty(spark):
     df = documents(spark, [])
     assert rows(M.near_duplicate_groups(df)) == [] and rows(M.near_dedup(df)) == []
