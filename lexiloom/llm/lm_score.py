@@ -17,9 +17,9 @@ inner product of its output vector with the context vector, plus a bias.
    trains on all its own words from one common start; the models are averaged,
    weighted by their words, by a Spark aggregation over parameter slots. Every word
    of the corpus is a training target. The letters of words beyond the head are counted.
-3. Scoring: the distinct contexts of a batch are multiplied with all output vectors
-   at once; their log-sums-of-exponentials normalise the log-probability of every
-   symbol; the word within its symbol is added, for words beyond the head by document
+3. Scoring: each distinct context of a task is multiplied with all output vectors
+   once; its log-sum-of-exponentials, kept in a table of all contexts, normalises the
+   log-probability of every symbol that follows it; the word within its symbol is added, for words beyond the head by document
    and word after a shuffle of these alone. No approximation is left in the scores.
 
 Result: (doc_id, tokens, unknown, log_prob, perplexity) for every row of documents;
@@ -54,6 +54,8 @@ SYMBOLS = (1024, 4096)
 DIM, CONTEXT = 16, 2
 #: Words that every worker knows.
 HEAD = 1 << 17
+#: Grades of counts for each doubling, by which words that can't be in the head are left out.
+GRADES = 64
 #: Words that occur less often are spelled.
 LEAST = 2
 #: Longest words of the classes of words beyond the head; the last class has no end.
@@ -65,6 +67,12 @@ NOISE, BATCH, RATE = 64, 1024, 0.1
 HELD_WORDS = 2_000_000
 #: Code points scored at a time: the more, the more words share a context.
 CHUNK = 1 << 21
+#: Contexts whose sums each worker keeps, at most: a table of 4 bytes each.
+TABLE = 1 << 25
+#: Words at a time, and scores that stay in the cache while they are summed.
+STEP, CACHED = 1 << 16, 1 << 17
+#: Scores nearer to 0 than this are summed as they are.
+UNSHIFTED = 60.0
 SEED = 5
 
 
@@ -184,13 +192,26 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pack(*merged())
 
 
+def _frequent(counts: DataFrame, head: int) -> DataFrame:
+    """The words among which the head must be: without the others, which each partition would send to the one task that sorts, if it has few words of the head."""
+    grade = F.floor(F.log2(F.col("n").cast("double")) * GRADES)
+    words = {r["g"]: r["c"] for r in counts.where(F.col("n") >= LEAST).groupBy(grade.alias("g")).agg(F.count("*").alias("c")).collect()}
+    above, least = 0, None
+    for g in sorted(words, reverse=True):
+        above, least = above + words[g], g
+        if above >= head:
+            break
+    some = counts.where(F.col("n") >= LEAST)
+    return some if least is None else some.where(grade >= least)
+
+
 def vocabulary(documents: DataFrame, size: int | None = None, head: int = HEAD) -> tuple[Words, Tail]:
     """The head of all words that occur LEAST times, size of them with ids of their own at most; and the table of the others."""
     counts = arrow(documents.select("text").where("text is not null"), _count, "h bigint, c int, n bigint")
     counts = cut(counts.groupBy("h").agg(F.max("c").alias("c"), F.sum("n").alias("n")))
     distinct = counts.count()
     size = size or min(max(SYMBOLS[0], math.isqrt(distinct)), SYMBOLS[1])
-    known = counts.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "h").limit(head).toArrow()
+    known = _frequent(counts, head).orderBy(F.desc("n"), "h").limit(head).toArrow()
     hashes, n = (known.column(c).to_numpy() for c in ("h", "n"))
     beyond = f"n < {n[-1]} or (n = {n[-1]} and h > {hashes[-1]})" if len(n) else "true"
     rest = {r["c"]: r for r in counts.where(beyond).groupBy("c").agg(F.sum("n").alias("mass"), F.sum(F.when(F.col("n") < LEAST, F.col("n")).otherwise(0)).alias("single")).collect()}
@@ -235,6 +256,7 @@ class Trainer:
         self.log_noise = np.log(share * NOISE).astype(np.float32)
         self.edges = np.cumsum(share)
         self.rng = np.random.default_rng(seed)
+        self.seen, self.place = np.zeros(len(model.inner), bool), np.zeros(len(model.inner), np.int64)
         self.words = 0
 
     def feed(self, ids: np.ndarray, before: np.ndarray) -> None:
@@ -251,7 +273,7 @@ class Trainer:
             q += vectors[d] * scale[d]
         noise = np.minimum(np.searchsorted(self.edges, self.rng.random(NOISE)), len(self.edges) - 1)
         out = outer[target]
-        real = (q * out).sum(1) + bias[target] - self.log_noise[target]
+        real = np.einsum("ij,ij->i", q, out) + bias[target] - self.log_noise[target]
         fake = q @ outer[noise].T + (bias[noise] - self.log_noise[noise])
         g = -1 / (1 + np.exp(np.clip(real, -30, 30)))
         m = 1 / (1 + np.exp(-np.clip(fake, -30, 30)))
@@ -262,15 +284,26 @@ class Trainer:
             at = (rows[:, None] * dim + cells).ravel()
             return np.bincount(at, values.ravel(), size * dim).reshape(size, dim)
 
-        d_outer = spread(target, g[:, None] * q, len(outer))
-        np.add.at(d_outer, noise, m.T @ q)
-        d_bias = np.bincount(target, g, len(bias)) + np.bincount(noise, m.sum(0), len(bias))
-        d_inner = sum(spread(before[:, d], dq * scale[d], len(inner)) for d in range(CONTEXT))
-        d_scale = np.stack([(dq * vectors[d]).sum(0) for d in range(CONTEXT)])
-        for p, h, x in zip(self.parts, self.past, (d_inner, d_scale, d_outer, d_bias)):
+        # Rows that the minibatch doesn't meet have no gradient, and Adagrad leaves them as they are.
+        met, at = self._met(np.concatenate([target, noise]))
+        d_outer = spread(at, np.concatenate([g[:, None] * q, m.T @ q]), len(met))
+        d_bias = np.bincount(at, np.concatenate([g, m.sum(0)]), len(met))
+        came, at = self._met(before.T.ravel())
+        d_inner = spread(at, np.concatenate([dq * x for x in scale]), len(came))
+        d_scale = np.stack([np.einsum("ij,ij->j", dq, x) for x in vectors])
+        for p, h, x, rows in zip(self.parts, self.past, (d_inner, d_scale, d_outer, d_bias), (came, slice(None), met, met)):
             x = (x / n).astype(np.float32) * 64
-            h += x * x
-            p -= RATE * x / np.sqrt(h)
+            past = h[rows] + x * x
+            h[rows] = past
+            p[rows] -= RATE * x / np.sqrt(past)
+
+    def _met(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct rows, sorted, and the place of each among them."""
+        self.seen[rows] = True
+        met = np.flatnonzero(self.seen)
+        self.seen[met] = False
+        self.place[met] = np.arange(len(met))
+        return met, self.place[rows]
 
     def model(self) -> Model:
         return Model(*self.parts)
@@ -329,37 +362,60 @@ def fit(documents: DataFrame, words: Words) -> Model:
     return fitted(documents, words)[0]
 
 
-def log_probs(model: Model, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """The normalised log-probability of each word, from one product for each distinct context."""
-    if not len(ids):
-        return np.zeros(0)
-    base = len(model.inner)
-    key = before[:, 0].copy()
-    for d in range(1, CONTEXT):
-        key = key * base + before[:, d]
-    if base**CONTEXT <= 1 << 24:
-        seen = np.zeros(base**CONTEXT, bool)
-        seen[key] = True
-        distinct = np.flatnonzero(seen)
-        number = np.zeros(base**CONTEXT, np.int32)
-        number[distinct] = np.arange(len(distinct))
-        which = number[key]
-    else:
-        distinct, which = np.unique(key, return_inverse=True)
-    q = np.zeros((len(distinct), model.outer.shape[1]), np.float32)
-    rest = distinct
-    for d in range(CONTEXT - 1, -1, -1):
-        q += model.inner[rest % base] * model.scale[d]
-        rest = rest // base
-    norm = np.empty(len(distinct), np.float32)
-    for lo in range(0, len(q), 2048):
-        s = q[lo : lo + 2048] @ model.outer.T
-        s += model.bias
-        top = s.max(1)
-        s -= top[:, None]
-        np.exp(s, out=s)
-        norm[lo : lo + 2048] = np.log(s.sum(1)) + top
-    return (q[which] * model.outer[ids]).sum(1) + model.bias[ids] - norm[which]
+class Norms:
+    """The logarithms of the sums of exponentials of contexts, each computed once as long as the table of all contexts has TABLE cells at most."""
+
+    def __init__(self, model: Model):
+        self.model, self.base = model, len(model.inner)
+        cells = self.base**CONTEXT
+        self.known = np.zeros(cells, np.float32) if cells <= TABLE else None  # 0: not yet known, or computed again
+        self.outer = np.ascontiguousarray(np.concatenate([model.outer, model.bias[:, None]], 1).T)
+        self.reach = float(np.sqrt((model.outer.astype(float) ** 2).sum(1)).max()), float(np.abs(model.bias).max())
+
+    def of(self, before: np.ndarray) -> np.ndarray:
+        key = before[:, 0].copy()
+        for d in range(1, CONTEXT):
+            key = key * self.base + before[:, d]
+        if self.known is None:
+            distinct, which = np.unique(key, return_inverse=True)
+            return self.computed(distinct)[which]
+        new = np.unique(key[self.known[key] == 0])
+        self.known[new] = self.computed(new)
+        return self.known[key]
+
+    def computed(self, keys: np.ndarray) -> np.ndarray:
+        norm = np.empty(len(keys), np.float32)
+        step = max(16, CACHED // self.outer.shape[1])
+        room, ones = np.empty((step, self.outer.shape[1]), np.float32), np.ones(self.outer.shape[1], np.float32)
+        for from_ in range(0, len(keys), STEP):
+            rest = keys[from_ : from_ + STEP]
+            q = np.ones((len(rest), len(self.outer)), np.float32)
+            q[:, :-1] = 0
+            for d in range(CONTEXT - 1, -1, -1):
+                q[:, :-1] += self.model.inner[rest % self.base] * self.model.scale[d]
+                rest = rest // self.base
+            # No score is further from 0 than this; where exponentials can't leave the range of float32, none is shifted by its row's largest.
+            far = math.sqrt(float((q[:, :-1].astype(float) ** 2).sum(1).max())) * self.reach[0] + self.reach[1]
+            for lo in range(0, len(q), step):
+                part = q[lo : lo + step]
+                s = np.matmul(part, self.outer, out=room[: len(part)])
+                top = s.max(1) if far > UNSHIFTED else np.float32(0)
+                if far > UNSHIFTED:
+                    s -= top[:, None]
+                np.exp(s, out=s)
+                norm[from_ + lo : from_ + lo + len(part)] = np.log(s @ ones) + top
+        return norm
+
+
+def log_probs(model: Model, ids: np.ndarray, before: np.ndarray, norms: Norms | None = None) -> np.ndarray:
+    """The normalised log-probability of each word; norms has those of the contexts that were met before."""
+    norms = norms or Norms(model)
+    out = np.zeros(len(ids))
+    for lo in range(0, len(ids), STEP):
+        own, b = ids[lo : lo + STEP], before[lo : lo + STEP]
+        q = sum(model.inner[b[:, d]] * model.scale[d] for d in range(CONTEXT))
+        out[lo : lo + STEP] = (q * model.outer[own]).sum(1) + model.bias[own] - norms.of(b)
+    return out
 
 
 def _scorer(shared):
@@ -367,12 +423,13 @@ def _scorer(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, (model, spelling) = shared.value
+        norms = Norms(model)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, texts in K.chunks(batch.column(1), CHUNK):
                 tokens, own, within, odd, parts = _symbols(texts, words)
-                each = log_probs(model, own, contexts(own, tokens.offsets, len(words.share))) + within
+                each = log_probs(model, own, contexts(own, tokens.offsets, len(words.share)), norms) + within
                 sums = np.concatenate([[0], np.cumsum(each, dtype=np.float64)])
                 base = sums[tokens.offsets[1:]] - sums[tokens.offsets[:-1]]
                 letters = spelled(spelling, *parts)

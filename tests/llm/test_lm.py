@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexiloom.llm import lm_score as M
 from lexiloom.llm import textkernel as K
@@ -30,6 +31,17 @@ def test_held_out_perplexity_beats_the_unigram_model(spark):
     assert math.exp(-each.mean()) < 0.6 * math.exp(-np.log(words.share[ids]).mean())
 
 
+def test_only_words_that_may_be_of_the_head_are_sorted_in_one_task(spark):
+    """The head is that of all words, ties included; the bulk of rarer ones never gets to its sort."""
+    data = [(h * 7919 % 100_003, 0, 2 + (h % 5 == 0) + 40 * (h < 300)) for h in range(9000)]
+    counts = spark.createDataFrame(data, "h bigint, c int, n bigint").repartition(8)
+    for head in (200, 300, 900, 20_000):
+        some = M._frequent(counts, head)
+        assert [r["h"] for r in some.orderBy(F.desc("n"), "h").limit(head).collect()] == [h for h, _, _ in sorted(data, key=lambda r: (-r[2], r[0]))[:head]]
+        assert some.count() == {200: 300, 300: 300, 900: 2040}.get(head, 9000)
+    assert M._frequent(counts.limit(0), 5).count() == 0
+
+
 def test_probabilities_are_normalised():
     share = np.full(20, 0.05)
     words = M.Words(np.arange(1, 20, dtype=np.uint64), np.arange(1, 20), share)
@@ -42,6 +54,36 @@ def test_probabilities_are_normalised():
     assert np.allclose(M.log_probs(model, np.array([5]), before[:1]), np.log(s[5] / s.sum()), atol=1e-5)
 
 
+@pytest.mark.parametrize("size", [1.0, 60.0])
+def test_each_context_is_summed_once_by_a_worker(size, monkeypatch):
+    """With the largest number of symbols too; sums are exact whether the exponentials need a shift or not."""
+    n = M.SYMBOLS[1] + M.CLASSES + 20
+    rng = np.random.default_rng(8)
+    model = M.Model(*(rng.normal(0, 0.3, x).astype(np.float32) for x in ((n + 1, M.DIM), (M.CONTEXT, M.DIM), (n, M.DIM), (n,))))
+    model = model._replace(outer=model.outer * np.float32(size), bias=model.bias * np.float32(size))
+    norms, done = M.Norms(model), []
+    plain = norms.computed
+    monkeypatch.setattr(norms, "computed", lambda keys: done.append(len(keys)) or plain(keys))
+    ids, before = rng.integers(0, n, 300), rng.integers(0, 15, (300, M.CONTEXT))
+    got = [M.log_probs(model, ids, before, norms) for _ in range(2)]
+    assert done[0] == len(np.unique(before, axis=0)) and sum(done[1:]) == 0 and (got[0] == got[1]).all()
+    q = sum(model.inner[before[:, d]].astype(float) * model.scale[d] for d in range(M.CONTEXT))
+    z = q @ model.outer.astype(float).T + model.bias
+    want = z[np.arange(300), ids] - np.log(np.exp(z - z.max(1)[:, None]).sum(1)) - z.max(1)
+    assert np.abs(got[0] - want).max() < 1e-5 * max(1, np.abs(z).max())
+    monkeypatch.setattr(M, "TABLE", 0)
+    assert np.abs(M.log_probs(model, ids, before) - want).max() < 1e-5 * max(1, np.abs(z).max())
+
+
+def test_a_minibatch_leaves_rows_alone_that_it_does_not_meet():
+    words = M.Words(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.array([0.5, 0.5, *[0.0] * 98]))
+    trainer = M.Trainer(M.start(words._replace(share=np.full(100, 0.01))), words.share + 1e-6)
+    old = [p.copy() for p in trainer.parts]
+    trainer.feed(np.array([7, 7, 9]), np.array([[3, 4], [3, 100], [7, 3]]))
+    moved = [set(np.flatnonzero((p != o).reshape(len(p), -1).any(1)).tolist()) for p, o in zip(trainer.parts, old)]
+    assert moved == [{3, 4, 7, 100}, {0, 1}, {0, 1, 7, 9}, {0, 1, 7, 9}] and not trainer.seen.any()
+
+
 def test_vocabulary_counts_everything(spark):
     data = [(i, f"common rare{i} common") for i in range(30)] + [(98, "again again"), (99, None)]
     words, tail = M.vocabulary(documents(spark, data), size=5)
