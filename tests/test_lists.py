@@ -8,6 +8,8 @@ import pytest
 
 from lexiloom.functions import lists, sizes
 from lexiloom.functions import text as X
+from lexiloom.operators import encoding
+from lexiloom.operators import index as I
 
 ODD = ["Hello, WORLD! 42 e-mail", "end", "begin", "", None, "étre K İ ok", "a\rb\tc\nd a A", "x" * 5000, "--", "été9été", "word " * 400]
 
@@ -65,3 +67,16 @@ def test_encoded_sizes():
 def test_a_group_in_two_tasks_is_an_error():
     with pytest.raises(RuntimeError):
         lists.Groups(pa.record_batch({"t": ["a"], "b": [0], "l": pa.array([np.zeros(3, np.int32).tobytes()])}), np.ones(1, bool), 8).check(np.array([2]))
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_sizes_cut_the_texts_once(spark):
+    """The lists are made and shuffled once for both passes, and no window goes over postings."""
+    docs = [(i, "", "", "common word body" + (" rare" if i % 7 == 0 else "")) for i in range(60)]
+    corpus = spark.createDataFrame(docs, "doc_id bigint, title string, url string, text string")
+    plan = final_plan(encoding.term_sizes(I.packed(corpus)))
+    assert plan.count("regexp_extract_all") == 0 and plan.count("ReusedExchange") >= 2, plan
