@@ -10,21 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm.textkernel import release
-from lexiloom.shared import shared_folder
+from lexiloom.shared import cut
 from lexiloom.shipping import ship
 
 #: Slots of the id filter for each id, and the least and most slots: 0.5 MB to 16 MB of bits.
 FILTER_SHARE, FILTER_LEAST, FILTER_MOST = 16, 1 << 22, 1 << 27
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and stored in the cluster's shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def fresh(*frames: DataFrame | list[str]) -> str:
     """A column prefix that no column of the frames has."""
     names = {c.lower() for f in frames for c in (f.columns if isinstance(f, DataFrame) else f)}

@@ -6,11 +6,13 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from lexiloom import queries as own
 from lexiloom.functions import lists, sizes
 from lexiloom.functions import text as X
 from lexiloom.operators import encoding
 from lexiloom.operators import index as I
 
+SMALL = "/root/testdata/sf0.001"
 ODD = ["Hello, WORLD! 42 e-mail", "end", "begin", "", None, "étre K İ ok", "a\rb\tc\nd a A", "x" * 5000, "--", "été9été", "word " * 400]
 
 
@@ -80,3 +82,8 @@ def test_sizes_cut_the_texts_once(spark):
     corpus = spark.createDataFrame(docs, "doc_id bigint, title string, url string, text string")
     plan = final_plan(encoding.term_sizes(I.packed(corpus)))
     assert plan.count("regexp_extract_all") == 0 and plan.count("ReusedExchange") >= 2, plan
+
+
+def test_set_algebra_cuts_the_texts_once(spark):
+    plan = final_plan(own.queries()["set_nested"](spark, SMALL))
+    assert "MapInArrow" not in plan and "regexp_extract_all" not in plan
