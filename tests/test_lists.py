@@ -4,9 +4,11 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from lexiloom import queries as own
+from lexiloom import store
 from lexiloom.functions import lists, sizes
 from lexiloom.functions import text as X
 from lexiloom.operators import encoding
@@ -87,3 +89,19 @@ def test_sizes_cut_the_texts_once(spark):
 def test_set_algebra_cuts_the_texts_once(spark):
     plan = final_plan(own.queries()["set_nested"](spark, SMALL))
     assert "MapInArrow" not in plan and "regexp_extract_all" not in plan
+
+
+def test_postings_are_not_sorted_again_to_be_written(spark, tmp_path, monkeypatch):
+    """Rows come by bucket; the setting that saves their sort is put back, and files hold their terms in order."""
+    asked = []
+    inner = store._placed
+    monkeypatch.setattr(store, "_placed", lambda *a: asked.append(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) or inner(*a))
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    docs = [(i, "", "", f"common w{i % 9} w{i % 5}") for i in range(50)]
+    store.build_index(spark.createDataFrame(docs, "doc_id bigint, title string, url string, text string"), str(tmp_path))
+    assert asked == [str(store.OPEN_FILES)] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    files = list((tmp_path / "postings").rglob("*.parquet"))
+    for f in files:
+        keys = [(r["term"], r["doc_id"]) for r in pq.ParquetFile(f).read(columns=["term", "doc_id"]).to_pylist()]
+        assert keys == sorted(keys) and keys
+    assert files
